@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,14 +11,27 @@ from pyspark.sql import functions as F
 from memlens import fixed_values as V
 
 _ASCII_WORD = "[A-Za-z0-9_]"
+_BEFORE, _AFTER = f"(?<!{_ASCII_WORD})", f"(?!{_ASCII_WORD})"
 _EDGE = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCII_WORD}))"
 
 
 def jvm(pattern: str) -> str:
-    """``\\b`` in Java looks at Unicode letters; the patterns here mean ASCII ones."""
+    """``\\b`` in Java looks at Unicode letters; the patterns here mean ASCII ones.
+
+    In front of a word (start of a branch) or right behind one, a one-sided
+    check says the same and is much cheaper than the general edge.
+    """
+    pattern = re.sub(r"(^|\|(?=\\b[(A-Za-z])|\)(?=\\b\()|\((?!\?)(?=\\b))\\b(?=[(A-Za-z])", lambda m: m.group(1) + _BEFORE, pattern) \
+        if not pattern.startswith("(?") else pattern[:pattern.index(")") + 1] + jvm(pattern[pattern.index(")") + 1:])
+    pattern = re.sub(r"(?<=[A-Za-z)])(?<!\\[a-z])\\b(?=$|[|).\[\\])", lambda m: _AFTER, pattern)
     return pattern.replace(r"\b", _EDGE)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(jvm(pattern))
 

@@ -37,29 +37,31 @@ def hmac_sha256(salt: str, message: Column) -> Column:
 
 def sanitize_args(tool: Column, path: Column, pattern: Column, command: Column, base: str, salt: str) -> Column:
     """Struct(arg_summary, arg_key): allow-listed fields only, hidden when anything looks unsafe."""
-    rel = T.repo_relative(path, base)
-    rel = F.when(T.leakage(rel, core=False).isNull(), rel)
-    flat = F.trim(F.regexp_replace(F.coalesce(pattern, F.lit("")), r"[\r\n\t]", " "))
-    flat = F.substring(flat, 1, V.PATTERN_CLIP)
-    pat = F.when((flat != "") & T.leakage(flat, core=False).isNull(), flat)
-    first = F.element_at(F.split(T.trim_ws(F.coalesce(command, F.lit(""))), r"[\s|&;]"), 1)
+    unleaked = lambda value: T.let(value, lambda v: F.when(T.leakage(v, core=False).isNull(), v))
+    flat = F.substring(F.trim(F.regexp_replace(F.coalesce(pattern, F.lit("")), r"[\r\n\t]", " ")), 1, V.PATTERN_CLIP)
+    first = F.regexp_extract(F.coalesce(command, F.lit("")), r"^\s*([^\s|&;]*)", 1)
     cmd = F.element_at(F.split(F.regexp_replace(first, "^[./~]+", ""), r"[\\/]"), -1)
-    cmd = F.when((F.length(cmd).between(1, 64)) & T.leakage(cmd, core=False).isNull(), cmd)
+    parts = F.struct(unleaked(T.repo_relative(path, base)).alias("rel"), unleaked(F.nullif(flat, F.lit(""))).alias("pat"),
+                     unleaked(F.when(F.length(cmd).between(1, 64), cmd)).alias("cmd"))
     searching = tool.isin("Grep", "Glob")
-    hidden = F.concat(tool, F.lit(f"({V.HIDDEN_ARG})"))
-    located = F.concat(tool, F.lit('("'), pat, F.lit('")'), F.coalesce(F.concat(F.lit("["), rel, F.lit("]")), F.lit("")))
-    shown = (F.when(tool == "Read", F.concat(F.lit("Read("), rel, F.lit(")")))
-             .when(searching, located).when(tool == "Bash", F.concat(F.lit("Bash("), cmd, F.lit(")"))))
-    safe = shown.isNotNull() & T.leakage(shown, core=False).isNull()
-    summary = F.when(safe, shown).otherwise(hidden)
-    # Field names inside one call are already in sorted order; nulls are left out of the JSON.
-    args = (F.when(~safe, F.lit('{"hidden":true}'))
-            .when(tool == "Read", F.to_json(F.struct(rel.alias("file_path"))))
-            .when(searching, F.to_json(F.struct(rel.alias("path"), pat.alias("pattern"))))
-            .otherwise(F.to_json(F.struct(cmd.alias("command")))))
-    message = F.concat(F.lit('{"args":'), args, F.lit(',"tool":'),
-                       F.concat(F.lit('"'), F.regexp_replace(tool, r'(["\\])', r'\\$1'), F.lit('"')), F.lit("}"))
-    return F.struct(summary.alias("arg_summary"), F.substring(hmac_sha256(salt, message), 1, V.ARG_KEY_HEX).alias("arg_key"))
+    quoted = F.concat(F.lit('"'), F.regexp_replace(tool, r'(["\\])', r'\\$1'), F.lit('"'))
+
+    def shown(p: Column) -> Column:
+        located = F.concat(tool, F.lit('("'), p["pat"], F.lit('")'), F.coalesce(F.concat(F.lit("["), p["rel"], F.lit("]")), F.lit("")))
+        return (F.when(tool == "Read", F.concat(F.lit("Read("), p["rel"], F.lit(")")))
+                .when(searching, located).when(tool == "Bash", F.concat(F.lit("Bash("), p["cmd"], F.lit(")"))))
+
+    def built(p: Column, summary: Column) -> Column:
+        # Field names inside one call are already in sorted order; nulls are left out of the JSON.
+        args = (F.when(summary.isNull(), F.lit('{"hidden":true}'))
+                .when(tool == "Read", F.to_json(F.struct(p["rel"].alias("file_path"))))
+                .when(searching, F.to_json(F.struct(p["rel"].alias("path"), p["pat"].alias("pattern"))))
+                .otherwise(F.to_json(F.struct(p["cmd"].alias("command")))))
+        message = F.concat(F.lit('{"args":'), args, F.lit(',"tool":'), quoted, F.lit("}"))
+        return F.struct(F.coalesce(summary, F.concat(tool, F.lit(f"({V.HIDDEN_ARG})"))).alias("arg_summary"),
+                        F.substring(hmac_sha256(salt, message), 1, V.ARG_KEY_HEX).alias("arg_key"))
+
+    return T.let(parts, lambda p: T.let(unleaked(shown(p)), lambda summary: built(p, summary)))
 
 
 _ESCAPES = "|".join([
@@ -81,13 +83,23 @@ def normalize_output(text: Column, tool_name: str = "memlens") -> Column:
     so the work is linear in the number of lines.
     """
     lines = F.split(F.regexp_replace(strip_escapes(text), "\r\n", "\n"), "\n")
-    idx = F.sequence(F.lit(1), F.size(lines))
-    starts = F.filter(idx, lambda i: (i == 1) | (F.element_at(lines, i) != F.element_at(lines, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines) + 1))
-    folded = F.flatten(F.zip_with(starts, ends, lambda s, e: F.when(
-        e - s > 1, F.array(F.element_at(lines, s), F.concat(F.lit("... [repeated "), (e - s - 1).cast("string"), F.lit(f" lines by {tool_name}]"))))
-        .otherwise(F.array(F.element_at(lines, s)))))
-    full = F.array_join(folded, "\n")
+    return T.let(T.let(lines, lambda ls: _fold_runs(ls, tool_name)), lambda full: _cut_output(full, tool_name))
+
+
+def _fold_runs(lines: Column, tool_name: str) -> Column:
+    before = F.concat(F.array(F.lit(None).cast("string")), lines)
+    changed = F.zip_with(lines, before, lambda a, b: ~a.eqNullSafe(b))
+    starts = F.filter(F.transform(changed, lambda c, i: F.when(c, i + 1)), lambda i: i.isNotNull())
+    # The shifted array is one longer, so its last pair always counts as a change: the end mark.
+    def rows(st: Column) -> Column:
+        spans = F.zip_with(F.slice(st, 1, F.size(st) - 1), F.slice(st, 2, F.size(st)), lambda s, e: F.struct(s.alias("s"), (e - s).alias("n")))
+        note = lambda n: F.concat(F.lit("... [repeated "), (n - 1).cast("string"), F.lit(f" lines by {tool_name}]"))
+        return F.flatten(F.transform(spans, lambda x: F.when(
+            x["n"] > 1, F.array(F.element_at(lines, x["s"]), note(x["n"]))).otherwise(F.array(F.element_at(lines, x["s"])))))
+    return F.array_join(T.let(starts, rows), "\n")
+
+
+def _cut_output(full: Column, tool_name: str) -> Column:
     kept = F.substring(full, 1, V.TOOL_OUTPUT_CHARS)
     dropped = F.size(F.split(full, "\n")) - F.size(F.split(kept, "\n"))
     note = F.when(dropped > 0, F.concat(F.lit("\n... ["), dropped.cast("string"), F.lit(f" lines truncated by {tool_name}]"))).otherwise(
