@@ -82,7 +82,7 @@ def tokenize(text: Column, extra_stop: Sequence[str] = ()) -> Column:
 def index_terms(text: Column) -> Column:
     """Terms of the full-text index: runs of letters and digits, lower case, repeats kept."""
     spaced = F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(F.lower(spaced), " "), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
 
 
 def split_terms(text: Column, pattern: str, min_len: int, stop: Sequence[str] = ()) -> Column:

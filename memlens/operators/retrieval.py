@@ -19,6 +19,7 @@ from memlens import fixed_values as V
 from memlens.common import clamp01, count_if, ratio, top_k
 from memlens.functions import scores
 from memlens.functions import text as T
+from memlens.session import cut
 
 # --- C1 BM25 ------------------------------------------------------------------------
 
@@ -67,40 +68,45 @@ def _contribution(avgdl: Column) -> Column:
     return F.col("idf") * norm
 
 
-def bm25_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float], k: int | None = None,
+def bm25_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float], k: int,
                 keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(query_id, doc_id, bm25, rank): all matches, or the exact best ``k`` per query.
-
-    With ``k`` set, terms found in more than half the corpus (weight 1e-6, but
-    posting lists as long as the corpus) never open a candidate.  Pairs sharing a
-    rarer term are scored fully; a query is finished when its k-th score beats
-    the most its common terms could give anyone else.  The few queries this does
-    not settle are scored over all their terms.
+    """(query_id, doc_id, bm25, rank): the exact best ``k`` per query among pairs ``keep`` lets through.
+
+    The postings of the asked terms are written once (checkpoint).  Terms found in
+    more than half the corpus weigh 1e-6, but their posting lists are as long as
+    the corpus, so they never open a candidate: pairs sharing a rarer term are
+    found first and only these look their common terms up.  A query is finished
+    when its k-th score beats the most its common terms could give anyone else;
+    the queries this does not settle are scored over all their terms.
     """
     post, stats = postings(docs, weights, terms)
     avgdl = stats.select("avgdl").scalar()
-    scored = post.select("doc_id", "term", "common", _contribution(avgdl).alias("c"))
-    pairs = terms.join(scored, "term")
+    scored = cut(post.select("doc_id", "term", "common", _contribution(avgdl).alias("c")))
+    rare, common = scored.where(~F.col("common")).drop("common"), scored.where("common").drop("common")
+    keys = ["query_id", "doc_id"]
+    best = lambda d: top_k(d, ["query_id"], [F.desc("bm25"), F.asc("doc_id")], k)
+    passed = lambda d: keep(d) if keep else d
 
     def total(p: DataFrame) -> DataFrame:
-        out = p.groupBy("query_id", "doc_id", "n_terms", "need_all").agg(F.sum("c").alias("bm25"), F.count("*").alias("hit"))
-        out = out.where(~F.col("need_all") | (F.col("hit") == F.col("n_terms"))).select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"))
-        return keep(out) if keep else out
-
-    if k is None:
-        return total(pairs)
-    best = lambda d: top_k(d, ["query_id"], [F.desc("bm25"), F.asc("doc_id")], k)
-    rare = pairs.where(~F.col("common"))
-    candidates = rare.select("query_id", "doc_id").distinct()
-    common = pairs.where("common").join(candidates, ["query_id", "doc_id"], "left_semi")
-    first = best(total(rare.unionByName(common)))
-    reach = (terms.join(scored.where("common").select("term").distinct(), "term", "left_semi")
-             .groupBy("query_id", "need_all", "n_terms").agg((F.count("*") * V.BM25_IDF_FLOOR * (V.BM25_K1 + 1)).alias("bound"), F.count("*").alias("n_common")))
+        return p.groupBy(*keys, "n_terms", "need_all").agg(F.sum("c").alias("c"), F.count("*").alias("hit"))
+
+    def finish(p: DataFrame) -> DataFrame:
+        p = p.where(~F.col("need_all") | (F.col("hit") == F.col("n_terms")))
+        return best(passed(p.select(*keys, F.round("c", 6).alias("bm25"))))
+
+    shared = (terms.join(common.select("term").distinct(), "term", "left_semi")).select("query_id", "term")
+    opened = total(terms.join(rare, "term"))
+    extra = (opened.select(*keys).join(shared, "query_id").join(common, ["doc_id", "term"])
+             .groupBy(*keys).agg(F.sum("c").alias("c2"), F.count("*").alias("hit2")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    full = opened.join(extra, keys, "left").select(*keys, "n_terms", "need_all", (F.col("c") + zero("c2")).alias("c"), (F.col("hit") + zero("hit2")).alias("hit"))
+    first = cut(finish(full))
+    bound = (terms.join(shared, ["query_id", "term"]).groupBy("query_id", "need_all", "n_terms")
+             .agg((F.count("*") * V.BM25_IDF_FLOOR * (V.BM25_K1 + 1)).alias("bound"), F.count("*").alias("n_common")))
     kth = first.groupBy("query_id").agg(F.min("bm25").alias("kth"), F.max("rank").alias("got"))
-    open_ = (reach.join(kth, "query_id", "left")
-             .where(((F.coalesce("got", F.lit(0)) < k) | (F.col("kth") <= F.col("bound") + 1e-6))
-                    & (~F.col("need_all") | (F.col("n_common") == F.col("n_terms")))).select("query_id"))
-    rest = best(total(pairs.join(open_, "query_id", "left_semi")))
+    unsettled = ((zero("got") < k) | (F.col("kth") <= F.col("bound") + 1e-6)) & (~F.col("need_all") | (F.col("n_common") == F.col("n_terms")))
+    open_ = cut(bound.join(kth, "query_id", "left").where(unsettled).select("query_id"))
+    rest = finish(total(terms.join(open_, "query_id", "left_semi").join(scored.drop("common"), "term")))
     return first.join(open_, "query_id", "left_anti").unionByName(rest)
 
 
@@ -165,23 +171,24 @@ def like_search(queries: DataFrame, traces: DataFrame, k: int, gram: int = 12) -
     """Traces whose text contains the query text, best quality first.
 
     A query of three or more words has whole inner words: the text must hold
-    every one of them, so the rarest is the join key.  Shorter queries meet texts
-    on their leading ``gram`` characters.
+    every one of them, so the rarest is the join key.  A shorter query's longest
+    word (or the query itself when it has none) lies inside one word (or one run
+    of other signs) of the text; it is looked up in the distinct words first.
     """
+    seps = lambda c: F.array_remove(F.split(c, r"[\p{L}\p{N}]+"), "")
     q = queries.where("text <> ''").select("query_id", F.lower("text").alias("needle")).withColumn("_t", T.index_terms(F.col("needle")))
-    t = traces.select(F.col("trace_id"), F.lower("description").alias("hay"))
+    t = traces.select("trace_id", F.lower("description").alias("hay"))
+    held = t.select("trace_id", F.explode(F.array_distinct(F.concat(T.index_terms(F.col("hay")), seps(F.col("hay"))))).alias("tok"))
     inner = q.where(F.size("_t") > 2).select("query_id", F.explode(F.slice("_t", 2, F.size("_t") - 2)).alias("tok")).distinct()
-    held = (t.select("trace_id", F.explode(F.array_distinct(T.index_terms(F.col("hay")))).alias("tok"))
-            .join(inner.select("tok").distinct(), "tok", "left_semi"))
-    df = held.groupBy("tok").agg(F.count("*").alias("df"))
-    rarest = inner.join(df, "tok", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok")).alias("m")).select("query_id", F.col("m.tok").alias("tok"))
-    by_word = rarest.join(held, "tok").select("query_id", "trace_id")
-    short = q.where(F.size("_t") <= 2).select("query_id", F.substring("needle", 1, gram).alias("head")).withColumn("g", F.length("head"))
+    df = held.join(inner.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "tok").groupBy("query_id").agg(F.min(F.struct("df", "tok")).alias("m")).select("query_id", F.col("m.tok").alias("tok"))
+    longest = F.array_max(F.transform("_t", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
+    short = q.where(F.size("_t") <= 2).select("query_id", F.coalesce(longest, F.col("needle")).alias("part")).withColumn("head", F.substring("part", 1, gram)).withColumn("g", F.length("head"))
     lens = short.agg(F.sort_array(F.collect_set("g")).alias("l")).select("l").scalar()  # at most `gram` values
-    windows = F.transform(F.sequence(F.lit(1), F.length("hay") - F.col("g") + 1), lambda i: F.substring(F.col("hay"), i, F.col("g")))
-    heads = (t.withColumn("g", F.explode(lens)).where(F.length("hay") >= F.col("g")).select("trace_id", F.explode(F.array_distinct(windows)).alias("head"))
-             .join(short.select("head").distinct(), "head", "left_semi"))
-    cand = by_word.unionByName(short.select("query_id", "head").join(heads, "head").select("query_id", "trace_id"))
+    vocab = held.select("tok").distinct().withColumn("g", F.explode(lens)).where(F.length("tok") >= F.col("g"))
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("tok") - F.col("g") + 1), lambda i: F.substring(F.col("tok"), i, F.col("g"))))
+    inside = (vocab.select("tok", F.explode(windows).alias("head")).join(short, "head").where(F.contains("tok", "part")).select("query_id", "tok"))
+    cand = rarest.unionByName(inside).join(held, "tok").select("query_id", "trace_id").distinct()
     hits = cand.join(q.select("query_id", "needle"), "query_id").join(t, "trace_id").where(F.contains("hay", "needle")).select("query_id", "trace_id")
     return top_k(hits.join(traces.select("trace_id", "q_score"), "trace_id"), ["query_id"], [F.desc("q_score"), F.asc("trace_id")], k)
 
@@ -281,8 +288,9 @@ def hybrid_rank(queries: DataFrame, traces: DataFrame, now_ms: int, k: int = 5,
     if normalization == "saturation":
         cand = cand.withColumn("bm25", F.coalesce(F.col("raw") / (F.col("raw") + V.SATURATION_K), F.lit(0.0)))
     else:
-        top = lex.groupBy("query_id").agg(F.max("raw").alias("top"))
-        cand = cand.join(top, "query_id", "left").withColumn("bm25", F.coalesce(ratio(F.col("raw"), F.col("top")), F.lit(0.0)))
+        # A query has at most k + 2 * fetch candidates, so this window is over a bounded group.
+        top = F.max("raw").over(W.partitionBy("query_id"))
+        cand = cand.withColumn("bm25", F.coalesce(ratio(F.col("raw"), top), F.lit(0.0)))
     q = queries.select("query_id", F.col("features").alias("qf"), F.col("tokens").alias("qt"))
     t = traces.select("trace_id", F.col("features").alias("tf"), F.col("tokens").alias("tt"), "created_at", "q_score")
     s = cand.join(q, "query_id").join(t, "trace_id").join(count_eligible(queries, traces), "query_id")
@@ -333,8 +341,8 @@ def block_recall(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
     docs = blocks.select(F.col("block_id").alias("doc_id"), F.col("mechanism").alias("text"), F.array_join("keywords", " ").alias("kw"))
     hits = bm25_scores(query_terms(queries, "block"), docs, {"text": 2.0, "kw": 1.0}, k, keep)
-    best = hits.groupBy("query_id").agg(F.max("bm25").alias("top"))
-    return hits.join(best, "query_id").select("query_id", F.col("doc_id").alias("block_id"), "rank", "bm25", F.round(clamp01(ratio(F.col("bm25"), F.col("top"))), 6).alias("score"))
+    top = F.max("bm25").over(W.partitionBy("query_id"))  # over the k rows kept
+    return hits.select("query_id", F.col("doc_id").alias("block_id"), "rank", "bm25", F.round(clamp01(ratio(F.col("bm25"), top)), 6).alias("score"))
 
 
 def fact_search(queries: DataFrame, facts: DataFrame, k: int, use_text: bool = True) -> DataFrame:
@@ -405,15 +413,16 @@ def apply_external_scores(slate: DataFrame, given: DataFrame) -> DataFrame:
     A query keeps its order, with the reason, when it has no scores, a wrong
     count, or any score missing or outside [0, 1].
     """
-    s = slate.join(given.withColumn("_given", F.lit(1)), ["query_id", "item_id"], "left")
-    bad = F.col("ext").isNull() | F.isnan("ext") | (F.col("ext") < 0) | (F.col("ext") > 1)
     n_given = given.groupBy("query_id").agg(F.count("*").alias("n_given"))
-    state = s.groupBy("query_id").agg(F.count("*").alias("n"), F.count("_given").alias("n_matched"), F.max(F.col("_given").isNotNull() & bad).alias("bad"))
-    state = state.join(n_given, "query_id", "left").select("query_id", F.when(F.col("n_given").isNull(), "null").when(
-        (F.col("n_given") != F.col("n")) | (F.col("n_matched") != F.col("n")), "empty").when(F.col("bad"), "validation").alias("reason"))
-    j = s.join(state, "query_id")
+    one = W.partitionBy("query_id")  # a slate is bounded
+    bad = F.col("ext").isNull() | F.isnan("ext") | (F.col("ext") < 0) | (F.col("ext") > 1)
+    s = (slate.join(given.withColumn("_given", F.lit(1)), ["query_id", "item_id"], "left").join(n_given, "query_id", "left")
+         .withColumn("_n", F.count("*").over(one)).withColumn("_m", F.count("_given").over(one))
+         .withColumn("_bad", F.max(F.col("_given").isNotNull() & bad).over(one)))
+    s = s.withColumn("reason", F.when(F.col("n_given").isNull(), "null").when((F.col("n_given") != F.col("_n")) | (F.col("_m") != F.col("_n")), "empty")
+                     .when(F.col("_bad"), "validation"))
     order = [F.desc(F.when(F.col("reason").isNull(), F.col("ext"))), F.asc("rank")]
-    return j.select("query_id", "item_id", F.col("rank").alias("old_rank"), F.row_number().over(W.partitionBy("query_id").orderBy(*order)).alias("new_rank"),
+    return s.select("query_id", "item_id", F.col("rank").alias("old_rank"), F.row_number().over(one.orderBy(*order)).alias("new_rank"),
                     F.col("reason").isNotNull().alias("fell_back"), "reason")
 
 
@@ -481,13 +490,13 @@ def gate_and_holdout(hits: DataFrame, gate: Column | float = V.GATE_THRESHOLD, r
     Holdout applies only when something would have been shown.
     """
     gate = gate if isinstance(gate, Column) else F.lit(float(gate))
-    h = hits.withColumn("_open", F.col("prob") >= gate)
-    per = h.groupBy("query_id").agg(F.max("_open").alias("would_inject"), F.max("fingerprint").alias("_fp"), F.max("manual_shadow").alias("_manual"))
-    held = ~F.col("_manual") & F.col("would_inject") & F.col("_fp").isNotNull() & scores.holdout(F.coalesce("_fp", F.lit("")), rate, salt)
-    per = per.select("query_id", "would_inject", held.alias("held"), (F.col("_manual") | held).alias("shadow"))
-    return h.join(per, "query_id").select(
-        "query_id", "item_id", "prob", (~F.col("shadow") & F.col("_open")).alias("passes_gate"), "shadow",
-        (~F.col("shadow") & F.col("would_inject")).alias("should_inject"), F.when(F.col("held"), F.lit("holdout")).alias("control_reason"))
+    slate = W.partitionBy("query_id")  # a query's hits are a bounded slate
+    h = (hits.withColumn("_open", F.col("prob") >= gate).withColumn("_would", F.max("_open").over(slate))
+         .withColumn("_fp", F.max("fingerprint").over(slate)).withColumn("_manual", F.max("manual_shadow").over(slate)))
+    held = ~F.col("_manual") & F.col("_would") & F.col("_fp").isNotNull() & scores.holdout(F.coalesce("_fp", F.lit("")), rate, salt)
+    h = h.withColumn("_held", held).withColumn("shadow", F.col("_manual") | F.col("_held"))
+    return h.select("query_id", "item_id", "prob", (~F.col("shadow") & F.col("_open")).alias("passes_gate"), "shadow",
+                    (~F.col("shadow") & F.col("_would")).alias("should_inject"), F.when(F.col("_held"), F.lit("holdout")).alias("control_reason"))
 
 
 def drift_augment(queries: DataFrame, windows: DataFrame, fragments: int = V.DRIFT_FRAGMENTS, gate: float = V.GATE_THRESHOLD,
@@ -603,29 +612,30 @@ FRAME_CHARS = 120  # fixed headroom of our own frame around the packed lines
 
 
 def pack_budget(hits: DataFrame, budget_tokens: int = 1200) -> DataFrame:
-    """``hits(query_id, kind, item_id, rank, line_chars, shadow)`` -> packed items with section token estimates.
+    """``hits(query_id, kind, item_id, rank, line_chars, shadow)`` -> packed items per query.
 
     Kinds are packed in order; a kind stops at its first line that does not fit;
-    when nothing fits the single first hit stays.  Each kind is a running sum
-    over at most its cap of rows.
+    when nothing fits the single first hit stays.  The caps leave at most fourteen
+    rows per query, gathered in one short array and walked by an expression.
     """
+    h = hits.where(~F.col("shadow")).select("query_id", "kind", "item_id", "line_chars", F.col("rank").alias("_r"))
+    h = top_k(h, ["query_id", "kind"], [F.asc("_r")], max(PACK_CAPS.values()), "pos")
     cap = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in PACK_CAPS.items()])
-    h = hits.where(~F.col("shadow"))
-    h = h.withColumn("pos", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("rank"))).where(F.col("pos") <= max(PACK_CAPS.values())).where(F.col("pos") <= cap)
-    budget = budget_tokens * 4
-    kept, used = None, h.groupBy("query_id").agg(F.lit(FRAME_CHARS).cast("bigint").alias("used"))
-    run = W.partitionBy("query_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    for kind in PACK_KINDS:
-        part = (h.where(F.col("kind") == kind).join(used, "query_id").withColumn("upto", F.col("used") + F.sum(F.col("line_chars") + 1).over(run))
-                .where(F.col("upto") <= budget))
-        part = part.select("query_id", "kind", "item_id", "pos", "line_chars", "upto")
-        kept = part if kept is None else kept.unionByName(part)
-        now = part.groupBy("query_id").agg(F.max("upto").alias("_u"))
-        used = used.join(now, "query_id", "left").select("query_id", F.coalesce("_u", "used").alias("used"))
     order = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(PACK_KINDS)])
-    lone = h.join(kept.select("query_id").distinct(), "query_id", "left_anti").groupBy("query_id").agg(
-        F.min(F.struct(order.alias("o"), "pos", "kind", "item_id", "line_chars")).alias("m")).select("query_id", "m.kind", "m.item_id", "m.pos", "m.line_chars", F.lit(None).cast("bigint").alias("upto"))
-    return kept.unionByName(lone)
+    row = F.struct(order.alias("o"), "pos", "kind", "item_id", F.col("line_chars").cast("bigint").alias("line_chars"))
+    q = h.where(F.col("pos") <= cap).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    empty = F.slice("rows", 1, 0)
+    start = F.struct(F.lit(FRAME_CHARS).cast("bigint").alias("used"), F.lit(-1).alias("stopped"), empty.alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        cost = acc["used"] + x["line_chars"] + 1
+        fits = (acc["stopped"] != x["o"]) & (cost <= budget_tokens * 4)
+        return F.struct(F.when(fits, cost).otherwise(acc["used"]).alias("used"), F.when(fits, acc["stopped"]).otherwise(x["o"]).alias("stopped"),
+                        F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    q = q.withColumn("_w", F.aggregate("rows", start, step))
+    kept = F.when(F.size("_w.kept") > 0, F.col("_w.kept")).otherwise(F.slice("rows", 1, 1))
+    return q.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.kind", "x.item_id", "x.pos", "x.line_chars")
 
 
 def pack_summary(packed: DataFrame) -> DataFrame:
@@ -718,12 +728,10 @@ def rank_memories(items: DataFrame, memories: DataFrame, k: int = 5) -> DataFram
     lists = spare.agg(F.array_sort(F.collect_list("memory_id")).alias("l")).select("l").scalar()
     best = top_k(scored, ["item_id"], [F.desc("score"), F.asc("memory_id")], k)
     per = best.groupBy("item_id").agg(F.collect_list(F.struct("memory_id", "score")).alias("have"))
-    all_ = items.select("item_id").join(per, "item_id", "left")
-    have = F.coalesce(F.transform("have", lambda x: x["memory_id"]), F.array().cast(f"array<{dict(memories.dtypes)['memory_id']}>"))
-    extra = F.transform(F.array_except(lists, have), lambda x: F.struct(x.alias("memory_id"), F.lit(0.5).alias("score")))
-    merged = F.concat(F.coalesce("have", F.array().cast(f"array<struct<memory_id:{dict(memories.dtypes)['memory_id']},score:double>>")), extra)
-    out = all_.select("item_id", F.explode(merged).alias("m")).select("item_id", "m.memory_id", "m.score")
-    return top_k(out, ["item_id"], [F.desc("score"), F.asc("memory_id")], k)
+    all_ = items.select("item_id").join(per, "item_id", "left").withColumn("_spare", lists)
+    have = F.coalesce(F.col("have.memory_id"), F.array().cast(f"array<{dict(memories.dtypes)['memory_id']}>"))
+    extra = all_.select("item_id", F.explode(F.array_except("_spare", have)).alias("memory_id")).withColumn("score", F.lit(0.5))
+    return top_k(best.select("item_id", "memory_id", "score").unionByName(extra), ["item_id"], [F.desc("score"), F.asc("memory_id")], k)
 
 
 def heldout_match(tasks: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -270,8 +270,8 @@ SELECT query_id, block_id AS item_id, score AS prob, (NOT (man OR held) AND open
 
 _q("c19_naive_top1", lambda s, sf: R.naive_top1(D.queries(s, sf), D.documents(s, sf)), S.with_(S.QUERIES, f"""
 a AS (SELECT query_id, {S.split_set('text', '[^a-z0-9]+', 3)} AS t FROM qry), b AS (SELECT doc_id, {S.split_set('text', '[^a-z0-9]+', 3)} AS t FROM documents),
-at AS (SELECT query_id, len(t) AS n, unnest(t) AS w FROM a), bt AS (SELECT doc_id, len(t) AS m, unnest(t) AS w FROM b),
-o AS (SELECT query_id, doc_id, round(count(*)/(n+m-count(*)),6) AS score FROM at JOIN bt USING (w) GROUP BY query_id, doc_id, n, m)""", select="""
+ta AS (SELECT query_id, len(t) AS n, unnest(t) AS w FROM a), bt AS (SELECT doc_id, len(t) AS m, unnest(t) AS w FROM b),
+o AS (SELECT query_id, doc_id, round(count(*)/(n+m-count(*)),6) AS score FROM ta JOIN bt USING (w) GROUP BY query_id, doc_id, n, m)""", select="""
 SELECT query_id, doc_id, score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)=1"""))
 
 
