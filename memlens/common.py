@@ -110,14 +110,18 @@ def with_position(df: DataFrame, key: str, ts_ms: str, tie: str, pos: str = "pos
     )
 
 
-def with_halo_chunks(df: DataFrame, pos: str, halo: int, rows_per_chunk: int = 20_000) -> DataFrame:
-    """Cut long sequences into chunks; every chunk also gets the ``halo`` rows before it.
+def with_halo_chunks(df: DataFrame, pos: str, halo: int, rows_per_chunk: int = 20_000, ahead: bool = False) -> DataFrame:
+    """Cut long sequences into chunks; every chunk also gets the ``halo`` rows before it (behind it with ``ahead``).
 
     Adds ``_chunk`` and ``_halo`` (true on borrowed rows).  A window over
     (key, _chunk) ordered by ``pos`` then sees all it needs, and one hot key is
     spread over many tasks.
     """
     home = F.floor(F.col(pos) / rows_per_chunk)
-    lends = (F.col(pos) % rows_per_chunk) >= rows_per_chunk - halo
-    copies = F.when(lends, F.array(home, home + 1)).otherwise(F.array(home))
+    inside = F.col(pos) % rows_per_chunk
+    if ahead:
+        lends, other = (inside < halo) & (home > 0), home - 1
+    else:
+        lends, other = inside >= rows_per_chunk - halo, home + 1
+    copies = F.when(lends, F.array(home, other)).otherwise(F.array(home))
     return df.withColumn("_chunk", F.explode(copies)).withColumn("_halo", F.col("_chunk") != home)
