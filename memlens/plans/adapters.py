@@ -25,7 +25,12 @@ def epoch_ms(col: str) -> Column:
 
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return raw_events_of(table(spark, sf, "events"))
+
+
+def raw_events_of(events: DataFrame) -> DataFrame:
+    """Works on a table and on a stream of the same rows."""
+    return events.select(
         "event_id", epoch_ms("ts").alias("ts"), "user_id", "event_type", "value", "props",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
@@ -36,7 +41,10 @@ def _item(prefix: str, shift: int = 0) -> Column:
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     """The typed event log (``FIXTURES.md`` section 3)."""
-    e = raw_events(spark, sf)
+    return event_log_of(raw_events(spark, sf))
+
+
+def event_log_of(e: DataFrame) -> DataFrame:
     k, v = F.col("k"), F.col("value")
     e = e.withColumn("query_id", F.concat(F.lit("q"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("ts") / 604_800_000).cast("string")))
     e = e.withColumn("shadow_arm", scores.holdout(F.col("query_id"), HOLDOUT_RATE, HOLDOUT_SALT))
@@ -108,8 +116,11 @@ def arbitration_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tool_obs(spark: SparkSession, sf: str) -> DataFrame:
-    """Tool calls: a session per user, six possible argument keys per tool mix."""
-    e = raw_events(spark, sf)
+    """Tool calls: a session per user, two argument keys per tool."""
+    return tool_obs_of(raw_events(spark, sf))
+
+
+def tool_obs_of(e: DataFrame) -> DataFrame:
     key = F.concat(F.col("event_type"), (F.col("k") % 2).cast("string"))
     summary = F.concat(tool_of(), F.lit("(src/"), key, F.lit(".ts)"))
     return e.select("event_id", "ts", F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
