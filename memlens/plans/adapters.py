@@ -172,7 +172,10 @@ def marked_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark")
+    return queries_of(table(spark, sf, "benchmark"))
+
+
+def queries_of(b: DataFrame) -> DataFrame:
     i = F.col("item_id")
     return b.select(i.alias("query_id"), "text", F.when(i % 2 == 0, "en").alias("language"),
                     F.when(i % 5 == 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("framework"))
@@ -214,8 +217,11 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts from documents; statements repeat wherever the first line of a text repeats."""
-    d = documents(spark, sf)
+    """Facts from documents; statements repeat wherever a text repeats."""
+    return facts_of(documents(spark, sf))
+
+
+def facts_of(d: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     return d.select(
         i.alias("fact_id"), F.when(i % 7 == 0, "global").otherwise(F.concat(F.lit("project."), F.col("source"), F.lit("/"), F.col("lang"))).alias("scope"),

@@ -27,9 +27,9 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 @cache
 def registry() -> Registry:
     from memlens.plans import (event_queries, learning_queries, maintenance_queries, retrieval_queries,
-                               sequence_queries, source_queries, text_queries)
+                               sequence_queries, source_queries, streaming_queries, text_queries)
     out: Registry = {}
     for module in (source_queries, text_queries, retrieval_queries, maintenance_queries, event_queries,
-                   learning_queries, sequence_queries):
+                   learning_queries, sequence_queries, streaming_queries):
         out.update(module.QUERIES)
     return out

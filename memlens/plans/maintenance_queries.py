@@ -80,7 +80,11 @@ def stored_facts(s, sf):
 
 def incoming_facts(s, sf):
     """Every document stated again: even ids with other spacing (a repeat), odd ids as something new."""
-    f = D.facts(s, sf)
+    return incoming_of(D.documents(s, sf))
+
+
+def incoming_of(documents):
+    f = D.facts_of(documents)
     i = F.col("fact_id")
     text = F.when(i % 2 == 0, F.concat(F.lit("  "), F.regexp_replace("statement", " ", "  "), F.lit("\n"))).otherwise(F.concat("statement", F.lit(" again")))
     return f.select("scope", "fact_type", text.alias("statement"), F.lit(0.6).alias("confidence"), F.when(i % 3 == 1, i % 40 + 0.5).alias("ttl_days"), i.alias("seq"))

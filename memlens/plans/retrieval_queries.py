@@ -24,7 +24,11 @@ def _q(key, run, sql=None):
 
 def queries(s, sf):
     """Benchmark items as queries with features, tokens, fingerprint and the fields filters need."""
-    q = D.queries(s, sf).withColumn("error_type", F.lit(None).cast("string"))
+    return queries_of(D.table(s, sf, "benchmark"))
+
+
+def queries_of(items):
+    q = D.queries_of(items).withColumn("error_type", F.lit(None).cast("string"))
     return _enrich(q, "text", "query_id").withColumn("scope", F.concat(F.lit("project.src"), (F.col("query_id") % 20).cast("string"), F.lit("/en"))).withColumn(
         "apis", F.when(F.col("query_id") % 3 == 0, F.array(F.lit("api0"), F.lit("api2"))).otherwise(F.array().cast("array<string>")))
 
@@ -257,8 +261,12 @@ _q("c16_mmr", lambda s, sf: R.mmr(_slate(s, sf).join(D.documents(s, sf).select(F
 
 def _gated(s, sf):
     b = R.block_recall(queries(s, sf), blocks(s, sf), 8)
-    return R.gate_and_holdout(b.select("query_id", F.col("block_id").alias("item_id"), F.col("score").alias("prob"), F.concat(F.lit("fp"), F.col("query_id").cast("string")).alias("fingerprint"),
-                                       (F.col("query_id") % 10 == 9).alias("manual_shadow")), V.GATE_THRESHOLD, 0.3, "salt")
+    return R.gate_and_holdout(gate_input(b), V.GATE_THRESHOLD, 0.3, "salt")
+
+
+def gate_input(hits):
+    return hits.select("query_id", F.col("block_id").alias("item_id"), F.col("score").alias("prob"), F.concat(F.lit("fp"), F.col("query_id").cast("string")).alias("fingerprint"),
+                       (F.col("query_id") % 10 == 9).alias("manual_shadow"))
 
 
 _q("c17_gate_and_holdout", _gated, S.with_(*_BR, f"""g AS (SELECT *, score>={V.GATE_THRESHOLD} AS open FROM br),
