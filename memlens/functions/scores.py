@@ -44,5 +44,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0)))
 
 
+def unit(v: Column) -> Column:
+    """The vector scaled to length one; a zero vector stays zero."""
+    norm = F.sqrt(dot(v, v))
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))), 1)
+
+
 def freshness(age_ms: Column, half_life_days: float = V.FRESHNESS_HALF_LIFE_DAYS) -> Column:
     return F.exp(F.lit(-math.log(2.0)) * (age_ms.cast("double") / V.DAY_MS) / half_life_days)

@@ -201,13 +201,14 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     """``queries(query_id, embedding, block?)`` x ``vectors(vec_id, embedding, block?)`` inside a blocking key.
 
     A hot block is split into ``split`` parts of vectors and its queries are
-    copied to each part; the top-k limit runs inside every part first.
+    copied to each part; the top-k limit runs inside every part first.  Vectors
+    are scaled to length one before the join, so a pair costs one dot product.
     """
     key = F.col(block) if block else F.lit(0)
-    q = queries.select("query_id", F.col("embedding").alias("qv"), key.alias("_blk"), F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("_part"))
-    v = vectors.select("vec_id", F.col("embedding").alias("dv"), key.alias("_blk"), F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int").alias("_part"))
+    q = queries.select("query_id", scores.unit(F.col("embedding")).alias("qv"), key.alias("_blk"), F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("_part"))
+    v = vectors.select("vec_id", scores.unit(F.col("embedding")).alias("dv"), key.alias("_blk"), F.pmod(F.xxhash64("vec_id"), F.lit(split)).cast("int").alias("_part"))
     hits = (q.join(v, ["_blk", "_part"]).where(F.col("query_id") != F.col("vec_id"))
-            .select("query_id", "vec_id", F.round(scores.cosine(F.col("qv"), F.col("dv")), 6).alias("cosine")).where(F.col("cosine") >= min_score))
+            .select("query_id", "vec_id", F.round(F.when(F.size("qv") == F.size("dv"), scores.dot(F.col("qv"), F.col("dv"))).otherwise(0.0), 6).alias("cosine")).where(F.col("cosine") >= min_score))
     return top_k(hits, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k)
 
 
@@ -222,22 +223,27 @@ def set_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool =
     """Pairs of distinct token sets with Jaccard >= threshold (> 0), by prefix filter.
 
     Tokens are ordered rarest first; two sets this similar must share one of their
-    first ``size - ceil(t * size) + 1`` tokens, so only those are joined, and pairs
-    of too different size are left out before verification.
+    first ``size - ceil(t * size) + 1`` tokens, so only those are joined.  Inside
+    one table the smaller set of a pair needs only its first
+    ``size - ceil(2t / (1 + t) * size) + 1``.  Sizes and positions that leave too
+    little room for the needed overlap are dropped before verification.
     """
     both = left.select("tokens") if same else left.select("tokens").unionByName(right.select("tokens"))
     freq = both.select(F.explode("tokens").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    t, need = F.lit(threshold), 2 * threshold / (1 + threshold)
 
-    def prefixes(sets: DataFrame, side: str) -> DataFrame:
+    def prefixes(sets: DataFrame, side: str, share: float) -> DataFrame:
         tok = sets.select("set_id", F.size("tokens").alias("sz"), F.explode("tokens").alias("tok")).join(freq, "tok")
-        plen = F.col("sz") - F.ceil(F.lit(threshold) * F.col("sz") - 1e-9) + 1
+        plen = F.col("sz") - F.ceil(F.lit(share) * F.col("sz") - 1e-9) + 1
         ordered = tok.withColumn("pos", F.row_number().over(W.partitionBy("set_id").orderBy("df", "tok"))).where(F.col("pos") <= plen)
-        return ordered.select("tok", F.col("set_id").alias(f"{side}_set"), F.col("sz").alias(f"{side}_sz"))
+        return ordered.select("tok", F.col("set_id").alias(f"{side}_set"), F.col("sz").alias(f"{side}_sz"), F.col("pos").alias(f"{side}_pos"))
 
-    l, r = prefixes(left, "l"), prefixes(right, "r")
-    cand = l.join(r, "tok").where((F.col("l_sz") >= F.lit(threshold) * F.col("r_sz") - 1e-9) & (F.col("r_sz") >= F.lit(threshold) * F.col("l_sz") - 1e-9))
+    l, r = prefixes(left, "l", need if same else threshold), prefixes(right, "r", threshold)
+    ls, rs = F.col("l_sz"), F.col("r_sz")
+    room = F.least("l_pos", "r_pos") + F.least(ls - F.col("l_pos"), rs - F.col("r_pos"))
+    cand = l.join(r, "tok").where((ls >= t * rs - 1e-9) & (rs >= t * ls - 1e-9) & (room >= F.lit(threshold / (1 + threshold)) * (ls + rs) - 1e-9))
     if same:
-        cand = cand.where(F.col("l_set") < F.col("r_set"))
+        cand = cand.where((ls < rs) | ((ls == rs) & (F.col("l_set") < F.col("r_set"))))
     cand = cand.select("l_set", "r_set").distinct()
     full = (cand.join(left.select(F.col("set_id").alias("l_set"), F.col("tokens").alias("lt")), "l_set")
             .join(right.select(F.col("set_id").alias("r_set"), F.col("tokens").alias("rt")), "r_set"))
@@ -245,6 +251,16 @@ def set_pairs(left: DataFrame, right: DataFrame, threshold: float, same: bool =
     return full.select("l_set", "r_set", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def jaccard_within(rows: DataFrame, threshold: float) -> DataFrame:
+    """C5 inside one table: ``rows(id, tokens)`` -> (a_id, b_id, similarity) with a_id < b_id, copies included."""
+    sets, members = token_sets(rows, "id", F.col("tokens"))
+    near = set_pairs(sets, sets, threshold, same=True)
+    copies = sets.where("copies > 1").select(F.col("set_id").alias("l_set"), F.col("set_id").alias("r_set"), F.lit(1.0).alias("similarity"))
+    m = lambda p: members.select(F.col("id").alias(f"{p}_id"), F.col("set_id").alias(f"{p}_set"))
+    out = near.unionByName(copies).join(m("l"), "l_set").join(m("r"), "r_set").where((F.col("l_set") != F.col("r_set")) | (F.col("l_id") < F.col("r_id")))
+    return out.select(F.least("l_id", "r_id").alias("a_id"), F.greatest("l_id", "r_id").alias("b_id"), F.round("similarity", 6).alias("similarity"))
+
+
 def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """``a(a_id, tokens)`` and ``b(b_id, tokens)`` -> pairs at or above the threshold."""
     sa, ma = token_sets(a, "a_id", F.col("tokens"))

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Texts of a small file with few row groups dealt out by id, so that all cores read them.
+
+    Input that already comes in at least as many splits as there are cores is
+    left as it is: large tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def epoch_ms(col: str) -> Column:
     """Milliseconds of a zoneless timestamp read as UTC, whatever the session zone."""
     return F.unix_millis(F.from_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone()))
@@ -161,7 +171,7 @@ N_MARKERS = 28
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 def marked_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +252,7 @@ FILE_SUFFIXES = [".ts", ".py", ".go", ".rs", ".md", ".png", ".lock"]
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as source files; the path is the URL without its scheme plus a suffix by id."""
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"), "page_id")
     i = F.col("page_id")
     base = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$|/$", "")
     suffix = F.element_at(F.array(*[F.lit(s) for s in FILE_SUFFIXES]), (i % len(FILE_SUFFIXES) + 1).cast("int"))

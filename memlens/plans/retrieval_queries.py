@@ -123,8 +123,7 @@ SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS rank
 FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6)>=0.3 QUALIFY rank<=5""")
 
-_q("c5_jaccard_pairs", lambda s, sf: R.jaccard_pairs(D.documents(s, sf).select(F.col("doc_id").alias("a_id"), T.tokenize(F.col("text")).alias("tokens")),
-                                                    D.documents(s, sf).select(F.col("doc_id").alias("b_id"), T.tokenize(F.col("text")).alias("tokens")), 0.6).where("a_id < b_id"), S.with_(f"""
+_q("c5_jaccard_pairs", lambda s, sf: R.jaccard_within(D.documents(s, sf).select(F.col("doc_id").alias("id"), T.tokenize(F.col("text")).alias("tokens")), 0.6), S.with_(f"""
 ts AS (SELECT doc_id, {S.token_set('text')} AS t FROM documents),
 tk AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM ts),
 ov AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.n AS an, b.n AS bn, count(*) AS c FROM tk a JOIN tk b ON a.w=b.w AND a.doc_id<b.doc_id AND b.n BETWEEN 0.6*a.n-1 AND a.n/0.6+1 GROUP BY ALL)""",

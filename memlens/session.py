@@ -22,6 +22,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **extra: s
     conf = dict(SETTINGS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf["spark.driver.memory"] = os.environ.get("MEMLENS_DRIVER_MEMORY", "12g")
     conf.update(extra)
     for key, value in conf.items():
