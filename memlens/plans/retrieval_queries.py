@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
 from memlens.functions import text as T
-from memlens.operators import mining as M
 from memlens.operators import retrieval as R
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
-from memlens.functions import text as T
 from memlens.operators import evidence as EV
 from memlens.operators import retrieval as R
 from memlens.operators import sequences as Q

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
-from memlens.functions import text as T
 from memlens.operators import analytics as A
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S
