@@ -26,6 +26,8 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = _FAMILY.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[np.r_[48:58, 65:91, 97:123, 128:256]] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -67,13 +69,13 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of many texts: (hashes, first byte, end byte, index of each text's first word).
 
-    ``fold`` lower-cases A-Z.  A word's hash is a polynomial over random byte values, taken from prefix sums.
+    ``fold`` lower-cases A-Z; ``breaks`` marks other bytes that end words.  A word's hash is a polynomial over random byte values, taken from prefix sums.
     """
     n = len(data)
-    word = ~SPACE[data]
+    word = ~breaks[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
