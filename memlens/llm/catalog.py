@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlens.llm import decontamination, jaccard, mixing, pii, quality, sharding
+from memlens.llm import decontamination, jaccard, language, mixing, pii, quality, sharding
 from memlens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tree_of(docs), mixing.source_domain(F.col("source")), 0.5, share=True, max_epochs=2, seed=8)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_language": op9_language,
     "op10_sharding": op10_sharding,
 }
 OP8_SQL = """
