@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlens.llm import decontamination, jaccard, language, mixing, pii, quality, sharding
+from memlens.llm import decontamination, jaccard, language, mixing, pii, quality, sharding, toxicity, warc
 from memlens.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -27,6 +31,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.tree_of(docs), mixing.source_domain(F.col("source")), 0.5, share=True, max_epochs=2, seed=8)
@@ -42,9 +50,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
@@ -80,4 +90,12 @@ def _level_sql(depth: int) -> str:
     s{depth + 1} AS (SELECT {cols}, least(CASE WHEN full_ THEN capacity::DOUBLE ELSE greatest(spare, 0.0) * weight / open_ END, capacity::DOUBLE) AS budget FROM g{depth + 1})"""
 
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL.format(levels=",".join(_level_sql(i) for i in range(3)))}
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND payload_bytes >= 100
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL, "op8_mixing": OP8_SQL.format(levels=",".join(_level_sql(i) for i in range(3)))}

@@ -171,15 +171,18 @@ def tree_join(sets: list[np.ndarray], num: int = THRESHOLD[0], den: int = THRESH
 
 
 def _hub_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc) of one partition to distinct edges (doc, smallest doc of the key)."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """Rows (key, print, doc) of one partition to distinct edges (doc, smallest doc of the key), where equal sets count as
+    one: the smallest doc stands for them."""
+    parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
     if not parts:
         return
-    key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    key, mark, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, mark, key))
+    key, mark, doc = key[order], mark[order], doc[order]
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
+    key, doc = key[once], doc[once]
     head = np.concatenate(([True], key[1:] != key[:-1]))
-    hub = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+    hub = np.minimum.reduceat(doc, np.flatnonzero(head))[np.cumsum(head) - 1]
     pairs = np.unique(np.stack([doc, hub], 1)[doc != hub], axis=0)
     for at in range(0, len(pairs), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], ["u", "v"])
@@ -247,15 +250,14 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = cut(source.mapInArrow(_signatures, "doc long, n_shingles long, print long, keys array<long>"))
     known = signed.where("doc IS NOT NULL AND n_shingles > 0")
-    keyed = known.select(F.explode("keys").alias("key"), "doc")
+    keyed = known.select(F.explode("keys").alias("key"), "print", "doc")
     edges = keyed.repartition("key").mapInArrow(_hub_edges, "u long, v long").distinct()
     routed = cut(components(edges))
-    sizes = known.select("doc", F.col("n_shingles").alias("n"), "print").distinct()
-    placed = cut(routed.join(sizes, F.col("node") == F.col("doc")).select("doc", "component", "n", "print"))
-    firsts = placed.groupBy("component", "n", "print").agg(F.min("doc").alias("first"))
-    same = placed.join(firsts, ["component", "n", "print"]).select(F.col("doc").alias("u"), F.col("first").alias("v")).where("u <> v")
-    totals = firsts.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
-    members = cut(firsts.join(totals.where("sets > 1"), "component").select(
+    firsts = known.groupBy("n_shingles", "print").agg(F.min("doc").alias("first"))
+    same = known.select("doc", "n_shingles", "print").join(firsts, ["n_shingles", "print"]).select(F.col("doc").alias("u"), F.col("first").alias("v")).where("u <> v")
+    placed = routed.join(firsts, F.col("node") == F.col("first")).select("first", "component", "n_shingles")
+    totals = placed.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("sets"))
+    members = cut(placed.join(totals.where("sets > 1"), "component").select(
         F.col("first").alias("doc"), "component", F.ceil(F.col("total") / TILE_SHINGLES).alias("tiles")).distinct())
     texts = source.where("doc IS NOT NULL")
     links = cut(_linked(members.select("doc", "component", F.pmod(F.xxhash64("doc", F.lit(1)), "tiles").alias("tile")), texts).where("u <> v"))
