@@ -53,7 +53,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, prints, keys = [], [], []
         for h in shingle_sets(batch.column(1), SHINGLE_WORDS):
             sizes.append(len(h))
-            prints.append(int(mix(np.array([h.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(h) if len(h) else 0], np.uint64)).view(np.int64)[0]))
+            prints.append(int(mix(mix(h).sum(dtype=np.uint64).reshape(1)).view(np.int64)[0]))
             keys.append(routing_keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), list_column(keys, pa.int64())],
                                          ["doc", "n_shingles", "print", "keys"])
