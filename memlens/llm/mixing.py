@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_HEX = 3
+SALTS = 64
 
 
 def n_tokens(text: Column) -> Column:
@@ -84,7 +85,9 @@ def mix(docs: DataFrame, weights: DataFrame, domain: Column, budget: float, shar
     # whole epochs, and what is left for the next one
     budgets = budgets.withColumn("epochs", F.floor(F.col("budget") / F.col("leaf_tokens")).cast("int"))
     budgets = budgets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("leaf_tokens"))
-    placed = rows.join(budgets, list(LEVELS))
+    # a leaf's rows meet its budget in SALTS places, not in one
+    salted = budgets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [*LEVELS, "_salt"])
     order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("epochs").cast("string"), F.col(key).cast("string")))
     placed = placed.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, BUCKET_HEX))
     partial = placed.where("rest > 0")

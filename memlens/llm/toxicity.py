@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -226,20 +227,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(terms, weights, n_toxic / n, labels_model)
 
 
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.lexicon = model, Lexicon(model.terms)
+
+    def __call__(self, text: str | None) -> float:
+        model = self.model
+        if not model.terms:
+            return model.base_rate
+        terms, voters = self.lexicon.find(text)
+        z = model.weights[-1] + model.weights[terms].sum() + model.weights[[len(model.terms) + v for v in voters]].sum()
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.terms)
-        w = model.weights
+        scorer = Scorer(model)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                if not model.terms:
-                    out.append(model.base_rate)
-                    continue
-                terms, voters = lexicon.find(text)
-                z = w[-1] + w[terms].sum() + w[[len(model.terms) + v for v in voters]].sum()
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t) for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     return run
 
@@ -256,3 +261,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Train and score: (key, held_out, score, predicted) of every row."""
     held = ~F.coalesce(training_rows(key), F.lit(True))
     return score(docs, train(docs, labels, key, text, label), key, text).select(key, held.alias("held_out"), "score", "predicted")
+
+
+def toxic_score(model: Model):
+    """The model as a column function of the text, for filters that keep a table's own columns."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for part in parts:
+            yield pd.Series([scorer(t) for t in part], dtype="float64")
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that the model does not reject (score under 0.5), with all their columns."""
+    return docs.where(toxic_score(model)(F.col(text)) < 0.5)
