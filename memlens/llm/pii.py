@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.  The look-behinds only skip start points that cannot change what the leftmost match is, and the
-# possessive loops never need to give back: both keep long runs of digits or letters linear.
+# possessive loops never need to give back: both keep long runs of digits or letters linear.  A run of under 12 digits is no
+# card, so the card pattern asks for 12 at once; the match is still the whole run.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
@@ -25,6 +26,7 @@ CONTEXT = {
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
 CONTEXT_CHARS = 40
+BLOCK = 256
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 CONTEXT_BONUS = 0.3
 EXTRA_MIN_SCORE = 0.5
@@ -76,28 +78,36 @@ def _spans(text: Column, kind: str, pattern: str, mark: str) -> Column:
     """Valid spans of one kind as array<struct<start, rank, end, kind, score>>, starts in code points.
 
     The pieces between matches come from a split by the same pattern; running lengths of pieces and matches give the
-    starts.  ``mark`` is a character that every match holds: texts without it skip the pattern.
+    starts; the context is the text up to the next match of the kind, CONTEXT_CHARS at most.  ``mark`` is a character that every match holds: texts without it skip the pattern.
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(text, pattern, -1)
     rank = KINDS.index(kind)
+    item = "struct<start:int,end:int,value:string,before:string,after:string>"
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        item = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], item).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    pairs = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    placed = F.aggregate(pairs, zero, step, lambda s: s["out"])
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["before"])
+        end = start + F.length(x["value"])
+        placed = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["before"], F.lit(CONTEXT_CHARS)).alias("before"),
+                          F.left(x["after"], F.lit(CONTEXT_CHARS)).alias("after"))
+        return F.struct(end.alias("at"), F.array_append(state["out"], placed).alias("out"))
+
+    def shifted(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), (x["end"] + state["at"]).alias("end"), x["value"].alias("value"),
+                                                             x["before"].alias("before"), x["after"].alias("after")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.array_append(state["out"], moved).alias("out"))
+
+    # running lengths inside blocks of BLOCK matches, then over blocks: appending never copies a long array per match
+    pairs = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.get(between, i).alias("before"), F.get(between, i + 1).alias("after")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / BLOCK), F.lit(0)).cast("int"))
+    blocks = F.transform(starts, lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), zero, step))
+    whole = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{item}>>").alias("out"))
+    placed = F.flatten(F.aggregate(blocks, whole, shifted, lambda s: s["out"]))
     good = F.filter(placed, lambda x: _valid(kind, x["value"]))
 
     def scored(x: Column) -> Column:
-        left = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.substr(text, left + 1, x["start"] - left)
-        after = F.substr(text, x["end"] + 1, F.lit(CONTEXT_CHARS))
-        near = F.lower(F.concat_ws(" ", before, after)).rlike(rf"\b(?:{CONTEXT[kind]})")
+        near = F.lower(F.concat_ws(" ", x["before"], x["after"])).rlike(rf"\b(?:{CONTEXT[kind]})")
         score = F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
