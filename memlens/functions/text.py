@@ -19,11 +19,14 @@ def jvm(pattern: str) -> str:
     """``\\b`` in Java looks at Unicode letters; the patterns here mean ASCII ones.
 
     In front of a word (start of a branch) or right behind one, a one-sided
-    check says the same and is much cheaper than the general edge.
+    check says the same and is much cheaper than the general edge.  ``(?i)`` in
+    Java folds ASCII only, so patterns with Cyrillic letters get ``(?iu)``.
     """
     pattern = re.sub(r"(^|\|(?=\\b[(A-Za-z])|\)(?=\\b\()|\((?!\?)(?=\\b))\\b(?=[(A-Za-z])", lambda m: m.group(1) + _BEFORE, pattern) \
         if not pattern.startswith("(?") else pattern[:pattern.index(")") + 1] + jvm(pattern[pattern.index(")") + 1:])
     pattern = re.sub(r"(?<=[A-Za-z)])(?<!\\[a-z])\\b(?=$|[|).\[\\])", lambda m: _AFTER, pattern)
+    if pattern.startswith("(?i)") and re.search("[а-яё]", pattern):
+        pattern = "(?iu)" + pattern[4:]  # case of letters beyond ASCII
     return pattern.replace(r"\b", _EDGE)
 
 
@@ -197,12 +200,17 @@ def prompt_injection(text: Column) -> Column:
     return first_match(text, V.PROMPT_INJECTION)
 
 
-def release_noise_rules(package: str = V.DEFAULT_PACKAGE) -> list[str]:
-    return [rf"(?i){package}@\d", *V.RELEASE_NOISE]
+def package_rule(package: str | None) -> list[str]:
+    """The rule for one package name followed by a version; none without a name."""
+    return [] if package is None else [rf"(?i){re.escape(package)}@\d"]
+
+
+def release_noise_rules(package: str | None = None) -> list[str]:
+    return [*package_rule(package), *V.RELEASE_NOISE]
 
 
 def capture_gate(situation: Column, mechanism: Column, unlock: Column, verification: Column,
-                 package: str = V.DEFAULT_PACKAGE) -> Column:
+                 package: str | None = None) -> Column:
     body = F.concat_ws("\n", situation, mechanism, unlock)
     return (F.when(matches_any(body, release_noise_rules(package)), F.lit("release-noise"))
             .when(matches(trim_ws(verification), V.TEMPLATE_VERIFY), F.lit("template-verify"))

@@ -279,6 +279,11 @@ def arbitration_matrix(dec: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("action") == "inject", F.col("expected_net")).otherwise(0.0)).alias("injected_net"))
 
 
+def arbitration_reasons(dec: DataFrame) -> DataFrame:
+    """Decisions per reason and action."""
+    return dec.groupBy("reason").agg(*[count_if(F.col("action") == a).alias(a) for a in ("inject", "suppress", "shadow")], F.count("*").alias("decisions"))
+
+
 def arbitration_totals(dec: DataFrame, log: DataFrame) -> DataFrame:
     """Decisions against what was really put in the prompt for reuse queries."""
     reuse = dec.where("capability = 'reasoning_reuse'").groupBy("query_id").agg(

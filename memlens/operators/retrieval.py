@@ -167,8 +167,8 @@ def damped_weights(eligible: Column, weights: dict[str, Column | float] = V.DEFA
     return {s: (w[s] * damp if s == "bm25" else w[s] * (1 + share)) for s in V.SIGNALS}
 
 
-def like_search(queries: DataFrame, traces: DataFrame, k: int, gram: int = 12) -> DataFrame:
-    """Traces whose text contains the query text, best quality first.
+def like_search(queries: DataFrame, traces: DataFrame, k: int | None, gram: int = 12) -> DataFrame:
+    """Traces whose text contains the query text, best quality first; ``k=None`` gives all of them without a rank.
 
     A query of three or more words has whole inner words: the text must hold
     every one of them, so the rarest is the join key.  A shorter query's longest
@@ -190,6 +190,8 @@ def like_search(queries: DataFrame, traces: DataFrame, k: int, gram: int = 12) -
     inside = (vocab.select("tok", F.explode(windows).alias("head")).join(short, "head").where(F.contains("tok", "part")).select("query_id", "tok"))
     cand = rarest.unionByName(inside).join(held, "tok").select("query_id", "trace_id").distinct()
     hits = cand.join(q.select("query_id", "needle"), "query_id").join(t, "trace_id").where(F.contains("hay", "needle")).select("query_id", "trace_id")
+    if k is None:
+        return hits
     return top_k(hits.join(traces.select("trace_id", "q_score"), "trace_id"), ["query_id"], [F.desc("q_score"), F.asc("trace_id")], k)
 
 

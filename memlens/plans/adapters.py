@@ -96,6 +96,7 @@ def event_log_of(e: DataFrame) -> DataFrame:
 MECH_TYPES = ["file_index.completed", "file_index.skipped", "file_memory.recalled", "tool_supervision.warned",
               "tool_supervision.suppressed", "loop.redirected", "loop.fallback", "context.folded",
               "context.fold_skipped", "store.injection_rejected", "cache.prompt_hit", "file_memory.recalled"]
+REASONS = ["positive_roi", "budget", "low_confidence", "stale", "duplicate", "profile_cap", "holdout"]
 CAPABILITIES = ["reasoning_reuse", "file_memory", "loop_redirect", "tool_supervision", "context_fold", "context_pruning"]
 TOOL_OF_EVENT = {"view": "Read", "click": "Grep", "signup": "Bash", "purchase": "Edit", "error": "WebFetch"}
 
@@ -122,6 +123,7 @@ def arbitration_log(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "ts", F.concat(F.lit("q"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("ts") / 604_800_000).cast("string")).alias("query_id"),
         F.element_at(F.array(*[F.lit(c) for c in CAPABILITIES]), (k % 6 + 1).cast("int")).alias("capability"),
         F.element_at(F.array(F.lit("inject"), F.lit("suppress"), F.lit("shadow")), (F.col("event_id") % 3 + 1).cast("int")).alias("action"),
+        F.element_at(F.array(*[F.lit(r) for r in REASONS]), (k % 7 + 1).cast("int")).alias("reason"),
         F.floor(F.col("value")).cast("bigint").alias("injection_tokens"), (F.col("value") - 20).alias("expected_net"))
 
 

@@ -9,6 +9,8 @@ from memlens.operators import analytics as A
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S
 from memlens.plans.catalog import Query, Registry, rounded
+from memlens.session import cut
+from memlens.sources import events as EV
 
 QUERIES: Registry = {}
 
@@ -114,6 +116,9 @@ SELECT capability, count(*) FILTER (action='inject') AS inject, count(*) FILTER
   coalesce(sum(greatest(0,injection_tokens)) FILTER (action='inject'),0)::BIGINT AS injected_tokens,
   coalesce(sum(greatest(0,injection_tokens)) FILTER (action='suppress'),0)::BIGINT AS suppressed_tokens,
   round(coalesce(sum(expected_net) FILTER (action='inject'),0.0),6) AS injected_net FROM dec GROUP BY 1"""))
+_q("e13_arbitration_reasons", lambda s, sf: A.arbitration_reasons(D.arbitration_log(s, sf)), S.with_(S.RAW, select=f"""
+SELECT ({S.arr(D.REASONS)})[(k%7+1)::INT] AS reason, count(*) FILTER (event_id%3=0) AS inject, count(*) FILTER (event_id%3=1) AS suppress,
+  count(*) FILTER (event_id%3=2) AS shadow, count(*) AS decisions FROM raw GROUP BY 1"""))
 _q("e13_arbitration_totals", lambda s, sf: A.arbitration_totals(D.arbitration_log(s, sf), D.event_log(s, sf)),
    S.with_(S.LOG, S.ARB, S.log_parts(), select="""
 SELECT *, inject_decisions - prompt_visible_items AS divergence FROM (SELECT (SELECT count(*) FROM dec) AS decisions,
@@ -191,6 +196,29 @@ def _usage(spark, sf):
 _q("e16_usage_metrics", _usage, _sql(*_usage_parts(""), select=f"SELECT {_USAGE_SELECT}, round((net_token_impact*0.000003)::DOUBLE,6) AS net_value FROM us"))
 
 
+def imported_log(spark, sf):
+    """The event log written as JSON lines, checked line by line, and read back into report columns."""
+    e = D.event_log(spark, sf)
+    ids = lambda c, name: F.transform(c, lambda i: F.struct(i.alias(name), F.lit(0.5).alias("score")))
+    only = lambda event, value: F.when(F.col("event") == event, value)
+    line = F.to_json(F.struct(
+        "ts", "event", F.col("query_id").alias("queryId"), F.col("run_id").alias("runId"), F.col("block_id").alias("blockId"), F.col("fact_id").alias("factId"),
+        F.coalesce("score", only("fact_injection", F.lit(0.0))).alias("score"), "shadow", F.col("control_reason").alias("controlReason"),
+        ids(F.col("candidates"), "blockId").alias("candidates"), ids(F.col("fact_candidates"), "factId").alias("factCandidates"),
+        F.col("injected_tokens").alias("injectedTokensEstimate"), "resolved", "tokens", F.col("duration_ms").alias("durationMs"), "control", "attribution",
+        F.col("match_signal").alias("matchSignal"), F.col("match_score").alias("matchScore"), F.col("evidence_strength").alias("evidenceStrength"),
+        F.col("policy_id").alias("cascadePolicyId"), F.col("reranker_name").alias("rerankerName"), F.col("fell_back").alias("rerankerFellBack"), F.col("fallback_reason").alias("rerankerFallbackReason"),
+        only("calibrator_refit", F.lit(1)).alias("freshOutcomes"), only("calibrator_refit", F.col("ts")).alias("fittedAt"), only("drift_injection", F.lit("straight")).alias("signalKind"),
+        only("drift_injection", F.lit(1)).alias("patternsInjected"), only("drift_injection", F.lit(0.5)).alias("gateThreshold")))
+    lines = cut(e.select(F.col("event_id").alias("line_id"), line.alias("line")))
+    good = cut(EV.parse_event_lines(lines).select("line_id", "line", "status")).where("status = 'good'")
+    return cut(EV.event_log(good.select(F.col("line_id").alias("event_id"), F.col("line").alias("payload"))))  # a table: the reports read it many times
+
+
+_q("a4_imported_per_block_stats", lambda s, sf: A.per_item_stats(imported_log(s, sf), item="block"), QUERIES["e5_per_block_stats"].sql)
+_q("a4_imported_usage_metrics", lambda s, sf: A.usage_metrics(imported_log(s, sf), price_per_million=3.0).select(*A.USAGE_COLS, "net_value"), QUERIES["e16_usage_metrics"].sql)
+
+
 def daily_usage(spark, sf):
     """One usage row per UTC day with an eligible run."""
     return A.usage_metrics(A.with_day(D.event_log(spark, sf)), by=("day",))

@@ -282,15 +282,14 @@ SELECT query_id, doc_id, score FROM o QUALIFY row_number() OVER (PARTITION BY qu
 
 
 def _eval(s, sf):
-    """Judgements: a document holding the query's longest line is expected to be found."""
+    """Judgements: a document that holds the whole query text is expected to be found."""
     q, d = D.queries(s, sf), D.documents(s, sf)
-    line = lambda c: F.substring(T.norm_space(c), 1, 60)
     grams = d.select("doc_id", T.norm_space(F.col("text")).alias("text"))
-    rel = R.like_search(q.select("query_id", line(F.col("text")).alias("text")), grams.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("description"), F.lit(0.0).alias("q_score")), 1000)
+    rel = R.like_search(q.select("query_id", T.norm_space(F.col("text")).alias("text")), grams.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("description"), F.lit(0.0).alias("q_score")), None)
     return R.retrieval_eval(_slate(s, sf).select("query_id", F.col("item_id").alias("doc_id"), "rank"), rel.select("query_id", F.col("trace_id").alias("doc_id")))
 
 
-_EV = [*_SL, """qr AS (SELECT q.query_id, d.doc_id FROM (SELECT query_id, lower(trim(regexp_replace(text,'\\s+',' ','g'))[1:60]) AS n FROM qry) q JOIN (SELECT doc_id, lower(trim(regexp_replace(text,'\\s+',' ','g'))) AS h FROM documents) d ON contains(h, n)),
+_EV = [*_SL, """qr AS (SELECT q.query_id, d.doc_id FROM (SELECT query_id, lower(trim(regexp_replace(text,'\\s+',' ','g'))) AS n FROM qry) q JOIN (SELECT doc_id, lower(trim(regexp_replace(text,'\\s+',' ','g'))) AS h FROM documents) d ON contains(h, n)),
 ne AS (SELECT query_id, count(*) AS expected FROM qr GROUP BY 1),
 hi AS (SELECT query_id, count(*) FILTER (rank<=5) AS found, coalesce(sum(1/log2(rank+1)) FILTER (rank<=5),0.0) AS dcg, min(rank) AS first FROM sl SEMI JOIN qr USING (query_id, doc_id) GROUP BY 1),
 ev AS (SELECT query_id, coalesce(found/expected,0.0) AS recall, coalesce(dcg/list_sum(list_transform(range(1,least(expected,5)+1), lambda i: 1/log2(i+1))),0.0) AS ndcg, coalesce(1/first,0.0) AS rr FROM ne LEFT JOIN hi USING (query_id))"""]

@@ -122,7 +122,7 @@ _q("b8_prune_classify", lambda s, sf: D.documents(s, sf).select("doc_id", T.prun
            select="SELECT doc_id, reason, CASE WHEN reason='no-problem-signal' THEN 'low' WHEN reason IS NOT NULL THEN 'high' END AS confidence FROM r"))
 
 _pl = lambda c: _flat(f"regexp_replace(regexp_replace({c}, '(?m)^[ \\t]*#+[ \\t]*', '', 'g'), '`+', '', 'g')")
-_JUNK_NOISE = [r"(?i)" + V.DEFAULT_PACKAGE + r"@\d", *V.JUNK_NOISE, r"(?im)^[ \t]*##?[ \t]*summary[ \t]*[—-]"]
+_JUNK_NOISE = [*V.JUNK_NOISE, r"(?im)^[ \t]*##?[ \t]*summary[ \t]*[—-]"]
 _JUNK = f"""jp AS (SELECT *, {_pl('situation')} AS s1, {_pl('mechanism')} AS m1, {_pl('unlock')} AS u1 FROM mb),
 jt AS (SELECT *, lower(s1||' '||m1||' '||u1) AS corpus, {S.split_set('s1', '[^a-z0-9]+', 3)} AS ts, {S.split_set('m1', '[^a-z0-9]+', 3)} AS tm FROM jp),
 jk AS (SELECT *, CASE WHEN {S.jac('ts', 'tm', '1.0')} >= 0.8 THEN 'junk-self-ref' WHEN {_any('corpus', _JUNK_NOISE)} THEN 'junk-release-noise'

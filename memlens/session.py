@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +32,13 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **extra: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; make one only when it is unset."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-memlens-", dir="/tmp")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(shared)
     return shared
 

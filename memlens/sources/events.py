@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ class _Json:
     def one_of(self, field: str, *values: str) -> Column:
         return F.coalesce(self.text(field).isin(*values), F.lit(False))
 
+    def at(self, field: str) -> _Json:
+        return _Json(F.try_variant_get(self.v, f"$.{field}", "variant"))
+
+    def numbers(self, names: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [self.is_number(n) for n in names])
+
+    def list_of(self, field: str, test: Callable[[_Json], Column]) -> Column:
+        arr = F.try_variant_get(self.v, f"$.{field}", "array<variant>")
+        return F.coalesce(self.kind(field).startswith("ARRAY") & F.forall(arr, lambda c: test(_Json(c))), F.lit(False))
+
+    def itself(self) -> Column:
+        return F.try_variant_get(self.v, "$", "string")
+
     def items(self, field: str, id_field: str) -> Column:
         """An array whose every element has a non-empty id and a numeric score."""
         arr = F.try_variant_get(self.v, f"$.{field}", "array<variant>")
@@ -78,6 +92,14 @@ def valid_event(v: Column) -> Column:
         "trace_feedback": j.is_text("traceId") & j.is_bool("helpful") & j.optional("attribution", j.one_of("attribution", "explicit", "inferred")),
         "calibrator_refit": j.is_number("freshOutcomes") & j.is_number("fittedAt"),
         "drift_injection": j.one_of("signalKind", "straight", "pingpong", "duplicate") & j.is_number("patternsInjected") & j.is_number("gateThreshold"),
+        "trace_retrieval": j.list_of("candidates", lambda c: c.is_text("traceId") & c.is_number("score") & c.at("signals").numbers(V.TRACE_SIGNALS))
+        & j.at("sampledWeights").numbers(V.TRACE_SIGNALS[1:]) & j.is_text("rankerVersion")
+        & j.list_of("selectedTraceIds", lambda c: F.coalesce((F.schema_of_variant(c.v) == "STRING") & (c.itself() != ""), F.lit(False))) & j.optional("seed", j.is_number("seed")),
+        "block_demoted": j.is_text("blockId") & j.numbers(["health", "demotionThreshold", "labeledTrials"])
+        & j.list_of("reasons", lambda c: F.coalesce(c.itself().isin(*V.DEMOTION_REASONS), F.lit(False))) & (F.size(F.try_variant_get(j.v, "$.reasons", "array<variant>")) > 0)
+        & j.at("components").numbers(V.DEMOTION_COMPONENTS),
+        "capture.error": j.one_of("phase", *V.CAPTURE_PHASES) & j.one_of("reason", "validation", "unknown")
+        & F.coalesce(F.length(j.text("message")) <= 200, F.lit(False)),
         "arbitration_decision": j.one_of("capability", "reasoning_reuse", "file_memory", "loop_redirect", "tool_supervision", "context_fold", "context_pruning")
         & j.one_of("action", "inject", "suppress", "shadow")
         & j.one_of("reason", "positive_roi", "budget", "low_confidence", "stale", "duplicate", "profile_cap", "holdout"),
@@ -124,3 +146,27 @@ def normalize_events(raw: DataFrame) -> DataFrame:
         F.when(event.isin("fact_injection", "fact_agent_used"), get("factId")).alias("fact_id"),
         F.when(event == "retrieval", get("shadow").cast("boolean")).when(event == "outcome", get("control").cast("boolean")).alias("shadow"),
         get("score").cast("double").alias("score"), get("resolved").cast("boolean").alias("resolved"), get("tokens").cast("double").alias("tokens"))
+
+
+def event_log(raw: DataFrame) -> DataFrame:
+    """``raw(event_id, payload, run_id?)`` JSON -> the log that the reports read, one parse per line.
+
+    Candidates are lists of ids.  Fields of other event types are null; the run id falls back to the column.
+    """
+    v = raw.withColumn("_v", F.try_parse_json("payload"))
+    get = lambda f, kind="string": F.try_variant_get("_v", f"$.{f}", kind)
+    event = get("event")
+    on = lambda types, value: F.when(event.isin(*types), value)
+    ids = lambda field, name: F.transform(get(field, "array<variant>"), lambda c: F.try_variant_get(c, f"$.{name}", "string"))
+    run = F.coalesce(get("runId"), F.col("run_id")) if "run_id" in raw.columns else get("runId")
+    ret, out, use = ("retrieval",), ("outcome",), ("agent_used", "fact_agent_used", "trace_agent_used")
+    return v.select(
+        "event_id", get("ts", "bigint").alias("ts"), event.alias("event"), get("queryId").alias("query_id"), run.alias("run_id"),
+        on(("injection", "agent_used", "block_demoted"), get("blockId")).alias("block_id"), on(("fact_injection", "fact_agent_used"), get("factId")).alias("fact_id"),
+        on(("injection",), get("score", "double")).alias("score"), on(ret, get("shadow", "boolean")).alias("shadow"),
+        on(ret, get("controlReason")).alias("control_reason"), on(ret, ids("candidates", "blockId")).alias("candidates"), on(ret, ids("factCandidates", "factId")).alias("fact_candidates"),
+        on(ret, get("injectedTokensEstimate", "bigint")).alias("injected_tokens"), on(out, get("resolved", "boolean")).alias("resolved"),
+        on(out, get("tokens", "bigint")).alias("tokens"), on(out, get("durationMs", "bigint")).alias("duration_ms"), on(out, get("control", "boolean")).alias("control"),
+        on(("outcome", "trace_feedback"), get("attribution")).alias("attribution"), on(use, get("matchSignal")).alias("match_signal"), on(use, get("matchScore", "double")).alias("match_score"),
+        on(use, get("evidenceStrength")).alias("evidence_strength"), on(ret, get("cascadePolicyId")).alias("policy_id"),
+        on(ret, get("rerankerName")).alias("reranker_name"), on(ret, get("rerankerFellBack", "boolean")).alias("fell_back"), on(ret, get("rerankerFallbackReason")).alias("fallback_reason"))

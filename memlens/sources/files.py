@@ -11,11 +11,14 @@ from memlens.functions import text as T
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, content, size_bytes) of every file under ``root``; oversize files keep no content."""
+    """(rel_path, content, size_bytes) of every file under ``root``; oversize files keep no content.
+
+    Bytes that are not UTF-8 become replacement characters, so a binary file is read and then skipped by its NUL bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^file:/*" + root.strip("/") + "/|^" + root.rstrip("/") + "/", "")
-    keep = F.when(F.col("length") <= V.MAX_FILE_BYTES, F.col("content"))
-    return files.select(rel.alias("rel_path"), F.decode(keep, "UTF-8").alias("content"), F.col("length").alias("size_bytes"))
+    keep = F.when(F.col("length") <= V.MAX_FILE_BYTES, F.make_valid_utf8(F.col("content").cast("string")))
+    return files.select(rel.alias("rel_path"), keep.alias("content"), F.col("length").alias("size_bytes"))
 
 
 def scan_files(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES, max_files: int = V.WALK_MAX_FILES, byte_budget: int = V.WALK_MAX_BYTES) -> DataFrame:

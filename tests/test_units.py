@@ -307,3 +307,47 @@ def test_redirect_followed(spark):
     obs = spark.createDataFrame([(1, "s", 1, "Read", "A", True), (2, "s", 2, "Read", "A", True), (3, "s", 3, "Bash", "B", False)], "event_id long, session_id string, ts long, tool_name string, arg_key string, ok boolean")
     red = spark.createDataFrame([(1, "b"), (2, "b"), (3, "b")], "event_id long, anchor_id string")
     assert [(r.event_id, r.success) for r in EV.redirect_followed(obs, red).collect()] == [(2, False)]
+
+
+# --- rules that a shared constant could hide: literal expectations ---------------------------
+
+
+def test_binary_files_are_read_and_skipped(spark, tmp_path):
+    from memlens.sources import files as FL
+    (tmp_path / "a.txt").write_text("plain é")
+    (tmp_path / "b.png.dat").write_bytes(b"\x89PNG\r\n\x1a\n\x00\x00\xff\xfe")
+    (tmp_path / "c.dat").write_bytes(b"latin \xe9")
+    got = {r.rel_path: (r.state, r.reason) for r in FL.scan_files(FL.read_tree(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": ("kept", None), "b.png.dat": ("skipped", "binary"), "c.dat": ("kept", None)}
+
+
+def test_release_noise_needs_a_package_name(spark):
+    from memlens.functions import text as T
+    df = spark.createDataFrame([("upgraded react@18 to fix the build", "m", "u", "v")], "s string, m string, u string, v string")
+    gate = lambda **kw: df.select(T.capture_gate(F.col("s"), F.col("m"), F.col("u"), F.col("v"), **kw).alias("g")).first().g
+    assert gate() == "accept" and gate(package="react") == "release-noise" and gate(package="vue") == "accept"
+
+
+def test_capital_cyrillic_is_a_problem_signal(spark):
+    from memlens.functions import text as T
+    rows = [("ошибка в модуле", None), ("Ошибка в модуле", None), ("НЕ РАБОТАЕТ сборка", None), ("всё хорошо", "no-problem-signal")]
+    got = spark.createDataFrame(rows, "t string, want string").select(T.prune_reason(F.col("t")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_all_event_types_have_rules(spark):
+    import json
+
+    from memlens.sources import events as EV
+    base = {"ts": 1, "queryId": "q"}
+    signals = dict.fromkeys(["bm25", "jaccard", "structural", "cosine", "freshness"], 0.5)
+    parts = dict.fromkeys(["wilsonLb", "counterproductiveRate", "stalePenalty", "duplicationPenalty", "genericnessPenalty", "negativeRoiPenalty"], 0.1)
+    trace = {"event": "trace_retrieval", "candidates": [{"traceId": "t", "score": 1, "signals": {**signals, "fingerprint": 1}}], "sampledWeights": signals, "rankerVersion": "v", "selectedTraceIds": ["t"]}
+    demoted = {"event": "block_demoted", "blockId": "b", "health": 0.1, "demotionThreshold": 0.2, "labeledTrials": 5, "reasons": ["stale"], "components": parts}
+    failed = {"event": "capture.error", "phase": "fact_store", "reason": "unknown", "message": "m"}
+    good = [trace, demoted, failed, {**trace, "candidates": []}]
+    bad = [{**trace, "rankerVersion": ""}, {**trace, "candidates": [{"traceId": "t", "score": 1, "signals": signals}]}, {**trace, "selectedTraceIds": [1]}, {**demoted, "reasons": []},
+           {**demoted, "reasons": ["other"]}, {**demoted, "components": {}}, {**failed, "phase": "x"}, {**failed, "message": "m" * 201}]
+    lines = [(i, json.dumps(base | e)) for i, e in enumerate(good + bad)]
+    got = {r.line_id: r.status for r in EV.parse_event_lines(spark.createDataFrame(lines, "line_id long, line string")).collect()}
+    assert [got[i] for i in range(len(lines))] == ["good"] * len(good) + ["invalid"] * len(bad)
