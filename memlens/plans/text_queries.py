@@ -180,17 +180,17 @@ _q("b13_file_symbols", lambda s, sf: D.files(s, sf).withColumn("language", M.fil
     "b", M.file_symbols(F.col("language"), F.col("content"))).select("file_id", "language", _SORTED("b.imports").alias("imports"), _SORTED("b.exports").alias("exports"), _SORTED("b.symbols").alias("symbols")),
    S.with_(S.FILES, f"""fl AS (SELECT file_id, {_LANG} AS language, list_transform(string_split(content, chr(10))[1:400], lambda l: {_trim('l')}) AS ls,
   string_split(content, chr(10))[1:400] AS raws FROM fil),
-fm AS (SELECT *, list_filter(ls, lambda l: NOT regexp_matches(l, {S.q(M.TS_IMPORT)})) AS rest,
+fm AS (SELECT *, list_filter(ls, lambda l: NOT regexp_matches(l, {S.q(V.TS_IMPORT)})) AS rest,
   list_filter(ls, lambda l: regexp_matches(l, '^export\\s*\\{{')) AS rex FROM fl)""", select=f"""
-SELECT file_id, language, CASE language WHEN 'typescript' THEN {_srt(f"list_concat({_ln(M.TS_IMPORT)}, {_ln(M.TS_REQUIRE, 'rest')})")}
-   WHEN 'python' THEN {_srt(f"list_concat({_ln(M.PY_FROM)}, {_ln(M.PY_IMPORT)})")} WHEN 'go' THEN {_srt(f"list_transform({_GO_IN}, lambda l: regexp_extract(l, '\"([^\"]+)\"', 1))")}
-   WHEN 'rust' THEN {_srt(_ln(M.RS_USE))} ELSE '' END AS imports,
-  CASE language WHEN 'typescript' THEN {_srt(f"list_concat({_ln(M.TS_EXPORT, 'rest')}, list_transform(flatten(list_transform(rex, lambda l: string_split(regexp_extract(l, {S.q(M.TS_REEXPORT)}, 1), ','))), lambda x: trim(string_split_regex(trim(x), '[ ]as[ ]')[-1])))")}
-   WHEN 'go' THEN {_srt(f"list_filter(list_concat({_ln(M.GO_FUNC)}, {_ln(M.GO_TYPE)}), lambda n: regexp_matches(n, '^[A-Z]'))")}
-   WHEN 'rust' THEN {_srt(f"list_concat({_ln(M.RS_FN, chr(34) + 'pubs' + chr(34))}, {_ln(M.RS_TYPE, chr(34) + 'pubs' + chr(34))})")} ELSE '' END AS exports,
-  CASE language WHEN 'typescript' THEN {_srt(_ln(M.TS_DECL, 'rest'))} WHEN 'python' THEN {_srt(f"list_concat({_ln(M.PY_DEF, 'raws')}, {_ln(M.PY_CLASS, 'raws')})")}
-   WHEN 'go' THEN {_srt(f"list_concat(list_transform({_ln(M.GO_PACKAGE)}[1:1], lambda p: 'pkg:'||p), list_concat({_ln(M.GO_FUNC)}, {_ln(M.GO_TYPE)}))")}
-   WHEN 'rust' THEN {_srt(f"list_concat({_ln(M.RS_FN)}, {_ln(M.RS_TYPE)})")} ELSE '' END AS symbols
+SELECT file_id, language, CASE language WHEN 'typescript' THEN {_srt(f"list_concat({_ln(V.TS_IMPORT)}, {_ln(V.TS_REQUIRE, 'rest')})")}
+   WHEN 'python' THEN {_srt(f"list_concat({_ln(V.PY_FROM)}, {_ln(V.PY_IMPORT)})")} WHEN 'go' THEN {_srt(f"list_transform({_GO_IN}, lambda l: regexp_extract(l, '\"([^\"]+)\"', 1))")}
+   WHEN 'rust' THEN {_srt(_ln(V.RS_USE))} ELSE '' END AS imports,
+  CASE language WHEN 'typescript' THEN {_srt(f"list_concat({_ln(V.TS_EXPORT, 'rest')}, list_transform(flatten(list_transform(rex, lambda l: string_split(regexp_extract(l, {S.q(V.TS_REEXPORT)}, 1), ','))), lambda x: trim(string_split_regex(trim(x), '[ ]as[ ]')[-1])))")}
+   WHEN 'go' THEN {_srt(f"list_filter(list_concat({_ln(V.GO_FUNC)}, {_ln(V.GO_TYPE)}), lambda n: regexp_matches(n, '^[A-Z]'))")}
+   WHEN 'rust' THEN {_srt(f"list_concat({_ln(V.RS_FN, chr(34) + 'pubs' + chr(34))}, {_ln(V.RS_TYPE, chr(34) + 'pubs' + chr(34))})")} ELSE '' END AS exports,
+  CASE language WHEN 'typescript' THEN {_srt(_ln(V.TS_DECL, 'rest'))} WHEN 'python' THEN {_srt(f"list_concat({_ln(V.PY_DEF, 'raws')}, {_ln(V.PY_CLASS, 'raws')})")}
+   WHEN 'go' THEN {_srt(f"list_concat(list_transform({_ln(V.GO_PACKAGE)}[1:1], lambda p: 'pkg:'||p), list_concat({_ln(V.GO_FUNC)}, {_ln(V.GO_TYPE)}))")}
+   WHEN 'rust' THEN {_srt(f"list_concat({_ln(V.RS_FN)}, {_ln(V.RS_TYPE)})")} ELSE '' END AS symbols
 FROM (SELECT *, list_filter(ls, lambda l: starts_with(l, 'pub ')) AS pubs FROM fm)"""))
 
 

@@ -351,3 +351,13 @@ def test_all_event_types_have_rules(spark):
     lines = [(i, json.dumps(base | e)) for i, e in enumerate(good + bad)]
     got = {r.line_id: r.status for r in EV.parse_event_lines(spark.createDataFrame(lines, "line_id long, line string")).collect()}
     assert [got[i] for i in range(len(lines))] == ["good"] * len(good) + ["invalid"] * len(bad)
+
+
+def test_file_headers(spark):
+    from memlens.operators import mining as M
+    rows = [("python", '#!/usr/bin/env python\n"""Reads the log.\n\nSlowly."""\nimport os', "Reads the log. Slowly.", True), ("python", "\n# one\n# two\nx = 1", "one two", True),
+            ("python", "x = 1\n# late", "x = 1", False), ("typescript", "/**\n * Parses lines.\n * Twice.\n */\nexport {}", "Parses lines. Twice.", True),
+            ("go", "// Package a\n// does b.\npackage a", "Package a does b.", True), ("rust", "//! Crate docs\nuse x;", "Crate docs", True), ("javascript", "\n\nlet a = 1; // no", "let a = 1; // no", False),
+            ("plain", "a\n\n b \nc\nd\ne\nf", "a b c d e", True), ("plain", "", "", False), ("python", "", "", False)]
+    df = spark.createDataFrame(rows, "language string, content string, want string, matched boolean").withColumn("h", M.file_header(F.col("language"), F.col("content")))
+    assert all((r.h.header, r.h.header_matched) == (r.want, r.matched) for r in df.collect())
