@@ -38,7 +38,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 
 
 def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Last row per key as an aggregate: combines on the map side, no sort of a hot key."""
+    """Last row per key as an aggregate that combines on the map side (Spark plans it as a sort aggregate inside each task)."""
     return (
         df.groupBy(*keys)
         .agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
