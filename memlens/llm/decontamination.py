@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 1. Items become word sequences; their SEED_WORDS-word runs are the seeds.
 2. A bit filter of fixed size over all seeds goes to every task.  One scan of the documents keeps, around the places
    that pass the filter, windows of words wide enough for the longest item.
-3. Seeds join windows to items by an ordinary shuffle join.  Document frequencies are counted over the whole corpus, and
-   an item's seeds that are far more common than its median seed do not propose candidates.
-4. Each candidate window is aligned with its item, word by word.
+3. Equal windows are one candidate.  Seeds join distinct windows to items by an ordinary shuffle join; every seed
+   proposes, however common it is.
+4. Each distinct (window, item) is aligned once, word by word, and the documents that hold the window join its result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,6 @@ from memlens.session import cut
 
 SEED_WORDS = 4
 FILTER_BITS = 1 << 23
-COMMON_FACTOR = 16
 MIN_SHARE = 0.5
 MIN_WORDS = 8
 
@@ -67,6 +67,7 @@ def _scan(packed: np.ndarray, reach: int):
         for batch in batches:
             rows: list[int] = []
             starts: list[int] = []
+            prints: list[bytes] = []
             words, seeds = [], []
             for row, (w, s) in enumerate(_texts(batch.column(1))):
                 if not len(s):
@@ -79,11 +80,12 @@ def _scan(packed: np.ndarray, reach: int):
                     low, high = max(0, int(part[0]) - reach), min(len(w), int(part[-1]) + SEED_WORDS + reach)
                     rows.append(row)
                     starts.append(low)
+                    prints.append(hashlib.blake2b(w[low:high].tobytes(), digest_size=16).digest())
                     words.append(w[low:high].view(np.int64))
                     seeds.append(np.unique(s[part]).view(np.int64))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), list_column(words, pa.int64()), list_column(seeds, pa.int64())],
-                                             ["doc", "start", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(prints, pa.binary()), list_column(words, pa.int64()), list_column(seeds, pa.int64())],
+                                             ["doc", "start", "window", "words", "seeds"])
 
     return run
 
@@ -120,17 +122,21 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = batch.column(2), batch.column(4)
+        left, right = batch.column(1), batch.column(3)
+        rows: list[int] = []
         out = []
         for i in range(batch.num_rows):
             a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
-            if best_alignment(a, b)[0] < needed_score(len(b)):
+            needed = needed_score(len(b))
+            # no alignment scores more than the item's words that the window holds
+            if np.isin(b, a).sum() < needed or best_alignment(a, b)[0] < needed:
                 continue
             score, first, end = align(a, b)
-            base = batch.column(1)[i].as_py()
-            out.append((batch.column(0)[i].as_py(), batch.column(3)[i].as_py(), score, len(b), base + first, base + end))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)],
-                                         ["doc", "item", "score", "item_len", "first_word", "end_word"])
+            rows.append(i)
+            out.append((score, len(b), first, end))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at)] + [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)],
+                                         ["window", "item", "score", "item_len", "first", "end"])
 
 
 def needed_score(item_words: int) -> int:
@@ -150,15 +156,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
     reach = items.agg(F.coalesce(F.max(F.size("item_words")), F.lit(0))).first()[0]
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    windows = cut(source.mapInArrow(_scan(seed_filter(seeds), int(reach)), "doc long, start long, words array<long>, seeds array<long>"))
-    hits = windows.select("doc", "start", F.explode("seeds").alias("seed"))
-    spread = hits.select("doc", "seed").distinct().groupBy("seed").agg(F.count("*").alias("df"))
-    counted = seeds.join(spread, "seed")
-    usual = counted.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("median"))
-    rare = counted.join(usual, "item").where(F.col("df") <= COMMON_FACTOR * F.col("median")).select("seed", "item")
-    pairs = hits.join(rare, "seed").select("doc", "start", "item").distinct()
-    aligned = (pairs.join(windows, ["doc", "start"]).join(items, "item").select("doc", "start", "words", "item", "item_words")
-               .mapInArrow(_scores, "doc long, item long, score long, item_len long, first_word long, end_word long"))
+    windows = cut(source.mapInArrow(_scan(seed_filter(seeds), int(reach)), "doc long, start long, window binary, words array<long>, seeds array<long>"))
+    kinds = cut(windows.select("window", "words", "seeds").dropDuplicates(["window"]))
+    pairs = kinds.select("window", F.explode("seeds").alias("seed")).join(seeds, "seed").select("window", "item").distinct()
+    scored = (pairs.join(kinds, "window").join(items, "item").select("window", "words", "item", "item_words")
+              .mapInArrow(_scores, "window binary, item long, score long, item_len long, first long, end long"))
+    aligned = scored.join(windows.select("window", "doc", "start"), "window").select(
+        "doc", "item", "score", "item_len", (F.col("start") + F.col("first")).alias("first_word"), (F.col("start") + F.col("end")).alias("end_word"))
     best = aligned.groupBy("doc", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("neg"), "item_len", "end_word")).alias("b"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.score").alias("score"), F.col("b.item_len").alias("item_words"),
                        F.round(F.col("b.score") / F.col("b.item_len"), 6).alias("share"), (-F.col("b.neg")).alias("first_word"), F.col("b.end_word").alias("end_word"))

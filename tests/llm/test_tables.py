@@ -110,6 +110,19 @@ def test_copies_and_edited_copies_of_items(spark):
     assert (row.score, row.item_words, row.first_word, row.end_word) == (40, 40, 50, 90)
 
 
+def test_copies_of_an_edited_item_do_not_hide_it(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [[word() for _ in range(40)] for _ in range(2)]
+    edited = [[w if i % 6 else word() for i, w in enumerate(item)] for item in items]
+    docs = [(1, items[0]), (2, items[1])] + [(100 + i, edited[0]) for i in range(50)] + [(200 + i, [word() for _ in range(9)] + edited[1] + [word() for _ in range(9)]) for i in range(50)]
+    found = decontamination.find_contamination(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"),
+                                               spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.score, r.first_word) for r in found.collect()}
+    assert set(got) == {(1, 0), (2, 1)} | {(100 + i, 0) for i in range(50)} | {(200 + i, 1) for i in range(50)}
+    assert {got[100 + i, 0] for i in range(50)} == {(27, 1)} and {got[200 + i, 1] for i in range(50)} == {(27, 10)}
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "one two three four"), (4, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5"), (4, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.find_contamination(odd, items).collect()) == [(4, 4), (5, 4)]
