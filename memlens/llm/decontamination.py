@@ -25,6 +25,7 @@ SEED_WORDS = 4
 FILTER_BITS = 1 << 23
 MIN_SHARE = 0.5
 MIN_WORDS = 8
+EXCERPT_WORDS = 30
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,8 +141,8 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def needed_score(item_words: int) -> int:
-    """Least score of a copy: half of the item's words, and MIN_WORDS of them where it has so many."""
-    return max(int(np.ceil(MIN_SHARE * item_words)), min(item_words, MIN_WORDS), 1)
+    """Least score of a copy: half of the item's words, and MIN_WORDS of them where it has so many; an excerpt of EXCERPT_WORDS is one of any item."""
+    return min(max(int(np.ceil(MIN_SHARE * item_words)), min(item_words, MIN_WORDS), 1), EXCERPT_WORDS)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

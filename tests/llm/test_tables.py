@@ -123,6 +123,16 @@ def test_copies_of_an_edited_item_do_not_hide_it(spark):
     assert {got[100 + i, 0] for i in range(50)} == {(27, 1)} and {got[200 + i, 1] for i in range(50)} == {(27, 10)}
 
 
+def test_long_excerpts_of_long_items(spark):
+    rng = random.Random(28)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    item = [word() for _ in range(300)]
+    docs = [(1, item[80:220]), (2, [word() for _ in range(20)] + item[10:40]), (3, item[50:79]), (4, item)]
+    found = decontamination.find_contamination(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"),
+                                               spark.createDataFrame([(0, " ".join(item))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.score, r.first_word) for r in found.collect()) == [(1, 140, 0), (2, 30, 20), (4, 300, 0)]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (None, "one two three four"), (4, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5"), (4, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontamination.find_contamination(odd, items).collect()) == [(4, 4), (5, 4)]
