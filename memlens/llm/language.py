@@ -5,6 +5,8 @@ over longer ones.  The statistics are then frozen.  The code length of a byte is
 training: a byte seen there costs -log2(count / (total + distinct)); any other costs the escape
 -log2(distinct / (total + distinct)) and is coded one order lower, down to a uniform order.  Because nothing adapts
 while a text is read, each (context, byte) has one fixed cost, and a text's cost is a sum of table entries.
+
+All byte values are symbols of their own.  Only contexts and bytes that were seen are held, as sorted codes.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from memlens.llm.common import text_slices
 
 MAX_ORDER = 3
-MAX_SYMBOLS = 44
+SYMBOLS = 256
 SOFT_BYTES = 200
 UNKNOWN = "und"
 
@@ -28,109 +31,111 @@ def training_rows(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 != 1
 
 
-def _folded() -> np.ndarray:
-    fold = np.arange(256)
-    fold[65:91] += 32
-    fold[[9, 10, 11, 12, 13]] = 32
-    fold[48:58] = 48
-    return fold
-
-
-FOLD = _folded()
-
-
-def alphabet(counts: np.ndarray) -> np.ndarray:
-    """Symbol of every byte: letters fold to lower case, digits to 0, white space to a blank; the commonest bytes of the
-    training texts have symbols of their own, the others share symbol 0."""
-    folded = np.bincount(FOLD, weights=counts, minlength=256)
-    best = sorted((b for b in range(256) if folded[b] > 0), key=lambda b: (-folded[b], b))[: MAX_SYMBOLS - 1]
-    symbol = np.zeros(256, np.int64)
-    for i, b in enumerate(best):
-        symbol[b] = i + 1
-    return symbol[FOLD]
-
-
-def codes(data: np.ndarray, offsets: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
-    """(context, byte) index of every byte of many texts; each text starts after MAX_ORDER blanks."""
-    s = symbols[data]
-    blank = int(symbols[32])
+def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(context, byte) code of every byte of many texts; each text starts after MAX_ORDER blanks."""
+    s = data.astype(np.int64)
     out = s.copy()
     begins = offsets[:-1]
     for k in range(1, MAX_ORDER + 1):
-        back = np.full(len(s), blank, np.int64)
+        back = np.full(len(s), 32, np.int64)
         back[k:] = s[:-k]
         for j in range(k):  # bytes before a text's start are blanks
             at = begins + j
-            back[at[at < offsets[1:]]] = blank
-        out += back * size**k
+            back[at[at < offsets[1:]]] = 32
+        out += back * SYMBOLS**k
     return out
 
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for _, data, _ in text_slices(batch.column(0)):
-            total += np.bincount(data, minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _context_counts(symbols: np.ndarray, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for at, data, offsets in text_slices(batch.column(1)):
-                found = codes(data, offsets, symbols, size)
-                names, which = np.unique(np.array(langs[at : at + len(offsets) - 1]), return_inverse=True)
-                of_byte = np.repeat(which, np.diff(offsets))
-                for i, lang in enumerate(names.tolist()):
-                    keys, n = np.unique(found[of_byte == i], return_counts=True)
-                    total.setdefault(lang, np.zeros(size ** (MAX_ORDER + 1), np.int32))[keys] += n.astype(np.int32)
-        for lang, dense in total.items():
-            keys = np.flatnonzero(dense)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(dense[part].astype(np.int64))], ["lang", "code", "n"])
+def _context_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        for at, data, offsets in text_slices(batch.column(1)):
+            found = codes(data, offsets)
+            names, which = np.unique(np.array(langs[at : at + len(offsets) - 1]), return_inverse=True)
+            of_byte = np.repeat(which, np.diff(offsets))
+            for i, lang in enumerate(names.tolist()):
+                place, keys = pd.factorize(found[of_byte == i])
+                parts = total.setdefault(lang, [])
+                parts.append((keys, np.bincount(place, minlength=len(keys))))
+                while len(parts) > 1 and len(parts[-2][0]) <= 2 * len(parts[-1][0]):  # sizes fall by half: each key is merged a few times
+                    last = [parts.pop(), parts.pop()]
+                    parts.append(summed(np.concatenate([k for k, _ in last]), np.concatenate([n for _, n in last])))
+    for lang, parts in total.items():
+        keys, n = summed(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
+        for at in range(0, len(keys), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys[part])), pa.array(keys[part], pa.int64()), pa.array(n[part], pa.int64())], ["lang", "code", "n"])
+
+
+class Costs:
+    """Bits of every (context, byte) of one language, by escape from longer to shorter contexts.
+
+    Per order, from the longest: the codes seen with their bits, and the contexts seen with the bits of their escape.
+    """
 
-    return run
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, size: int = SYMBOLS):
+        self.size = size
+        self.orders = []
+        for order in range(MAX_ORDER, -1, -1):
+            keys, counts = summed(keys % size ** (order + 1), counts)
+            contexts, which, kinds = np.unique(keys // size, return_inverse=True, return_counts=True)
+            whole = np.bincount(which, counts, len(contexts)) + kinds
+            self.orders.append((keys, np.log2(whole[which] / counts), contexts, np.log2(whole / kinds)))
+
+    def bits(self, wanted: np.ndarray) -> np.ndarray:
+        """Bits of each code."""
+        out = np.zeros(len(wanted))
+        left = np.arange(len(wanted))
+        for order, (keys, bits, contexts, escapes) in zip(range(MAX_ORDER, -1, -1), self.orders, strict=True):
+            code = wanted[left] % self.size ** (order + 1)
+            at, seen = _places(keys, code)
+            out[left[seen]] += bits[at[seen]]
+            left, code = left[~seen], code[~seen]
+            at, seen = _places(contexts, code // self.size)
+            out[left[seen]] += escapes[at[seen]]
+        out[left] += np.log2(self.size)
+        return out
+
+
+def _places(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value is in a sorted array, and whether it is there."""
+    at = np.searchsorted(ordered, wanted)
+    seen = at < len(ordered)
+    seen[seen] = ordered[at[seen]] == wanted[seen]
+    return at, seen
 
 
 def cost_table(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Bits of every (context, byte) from its training counts, by escape from longer to shorter contexts."""
-    full = np.zeros(size ** (MAX_ORDER + 1))
-    full[keys] = counts
-    chance = np.full(size, 1.0 / size)
-    for order in range(MAX_ORDER + 1):
-        here = full.reshape(-1, size**order, size).sum(axis=0)
-        total, kinds = here.sum(axis=1, keepdims=True), (here > 0).sum(axis=1, keepdims=True)
-        lower = np.tile(chance.reshape(-1, size), (size if order else 1, 1)) if order else chance.reshape(1, size)
-        whole = np.where(total > 0, total + kinds, 1.0)
-        chance = np.where(total == 0, lower, np.where(here > 0, here / whole, kinds / whole * lower))
-    return (-np.log2(chance)).astype(np.float32).reshape(-1)
+    """Bits of every (context, byte) of a small alphabet, as one dense table."""
+    return Costs(keys, counts, size).bits(np.arange(size ** (MAX_ORDER + 1)))
 
 
 class Model:
-    """Frozen statistics of all languages; at most size**(MAX_ORDER+1) counts per language, kept sparse on the way."""
+    """Frozen statistics of all languages: the counts of the codes that occur in training."""
 
-    def __init__(self, symbols: np.ndarray, size: int, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.symbols, self.size, self.counts = symbols, size, counts
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.counts = counts
         self.langs = sorted(counts)
 
-    def tables(self) -> list[np.ndarray]:
-        return [cost_table(*self.counts[lang], self.size) for lang in self.langs]
+    def tables(self) -> list[Costs]:
+        return [Costs(*self.counts[lang]) for lang in self.langs]
 
 
 def train(rows: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Context counts of all given rows with a language.  The driver gets the summed counts only: at most 256 rows, then
-    at most MAX_SYMBOLS**4 per language, whatever the number of texts."""
+    """Context counts of all given rows with a language.  The driver gets the summed counts only: a row for every language and
+    run of MAX_ORDER + 1 bytes that occurs, whatever the number of texts."""
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    seen = known.select("text").mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(256, np.int64)
-    counts[seen["byte"].to_numpy()] = seen["n"].to_numpy()
-    symbols = alphabet(counts)
-    size = int(symbols.max()) + 1
-    summed = known.mapInArrow(_context_counts(symbols, size), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    return Model(symbols, size, {name: (part["code"].to_numpy(), part["n"].to_numpy()) for name, part in summed.groupby("lang")})
+    found = known.mapInArrow(_context_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    return Model({name: (part["code"].to_numpy(), part["n"].to_numpy()) for name, part in found.groupby("lang")})
 
 
 def _predict(shared):
@@ -144,10 +149,10 @@ def _predict(shared):
             texts = batch.column(1)
             for at, data, offsets in text_slices(texts):
                 n = np.diff(offsets)
-                found = codes(data, offsets, model.symbols, model.size)
+                place, found = pd.factorize(codes(data, offsets))
                 bits = np.zeros((len(n), len(tables)))
                 for j, costs in enumerate(tables):
-                    sums = np.concatenate(([0.0], np.cumsum(costs[found], dtype=np.float64)))
+                    sums = np.concatenate(([0.0], np.cumsum(costs.bits(found)[place])))
                     bits[:, j] = sums[offsets[1:]] - sums[offsets[:-1]]
                 for i in range(len(n)):
                     value = texts[at + i].as_py()
@@ -174,7 +179,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     SOFT_BYTES scaled down to that length.  Null texts, texts without a letter, and a model without languages give
     ``und`` and 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_SYMBOLS**4 counts per language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the counts of the codes that occur in training
     kind = dict(docs.dtypes)[key]
     light = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return light.mapInArrow(_predict(shared), f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", key)

@@ -112,6 +112,24 @@ def test_language_on_held_out_rows(spark):
     assert sum(held) >= 0.97 * len(held)
 
 
+def test_rare_languages_of_one_script_in_a_latin_corpus(spark):
+    import random
+    rng = random.Random(9)
+    latin = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxzéèüöäßñçàêôï", k=rng.randrange(2, 9))) for _ in range(400)]
+    # two languages over the same letters, told apart by which ones are common
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    words = {"aa": ["".join(rng.choices(letters[:16], k=rng.randrange(2, 5)) + rng.choices(letters[16:], k=2)) for _ in range(300)],
+             "bb": ["".join(rng.choices(letters[16:], k=2) + rng.choices(letters[:16], k=rng.randrange(2, 5))) for _ in range(300)]}
+    text = lambda pool, n: " ".join(rng.choices(pool, k=n))
+    train = [("la", text(latin, 2000)) for _ in range(100)] + [(name, text(pool, 100)) for name, pool in words.items() for _ in range(10)]
+    model = language.train(spark.createDataFrame(train, "lang string, text string"))
+    held = [(name, text(pool, 4)) for name, pool in words.items() for _ in range(100)]
+    got = language.identify(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(held)], "doc_id long, text string"), model).collect()
+    assert sum(held[r.doc_id][0] == r.lang_pred for r in got) >= 0.99 * len(held)
+    seen = {b for keys, _ in model.counts.values() for b in (keys % 256).tolist()}
+    assert seen == {b for _, t in train for b in t.encode()}
+
+
 def test_language_odd_rows(odd, empty):
     got = {r.doc_id: r for r in language.predict_languages(odd).collect()}
     assert len(language.predict_languages(odd).collect()) == odd.count()
