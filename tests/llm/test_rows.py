@@ -31,6 +31,15 @@ def test_added_kinds_need_their_checksum_or_context(spark):
     assert spans_of(spark, "part number 123-45-6789") == []
 
 
+@pytest.mark.parametrize("text, places", [
+    ("IBAN DE89370400440532013000 Bank", [(5, 27)]), ("DE89 3704 0044 0532 0130 00 AND GO", [(0, 27)]), ("GB82 WEST 1234 5698 7654 32 12 euro", [(0, 27)]),
+    ("NO9386011117947 NO93 8601 1117 947 12", [(0, 15), (16, 34)]), ("DE89370400440532013000 GB82WEST12345698765432 X", [(0, 22), (23, 45)]),
+    ("AB12 3456 7890 1234 DE89 3704 0044 0532 0130 00 Bank", [(20, 47)]), ("é😀 MT84MALT011000012345MTLCAST001S B2", [(3, 34)]),
+    ("DE89370400440532013000a", []), ("aDE89370400440532013000", []), ("DE88 3704 0044 0532 0130 00 AND GO", []), ("IBAN DE89370400440532013000 Bank " * 600, [(33 * i + 5, 33 * i + 27) for i in range(600)])])
+def test_account_numbers_before_other_words(spark, text, places):
+    assert [s[1:] for s in spans_of(spark, text) if s[0] == "iban"] == places
+
+
 def test_redaction(spark):
     df = pii.find_pii(spark.createDataFrame([(1, "to a@b.co, 1.2.3.4 é")], "doc_id long, text string"))
     from pyspark.sql import functions as F
