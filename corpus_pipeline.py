@@ -39,8 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MIX_SHARE of all tokens, dealt evenly over domains' languages' sources as far as each has them; nothing repeats."""
-    chosen = mixing.mix(docs, mixing.tree_of(docs), mixing.source_domain(F.col("source")), MIX_SHARE, share=True, max_epochs=1, seed=8)
-    return docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    chosen = mixing.mix(docs, mixing.tree_of(docs), mixing.source_domain(F.col("source")), MIX_SHARE, share=True, max_epochs=1, seed=8, carry=True)
+    return chosen.select("_row.*")
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

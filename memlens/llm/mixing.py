@@ -69,17 +69,20 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, budget: float, share: bo
 
 
 def mix(docs: DataFrame, weights: DataFrame, domain: Column, budget: float, share: bool = False, max_epochs: int = 2, seed: int = 0,
-        key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+        key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", carry: bool = False) -> DataFrame:
     """Rows chosen to match target weights: (key, epoch, tokens, domain, lang, source), one per document and epoch.
 
     Every leaf of the tree domain > lang > source gets a budget (see ``leaf_budgets``).  Its documents are put in a
     seeded order per epoch; whole epochs are taken while the budget holds, then the prefix of the next epoch whose
     tokens fit.  Tokens are words, 1 at least.  A document is taken whole or not at all, so a leaf ends short of its
     budget by less than one document.  Rows with a null key or repeated keys are rows like any other.
+    With ``carry`` each result row also has its own input row, as struct ``_row``: ids cannot tell rows apart.
     Running sums use hash buckets of the order, so a leaf that holds a third of all rows is spread over 16**BUCKET_HEX groups.
     """
     path = [F.coalesce(c.cast("string"), F.lit("\0")) for c in (domain, F.col(lang), F.col(source))]
-    rows = docs.select(F.col(key).alias(key), n_tokens(F.col(text)).alias("tokens"), *[c.alias(n) for c, n in zip(path, LEVELS, strict=True)])
+    rows = docs.select(F.col(key).alias(key), n_tokens(F.col(text)).alias("tokens"), *[c.alias(n) for c, n in zip(path, LEVELS, strict=True)],
+                       *([F.struct(*docs.columns).alias("_row")] if carry else []))
+    own = ["_row"] if carry else []
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     budgets = leaf_budgets(leaves, weights, budget, share, max_epochs).withColumnRenamed("tokens", "leaf_tokens")
     # whole epochs, and what is left for the next one
@@ -95,12 +98,12 @@ def mix(docs: DataFrame, weights: DataFrame, domain: Column, budget: float, shar
     heads = partial.groupBy(*LEVELS, "_bucket").agg(F.sum("tokens").alias("_n"), F.first("rest").alias("_rest")).select(
         *LEVELS, "_bucket", "_n", "_rest", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     heads = heads.where("_base < _rest")
-    inner = W.partitionBy(*LEVELS, "_bucket").orderBy("_order", F.col(key).asc_nulls_first(), "tokens").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy(*LEVELS, "_bucket").orderBy("_order", F.col(key).asc_nulls_first(), "tokens", *[F.xxhash64(c) for c in own]).rowsBetween(W.unboundedPreceding, 0)
     prefix = partial.join(heads.select(*LEVELS, "_bucket", "_base"), [*LEVELS, "_bucket"]).withColumn("_sum", F.sum("tokens").over(inner) + F.col("_base"))
-    prefix = prefix.where("_sum <= rest").select(key, F.col("epochs").alias("epoch"), "tokens", *LEVELS)
-    whole = placed.where("epochs > 0").select(key, F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), "tokens", *LEVELS)
+    prefix = prefix.where("_sum <= rest").select(key, F.col("epochs").alias("epoch"), "tokens", *LEVELS, *own)
+    whole = placed.where("epochs > 0").select(key, F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), "tokens", *LEVELS, *own)
     null = lambda c: F.when(F.col(c) != "\0", F.col(c)).alias(c)
-    return whole.unionAll(prefix).select(key, "epoch", "tokens", *[null(c) for c in LEVELS])
+    return whole.unionAll(prefix).select(key, "epoch", "tokens", *[null(c) for c in LEVELS], *own)
 
 
 def source_domain(source: Column) -> Column:

@@ -223,6 +223,17 @@ def test_sharding_rows(documents, odd, empty):
 # --- pipeline
 
 
+def test_mixing_stage_keeps_the_chosen_rows_whatever_their_ids(spark, odd, empty):
+    import corpus_pipeline as p
+    rows = [(d, " ".join(f"w{i}x{j}" for j in range(10)), "en", "src1", i) for i, d in enumerate([None] * 20 + [7] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in p.mix_sources(spark, docs, SF).collect()]
+    assert len(got) == 32 and len(set(got)) == 32 and set(got) <= set(rows)  # one leaf of 400 tokens, 80 % of them
+    mixed = p.mix_sources(spark, odd, SF)
+    assert mixed.columns == odd.columns and not mixed.exceptAll(odd).count() and mixed.count() > 0
+    assert p.mix_sources(spark, empty, SF).count() == 0
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import brute
     import corpus_pipeline as p
