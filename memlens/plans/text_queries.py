@@ -20,24 +20,25 @@ def _q(key, run, sql=None):
     QUERIES[key] = Query(lambda spark, sf: rounded(run(spark, sf)), sql)
 
 
-def _docs(*cols, marked=False):
+def _docs(cols, marked=False):
+    """Columns over documents; ``cols`` is called when the query runs, since columns need a session."""
     source = D.marked_documents if marked else D.documents
-    return lambda s, sf: source(s, sf).select("doc_id", *cols)
+    return lambda s, sf: source(s, sf).select("doc_id", *cols(F.col("text")))
 
 
-TEXT = F.col("text")
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _flat = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 # B1: order of first appearance is kept, so the SQL ranks tokens by their first position.
-_q("b1_tokenize", _docs(F.array_join(T.tokenize(TEXT), " ").alias("tokens")), S.with_(f"""w AS (SELECT doc_id, {S.words_expr('text')} AS ws FROM documents),
+_q("b1_tokenize", _docs(lambda t: [F.array_join(T.tokenize(t), " ").alias("tokens")]), S.with_(f"""w AS (SELECT doc_id, {S.words_expr('text')} AS ws FROM documents),
 u AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM w),
 f AS (SELECT doc_id, t, min(i) AS i FROM u WHERE t<>'' AND t NOT IN {S.in_list(V.STOP_WORDS)} GROUP BY 1,2),
 g AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS tokens FROM f GROUP BY 1)""",
   select="SELECT doc_id, coalesce(tokens,'') AS tokens FROM documents LEFT JOIN g USING (doc_id)"))
 
 
-def _features(text=TEXT):
+def _features():
+    text = F.col("text")
     path = F.concat(F.lit("src/f."), F.element_at(F.array(*[F.lit(x) for x in ("py", "ts", "txt")]), (F.col("doc_id") % 3 + 1).cast("int")))
     lang = F.when(F.col("doc_id") % 2 == 0, F.upper("lang"))
     fw = F.when(F.col("doc_id") % 5 == 0, F.col("source"))
@@ -75,7 +76,7 @@ _q("b3_fingerprint", lambda s, sf: D.marked_documents(s, sf).select("doc_id", T.
    S.with_(S.MARKED, _FEAT, select=f"SELECT doc_id, sha256({_canon()}) AS fingerprint FROM ft"))
 _cust = lambda n, p, g: f"CASE WHEN {S.rx('text', p)} THEN '{n}:'||lower(regexp_extract(text, {S.q(p)}, {g})) END"
 _CUSTOM_SQL = ("list_filter([" + ", ".join(_cust(n, p, 1 if "(" in p.replace("(?", "") else 0) for n, p in sorted(_CUSTOM.items())) + "], lambda x: x IS NOT NULL)")
-_q("b24_custom_features", lambda s, sf: D.marked_documents(s, sf).withColumn("c", T.custom_features(TEXT, _CUSTOM)).select(
+_q("b24_custom_features", lambda s, sf: D.marked_documents(s, sf).withColumn("c", T.custom_features(F.col("text"), _CUSTOM)).select(
     "doc_id", F.array_join(F.transform(F.array_sort(F.map_entries("c")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("custom"),
     T.fingerprint(_features(), F.col("c")).alias("fingerprint")),
    S.with_(S.MARKED, _FEAT, select=f"SELECT doc_id, array_to_string({_CUSTOM_SQL}, ',') AS custom, sha256({_canon(_CUSTOM_SQL)}) AS fingerprint FROM ft"))
@@ -90,10 +91,10 @@ _q("b4_block_keywords", lambda s, sf: D.blocks(s, sf).withColumn("situation", F.
 SELECT block_id, array_to_string(kw,' ') AS keywords, sha256('lang='||lower(coalesce(language,''))||'|fw='||lower(coalesce(framework,''))||'|err=|api='
   ||array_to_string(list_sort(list_transform(apis, lambda a: lower(a))),',')||'|kw='||array_to_string(kw,',')) AS fingerprint FROM k"""))
 
-_q("b5_scan_leakage", _docs(T.leakage(TEXT).alias("rule"), marked=True),
+_q("b5_scan_leakage", _docs(lambda t: [T.leakage(t).alias("rule")], marked=True),
    S.with_(S.MARKED, select=f"SELECT doc_id, {S.first_rule('text', [*V.LEAKAGE_CORE, *V.LEAKAGE_EXTENDED])} AS rule FROM md"))
 _RE2_INJECTION = [(n, r"(?i)(^|[^`])<\s*/?\s*(system|user|assistant)\s*>([^`]|$)" if n == "system-spoof" else p) for n, p in V.PROMPT_INJECTION]
-_q("b6_scan_prompt_injection", _docs(T.prompt_injection(TEXT).alias("rule"), marked=True),
+_q("b6_scan_prompt_injection", _docs(lambda t: [T.prompt_injection(t).alias("rule")], marked=True),
    S.with_(S.MARKED, select=f"SELECT doc_id, {S.first_rule('text', _RE2_INJECTION)} AS rule FROM md"))
 
 _NOISE = T.release_noise_rules()
@@ -113,10 +114,15 @@ _q("b7_capture_gate", lambda s, sf: _marked_blocks(s, sf).select("block_id", T.c
     F.col("situation"), F.col("mechanism"), F.col("unlock"), F.col("verification")).alias("gate")),
    S.with_(_MB, select=f"SELECT block_id, {_gate(_BODY, 'verification')} AS gate FROM mb"))
 
-_LEAD = F.concat(D.marker(F.col("doc_id")), F.lit(" "), TEXT)
+
+
+def _lead():
+    return F.concat(D.marker(F.col("doc_id")), F.lit(" "), F.col("text"))
+
+
 _PRUNE = (f"CASE WHEN {_any('t', V.META_WRAP_LEADS)} THEN 'meta-wrap-lead' WHEN {_any('t', V.PROJECT_MANAGEMENT_LEADS)} THEN 'project-management-lead' "
           f"WHEN NOT {S.rx('t', V.PROBLEM_SIGNAL)} THEN 'no-problem-signal' END")
-_q("b8_prune_classify", lambda s, sf: D.documents(s, sf).select("doc_id", T.prune_reason(_LEAD).alias("reason")).withColumn(
+_q("b8_prune_classify", lambda s, sf: D.documents(s, sf).select("doc_id", T.prune_reason(_lead()).alias("reason")).withColumn(
     "confidence", F.when(F.col("reason") == "no-problem-signal", "low").when(F.col("reason").isNotNull(), "high")),
    S.with_(S.MARKED, "t AS (SELECT doc_id, m||' '||text AS t FROM md0)", f"r AS (SELECT doc_id, {_PRUNE} AS reason FROM t)",
            select="SELECT doc_id, reason, CASE WHEN reason='no-problem-signal' THEN 'low' WHEN reason IS NOT NULL THEN 'high' END AS confidence FROM r"))
@@ -139,7 +145,7 @@ SELECT count(*) AS blocks, count(*) FILTER (category<>'reusable') AS junk, round
 def _calls(s, sf):
     """Tool calls whose summaries carry the whole text of documents and a mix of flags."""
     tool = F.element_at(F.array(*[F.lit(t) for t in (*V.TOOL_FAMILY, "Mystery")]), (F.col("doc_id") % (len(V.TOOL_FAMILY) + 1) + 1).cast("int"))
-    summary = F.when(F.col("doc_id") % 2 == 0, F.concat(tool, F.lit("(-r --hidden '"), TEXT, F.lit("')"))).otherwise(F.concat(F.lit("-n "), TEXT))
+    summary = F.when(F.col("doc_id") % 2 == 0, F.concat(tool, F.lit("(-r --hidden '"), F.col("text"), F.lit("')"))).otherwise(F.concat(F.lit("-n "), F.col("text")))
     return D.documents(s, sf).select("doc_id", tool.alias("tool"), summary.alias("summary"))
 
 
@@ -165,7 +171,7 @@ def _sanitized(s, sf):
     d = D.marked_documents(s, sf)
     tool = F.element_at(F.array(*[F.lit(t) for t in ("Read", "Grep", "Glob", "Bash", "Edit")]), (F.col("doc_id") % 5 + 1).cast("int"))
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/repo/src/"), F.col("source"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("./lib/"), F.col("lang"))).otherwise(F.lit("../out"))
-    return d.select("doc_id", tool.alias("tool"), TL.sanitize_args(tool, path, TEXT, TEXT, "/repo", "salt").alias("a")).select("doc_id", "tool", "a.arg_summary", "a.arg_key")
+    return d.select("doc_id", tool.alias("tool"), TL.sanitize_args(tool, path, F.col("text"), F.col("text"), "/repo", "salt").alias("a")).select("doc_id", "tool", "a.arg_summary", "a.arg_key")
 
 
 _q("b12_sanitize_tool_args", _sanitized)
@@ -198,7 +204,7 @@ def _outputs():
     """Terminal output: every document twice with colour codes and repeated lines."""
     esc = "\x1b[31m"
     m = D.marker(F.col("doc_id"))
-    return F.concat(F.lit(esc), m, F.lit("\x1b[0m\n"), m, F.lit("\n"), m, F.lit("\n"), TEXT)
+    return F.concat(F.lit(esc), m, F.lit("\x1b[0m\n"), m, F.lit("\n"), m, F.lit("\n"), F.col("text"))
 
 
 _q("b14_normalize_tool_output", lambda s, sf: D.documents(s, sf).select("doc_id", TL.normalize_output(_outputs()).alias("output")), S.with_(S.MARKED, """
@@ -293,10 +299,15 @@ SELECT block_id, array_to_string(list_filter(list_concat(list_concat(['leakage:'
   list_transform(range(len(dead_ends)), lambda i: CASE WHEN {_nw('dead_ends[i+1]')}>20 THEN 'schema:dead-end-'||i||'-length' END)),
   list_transform(range(len(guardrails)), lambda i: CASE WHEN {_nw('guardrails[i+1]')}>20 THEN 'schema:guardrail-'||i||'-length' END)), lambda x: x IS NOT NULL), ',') AS failed FROM l"""))
 
-_KIND = F.element_at(F.array(F.lit("issue"), F.lit("check_run"), F.lit("pull_request")), (F.col("doc_id") % 3 + 1).cast("int"))
-_q("b19_classify_failure", _docs(T.failure_class(TEXT, _KIND).alias("failure_class"), marked=True), S.with_(S.MARKED, select=f"""
+
+
+def _kind():
+    return F.element_at(F.array(F.lit("issue"), F.lit("check_run"), F.lit("pull_request")), (F.col("doc_id") % 3 + 1).cast("int"))
+
+
+_q("b19_classify_failure", _docs(lambda t: [T.failure_class(t, _kind()).alias("failure_class")], marked=True), S.with_(S.MARKED, select=f"""
 SELECT doc_id, coalesce({S.first_rule('text', V.FAILURE_CLASSES)}, CASE doc_id%3 WHEN 1 THEN 'ci-failure' WHEN 2 THEN 'code-change' ELSE 'general' END) AS failure_class FROM md"""))
-_q("b20_infer_resolved", _docs(T.resolved_signal(TEXT).alias("resolved"), marked=True), S.with_(S.MARKED, select=f"""
+_q("b20_infer_resolved", _docs(lambda t: [T.resolved_signal(t).alias("resolved")], marked=True), S.with_(S.MARKED, select=f"""
 SELECT doc_id, length({_flat('text')})>=40 AND NOT {S.rx(_flat('text'), V.RESOLVED_NEGATIVE)} AND {S.rx(_flat('text'), V.RESOLVED_POSITIVE)} AS resolved FROM md"""))
 
 
@@ -306,7 +317,7 @@ def clamp_sql(c, n):
     return (f"CASE WHEN length({c})<={n} THEN {c} WHEN {back}>0 AND {n}-{back}>{n}-80 THEN ({c})[1:({n}-{back})] || '…' ELSE {head} || '…' END")
 
 
-_q("b21_estimate_tokens", _docs(T.estimate_tokens(TEXT).alias("tokens"), T.clamp_text(TEXT, 600).alias("clamped")),
+_q("b21_estimate_tokens", _docs(lambda t: [T.estimate_tokens(t).alias("tokens"), T.clamp_text(t, 600).alias("clamped")]),
    f"SELECT doc_id, ceil(length(text)/4)::BIGINT AS tokens, {clamp_sql('text', 600)} AS clamped FROM documents")
 
 _PATHS = ["src/{}/a.ts", "/repo/{}/b.py", "/etc/{}", "~/x/{}", "C:\\{}", "../{}", "a/../../{}", "./{}//c.go", "a/b/../{}.rs"]
@@ -339,5 +350,5 @@ SELECT fact_id, scope, CASE WHEN scope='global' THEN 0 ELSE 1+length(regexp_repl
 _q("f1_wilson_lower", lambda s, sf: D.table(s, sf, "labels").groupBy((F.col("doc_id") % 37).alias("grp")).agg(
     F.sum("quality").alias("successes"), F.count("*").alias("trials")).withColumn("wilson", scores.wilson_lower(F.col("successes"), F.col("trials"))),
    f"SELECT doc_id%37 AS grp, sum(quality)::BIGINT AS successes, count(*) AS trials, round({S.wilson('sum(quality)', 'count(*)')},6) AS wilson FROM labels GROUP BY 1")
-_q("f10_holdout", _docs(scores.holdout(TEXT, 0.25, "s").alias("held_out"), scores.holdout(TEXT, 0.5, "rollout").alias("rollout_arm")),
+_q("f10_holdout", _docs(lambda t: [scores.holdout(t, 0.25, "s").alias("held_out"), scores.holdout(t, 0.5, "rollout").alias("rollout_arm")]),
    f"SELECT doc_id, {S.holdout('text', 0.25, 's')} AS held_out, {S.holdout('text', 0.5, 'rollout')} AS rollout_arm FROM documents")

@@ -5,6 +5,9 @@ By default one query per operator family; MEMLENS_ALL=1 runs every one of them
 """
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from oracle import compare, duck
@@ -36,3 +39,13 @@ def test_every_sql_text_has_its_query():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry()) <= set(entry.queries())
+
+
+def test_keys_are_listed_without_a_session():
+    """The entry is imported by processes that have no Spark yet; columns must not be built before a query runs."""
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert SparkContext._active_spark_context is None; print(*sorted(e.queries()), len(e.oracle_sql()))"
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": str(root)})
+    assert out.returncode == 0, out.stderr
+    *keys, n = out.stdout.split()
+    assert set(registry()) <= set(keys) and int(n) > 150
