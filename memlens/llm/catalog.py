@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlens.llm import decontamination, html, jaccard, language, mixing, pii, quality, sharding, toxicity, warc
+from memlens.llm import decontamination, html, jaccard, language, mixing, pii, quality, runs, sharding, simhash, toxicity, warc
 from memlens.llm.common import table
 
 
@@ -52,6 +52,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.digest(runs.find_runs(docs.withColumn("text", runs.with_repeats(F.col("text"), F.col("doc_id")))))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_html_text": op2_html_text,
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
+    "op11_runs": op11_runs,
+    "op12_simhash": op12_simhash,
 }
 OP8_SQL = """
 WITH d AS (SELECT doc_id, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS tokens,

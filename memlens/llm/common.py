@@ -90,6 +90,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, breaks: np.nd
     return mix(hashes + (stop - start).astype(np.uint64)), start, stop, np.searchsorted(start, offsets)
 
 
+def joined_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Words one after another with a space behind each, and the place in that buffer where each word starts (and the end)."""
+    size = stop - start + 1
+    upto = np.concatenate(([0], np.cumsum(size)))
+    if not len(size):
+        return b"", upto
+    source = np.repeat(start - upto[:-1], size) + np.arange(upto[-1])
+    out = data[np.minimum(source, len(data) - 1)]
+    out[upto[1:] - 1] = 32
+    return out.tobytes(), upto
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k words; entry i starts at word i."""
     n = len(words) - k + 1
