@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlens.llm import decontamination, html, jaccard, language, mixing, pii, quality, runs, sharding, simhash, toxicity, warc
+from memlens.llm import decontamination, html, jaccard, language, mixing, pii, quality, repair, runs, sharding, simhash, toxicity, warc
 from memlens.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_html_text": op2_html_text,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_runs": op11_runs,
     "op12_simhash": op12_simhash,
+    "op13_repair": op13_repair,
 }
 OP8_SQL = """
 WITH d AS (SELECT doc_id, greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS tokens,
