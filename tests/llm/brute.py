@@ -2,7 +2,11 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
+from fractions import Fraction
+
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +92,115 @@ def quality(text):
     inside = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
     return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(inside),
             len(words) < 50 or 100 * len(inside) > 50 * len(words))
+
+
+def repeats(doc_id, text):
+    """The words of a text after the planted repetition of op11."""
+    words = WORD.findall(text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def runs(words):
+    """[(start, period, length)] by comparing all places at every distance."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            size = j + q - i
+            piece = words[i : i + size]
+            if j > i and size >= max(6, 4 * q) and not any(piece[:-d] == piece[d:] for d in range(1, q)):
+                out.append((i, q, size))
+            i = j + 1
+    return sorted(out)
+
+
+def run_row(words):
+    found, gone = runs(words), set()
+    for s, q, m in found:
+        gone.update(range(s + q, s + m))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    best = min(found, key=lambda r: (-Fraction(r[2], r[1]), r[0], r[1]), default=None)
+    head = (best[0], best[2], best[1], 1000 * best[2] // best[1]) if best else (None,) * 4
+    return (len(found), *head, sha("".join(f"{s},{m},{q}\n" for s, q, m in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def simhash(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    k = min(4, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)] if k else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_classes(prints, distance=4):
+    """{id: smallest id reachable} by comparing all pairs of ``prints`` {id: fingerprint}."""
+    ids, up = sorted(prints), {i: i for i in prints}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= distance:
+                p, q = root(a), root(b)
+                up[max(p, q)] = min(p, q)
+    return {i: root(i) for i in ids}
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def repaired(rows):
+    """Summary of one conversation's damaged rows; plain dynamic programming over (cost, audit, lines)."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.sha256(r[3].encode()).hexdigest()))
+    turns = [r[1] for r in rows if r[1] is not None]
+    seen, faults = set(), []
+    for _, _, role, text in rows:
+        marks = re.findall(r"[^\x20\x09-\x0D]", text)
+        faults.append("blank" if not marks else "duplicate" if (role, text) in seen else "truncated" if marks[-1] not in ".!?" else "")
+        seen.add((role, text))
+    names, after = {0: "user", 1: "user", 2: "assistant", 3: "user"}, {0: 2, 1: 2, 2: 3, 3: 2}
+    keeps = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    least = lambda *ways: min(ways, key=lambda w: w[:2])
+
+    def with_inserts(best):
+        for _ in range(4):
+            best = [least(b, (best[after[s]][0] + 2, "I" + best[after[s]][1], (names[s] + ":",) + best[after[s]][2])) for s, b in enumerate(best)]
+        return best
+
+    none = (10**9, "~", ())
+    best = with_inserts([(0, "", ()), none, none, (0, "", ())])
+    for (_, _, role, text), fault in zip(rows[::-1], faults[::-1], strict=True):
+        now = []
+        for s in range(4):
+            ways = [(best[s][0] + 3, "D" + best[s][1], best[s][2])]
+            if fault not in ("blank", "duplicate"):
+                extra, k = int(fault == "truncated"), keeps.get((s, role[:1]))
+                if k is not None:
+                    ways.append((best[k][0] + extra, "K" + best[k][1], (f"{role}:{text}",) + best[k][2]))
+                t = best[after[s]]
+                ways.append((t[0] + 2 + extra, "R" + t[1], (f"{names[s]}:{text}",) + t[2]))
+            now.append(least(*ways))
+        best = with_inserts(now)
+    cost, audit, lines = best[0]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
