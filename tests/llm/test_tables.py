@@ -193,11 +193,37 @@ def test_mixing_odd_rows_and_epochs(spark, odd, empty):
 # --- op10
 
 
+def descended(key, tree, seed=0):
+    """The shard of one key, by drawing at every node."""
+    import math
+
+    import xxhash
+
+    def draw(level, name, weight):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(f"{seed}/{level}/{name}".encode(), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    total = lambda t: sum(map(total, t.values())) if isinstance(t, dict) else t
+    for level in sharding.LEVELS:
+        name = min((n for n in tree if total(tree[n]) > 0), key=lambda n: draw(level, n, total(tree[n])))
+        tree = tree[name]
+    return name
+
+
+def test_shards_are_those_of_a_descent_key_by_key(spark, documents):
+    tree = {0: {0: {0: 1.0, 1: 3.0}, 1: {4: 0.5}}, 1: {2: {2: 4.0, 3: 0.0}}, 2: {3: {5: 1.0}, 4: {6: 1.0, 7: 2.0, 8: 0.25}}}
+    for plan in (tree, sharding.uniform_tree(16), sharding.grow(sharding.uniform_tree(16), 16)):
+        got = sharding.assign(documents.select("doc_id"), "doc_id", plan).collect()
+        assert {r.doc_id: r.shard for r in got} == {r.doc_id: descended(r.doc_id, plan) for r in got}
+
+
 def test_growth_moves_rows_only_into_the_new_shard(spark):
     from pyspark.sql import functions as F
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    for n in (1, 4, 16, 17, 18):
-        both = sharding.assign(sharding.assign(ids, "doc_id", sharding.uniform_tree(n), "a"), "doc_id", sharding.uniform_tree(n + 1), "b")
+    for n in (1, 4, 16, 17):
+        tree = sharding.uniform_tree(n)
+        both = sharding.assign(sharding.assign(ids, "doc_id", tree, "a"), "doc_id", sharding.grow(tree, n), "b")
         moved = both.where("a <> b")
         assert moved.where(F.col("b") != n).count() == 0 and abs(moved.count() - 20_000 / (n + 1)) < 700
     heavy = {0: {0: {0: 1.0, 1: 3.0}}, 1: {1: {2: 4.0, 3: 0.0}}}
@@ -205,11 +231,40 @@ def test_growth_moves_rows_only_into_the_new_shard(spark):
     assert set(share) == {0, 1, 2} and abs(share[1] - 7500) < 400 and abs(share[2] - 10_000) < 400
 
 
+def test_a_weight_moves_rows_only_into_its_own_subtrees(spark):
+    """Region 0 > rack 0 > shard 1 grows: other regions, racks and shards only lose rows, and keep the rest in place."""
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    tree = {0: {0: {0: 1.0, 1: 1.0}, 1: {2: 1.0, 3: 1.0}}, 1: {2: {4: 1.0, 5: 1.0}}}
+    region, rack = {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1}, {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2}
+    grown = {0: {0: {0: 1.0, 1: 2.5}, 1: {2: 1.0, 3: 1.0}}, 1: {2: {4: 1.0, 5: 1.0}}}
+    rows = sharding.assign(sharding.assign(ids, "doc_id", tree, "a"), "doc_id", grown, "b").where("a <> b").collect()
+    assert len(rows) > 1000
+    for r in rows:
+        assert region[r.b] == 0
+        if region[r.a] == 0:
+            assert rack[r.b] == 0
+            assert rack[r.a] != 0 or r.b == 1
+
+
+def test_the_tree_matters_and_wide_trees_run(spark):
+    ids = spark.range(3_000).withColumnRenamed("id", "doc_id")
+    one_rack, regions = {0: {0: {s: 1.0 for s in range(16)}}}, {s: {s: {s: 1.0}} for s in range(16)}
+    placed = sharding.assign(sharding.assign(sharding.assign(ids, "doc_id", sharding.uniform_tree(16), "a"), "doc_id", one_rack, "b"), "doc_id", regions, "c")
+    assert placed.where("a <> b").count() > 2000 and placed.where("b <> c").count() > 2000
+
+
+def test_slots_do_not_depend_on_partitions(spark):
+    rows = [(None if i % 3 else 5, f"t{i % 40}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(tuple, sharding.shard_documents(d).collect()), key=repr) for d in (df, df.repartition(7, "text").orderBy("text")))
+    assert a == b and len(a) == 300
+
+
 def test_sharding_rows(documents, odd, empty):
     for df in (documents, odd):
         texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
         got = sharding.shard_documents(df, 16).collect()
-        assert len(got) == df.count()
+        assert len(got) == df.count() and sharding.shard_documents(df, 16, carry=True).select("_row.*").exceptAll(df).count() == 0
         slots = {}
         for r in got:
             slots.setdefault(r.shard, []).append(r.slot)
