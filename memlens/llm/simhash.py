@@ -8,12 +8,11 @@ so linked fingerprints meet by an equality join, and the join's condition verifi
 Only classes are asked for, so pairs inside a dense group are never listed:
 
 * equal fingerprints are one row before anything is indexed;
-* every bucket links its members to its smallest and its largest one, which is linear, and classes are formed from that;
-* buckets that still hold several classes are joined with themselves, but only members outside the bucket's largest class
-  against all others, and links leave the join as distinct pairs of classes.
-
-Every pair of linked fingerprints in different classes has a member outside the largest class of each bucket they share, so
-no link is lost.
+* a bucket is searched in one task and yields a spanning forest of its links, not its pairs;
+* crowded buckets, known from the counts of whole segment values, go another way: they link their members to their smallest
+  and largest one, which is linear, and where several classes are left, members outside the bucket's largest class are
+  joined with all others, and links leave the join as distinct pairs of classes.  Every pair of linked fingerprints in
+  different classes has a member outside the largest class of each bucket they share, so no link is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ SEED = 42
 DISTANCE = 4
 SEGMENTS = 3
 PIECE = 1 << 16
+CROWD = 4096
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -71,39 +71,113 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInArrow(_fingerprints, f"row struct<key:{kind}>, print long").select(F.col("row.key").alias(key), "print")
 
 
+def _segments(segments: int = SEGMENTS) -> list[tuple[int, int]]:
+    edges = [round(64 * i / segments) for i in range(segments + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def variant_masks(segments: int = SEGMENTS) -> list[int]:
     """Masks (signed longs) that keep one segment without one of its bits."""
-    edges = [round(64 * i / segments) for i in range(segments + 1)]
-    masks = [((1 << b) - (1 << a)) & ~(1 << j) for a, b in zip(edges[:-1], edges[1:], strict=True) for j in range(a, b)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(((1 << b) - (1 << a)) & ~(1 << j)) for a, b in _segments(segments) for j in range(a, b)]
 
 
 def _differing(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def link_classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(print, class) of every distinct fingerprint in ``prints(print)``; the class is its smallest fingerprint reachable by links."""
-    if distance // SEGMENTS > 1:
-        raise ValueError(f"{SEGMENTS} segments of one wildcard find distances up to {2 * SEGMENTS - 1}")
-    masks = F.array(*[F.lit(m) for m in variant_masks()])
-    index = prints.select("print", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(F.col("print")))).alias("variant", "rest"))
-    index = index.select("print", F.xxhash64("variant", "rest").alias("bucket"))  # a clash of buckets costs a comparison, no more
+def _buckets(value: str, masks: list[int], first: int = 0) -> Column:
+    """One bucket per mask.  A clash of buckets costs a comparison, no more."""
+    kept = [F.xxhash64(F.lit(first + i), F.col(value).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)]
+    return F.explode(F.array(*kept)).alias("bucket")
+
+
+def forest(buckets: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (u, v) that span the classes inside each bucket: places at one distance in bucket order are compared at a time."""
+    order = np.lexsort((prints, buckets))
+    buckets, prints = buckets[order], prints[order]
+    bits = prints.view(np.uint64)
+    n = len(buckets)
+    head = np.concatenate(([True], buckets[1:] != buckets[:-1]))
+    starts = np.flatnonzero(head)
+    end = np.concatenate((starts[1:], [n]))[np.cumsum(head) - 1]
+    start = starts[np.cumsum(head) - 1]
+    close = np.bitwise_count(bits ^ bits[start]) <= distance
+    label = np.where(close, start, np.arange(n))
+    alive, lag = np.arange(n), 1
+    while len(alive):
+        alive = alive[end[alive] > alive + lag]
+        pairs = alive[label[alive] != label[alive + lag]]
+        pairs = pairs[np.bitwise_count(bits[pairs] ^ bits[pairs + lag]) <= distance]
+        for i in pairs.tolist():
+            a, b = label[i], label[i + lag]
+            if a != b:
+                own = label[start[i] : end[i]]
+                own[own == max(a, b)] = min(a, b)
+        lag += 1
+    joined = np.flatnonzero(label != np.arange(n))
+    return prints[joined], prints[label[joined]]
+
+
+def _forests(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            links = np.unique(np.stack(forest(*(np.concatenate(x) for x in zip(*parts, strict=True)), distance), 1), axis=0)
+            for at in range(0, len(links), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(links[at : at + 50_000, k]) for k in range(2)], ["u", "v"])
+
+    return run
+
+
+def crowded_buckets(prints: DataFrame, crowd: int) -> DataFrame:
+    """Buckets that may hold ``crowd`` fingerprints: a bucket is two segment values, so one of them has half of its members."""
+    cuts = [_signed((1 << b) - (1 << a)) for a, b in _segments()]
+    values = prints.select(F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(m)) for m in cuts])).alias("segment", "value"))
+    many = cut(values.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") >= crowd // 2))
+    masks, first, parts = variant_masks(), 0, []
+    for i, (a, b) in enumerate(_segments()):
+        parts.append(many.where(F.col("segment") == i).select(_buckets("value", masks[first : first + b - a], first)))
+        first += b - a
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out.distinct()
+
+
+def _crowded_links(index: DataFrame, distance: int) -> DataFrame:
+    """Links that join the classes inside buckets of any size."""
     ends = index.groupBy("bucket").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high")
     shared = cut(index.join(ends, "bucket"))
     near = lambda end: shared.where((_differing("print", end) <= distance) & (F.col("print") != F.col(end))).select(F.col("print").alias("u"), F.col(end).alias("v"))
-    first = components(near("low").unionAll(near("high")))
-    classed = shared.select("bucket", "print").join(first.withColumnRenamed("node", "print"), "print", "left").select(
+    links = cut(near("low").unionAll(near("high")).distinct())
+    classed = shared.select("bucket", "print").join(components(links).withColumnRenamed("node", "print"), "print", "left").select(
         "bucket", "print", F.coalesce("component", "print").alias("class"))
     sizes = classed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes"))
     open_ = cut(classed.join(largest.where("classes > 1").drop("classes"), "bucket"))
     other = open_.where(F.col("class") != F.col("largest")).select("bucket", F.col("print").alias("print2"), F.col("class").alias("class2"))
     verified = open_.join(other, "bucket").where((F.col("class") != F.col("class2")) & (_differing("print", "print2") <= distance))
-    across = verified.select(F.greatest("class", "class2").alias("u"), F.least("class", "class2").alias("v")).distinct()
-    second = components(across).select(F.col("node").alias("class"), F.col("component").alias("root"))
-    known = prints.join(first.withColumnRenamed("node", "print"), "print", "left").select("print", F.coalesce("component", "print").alias("class"))
-    return known.join(second, "class", "left").select("print", F.coalesce("root", "class").alias("class"))
+    return links.unionAll(verified.select(F.greatest("class", "class2").alias("u"), F.least("class", "class2").alias("v")).distinct())
+
+
+def link_classes(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD) -> DataFrame:
+    """(print, class) of every distinct fingerprint in ``prints(print)``; the class is its smallest fingerprint reachable by links."""
+    if distance // SEGMENTS > 1:
+        raise ValueError(f"{SEGMENTS} segments of one wildcard find distances up to {2 * SEGMENTS - 1}")
+    prints = cut(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print"))  # one row becomes 64
+    index = prints.select(_buckets("print", variant_masks()), "print")
+    crowds = cut(crowded_buckets(prints, crowd))
+    crowded = not crowds.isEmpty()
+    rest = index.join(crowds, "bucket", "left_anti") if crowded else index
+    links = rest.repartition("bucket").mapInArrow(_forests(distance), "u long, v long")
+    if crowded:
+        links = links.unionAll(_crowded_links(index.join(crowds, "bucket", "left_semi"), distance))
+    classes = components(links).withColumnRenamed("node", "print")
+    return prints.join(classes, "print", "left").select("print", F.coalesce("component", "print").alias("class"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,7 +189,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     signed = cut(fingerprints(docs, key, text))
     heads = signed.where(F.col(key).isNotNull()).groupBy("print").agg(F.min(key).alias("least"))
-    heads = cut(heads.join(link_classes(heads.select("print")), "print"))
+    heads = heads.join(link_classes(heads.select("print")), "print")
     smallest = heads.groupBy("class").agg(F.min("least").alias("component_id"))
     named = heads.join(smallest, "class").select("print", "component_id")
     out = signed.join(named, "print", "left")

@@ -61,8 +61,8 @@ def test_simhash_query_of_given_documents(spark, documents):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op12_simhash(spark, SF).collect()} == {d: (f"{p:016x}", classes[d]) for d, p in prints.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_classes_of_crowded_fingerprints(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, 4096), (2, 8), (3, 60)])
+def test_classes_of_crowded_fingerprints(spark, seed, crowd):
     """Balls of fingerprints around few centres, chains at distance 4 and 5, the zero fingerprint and negative longs."""
     rng = random.Random(seed)
     flip = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(64), k))
@@ -77,7 +77,7 @@ def test_classes_of_crowded_fingerprints(spark, seed):
     signed = lambda p: p - 2**64 if p >> 63 else p
     want = brute.near_classes({signed(p): p for p in prints})
     rows = spark.createDataFrame([(signed(p),) for p in prints], "print long")
-    assert {r["print"]: r["class"] for r in simhash.link_classes(rows).collect()} == want
+    assert {r["print"]: r["class"] for r in simhash.link_classes(rows, crowd=crowd).collect()} == want
 
 
 def test_a_variant_is_shared_by_all_close_fingerprints():
