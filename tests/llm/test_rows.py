@@ -66,18 +66,64 @@ def test_quality_counts(documents, odd):
         assert got == want
 
 
-def test_quality_verdicts(spark, empty):
+
+def test_quality_verdicts_against_brute_force(documents, odd, spark):
+    """The verdict from the text alone: words, ratios of the whole and of 1,024-byte chunks, bands stated in the module."""
+    import zstandard
+    packed = lambda raw: len(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False).compress(raw)) / len(raw)
+
+    def judge(text):
+        raw = (text or "").encode()
+        n_words, *_, repeats, _ = brute.quality(text)
+        if n_words < 50:
+            return "short"
+        if 2 * repeats > n_words:
+            return "repeated words"
+        low, high = next((a, b) for edge, a, b in reversed(quality.DOC_BANDS) if edge <= len(raw))
+        if not low <= packed(raw) <= high:
+            return "repetitive" if packed(raw) < low else "incompressible"
+        cuts = list(range(0, len(raw), 1024))
+        if len(cuts) > 1 and len(raw) - cuts[-1] < 512:
+            cuts.pop()
+        marks = "".join(".x"[not 0.49 <= packed(raw[a:b]) <= 0.72] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)) if len(cuts) > 1 else ""
+        return "odd chunks" if marks.count("x") >= 2 and ("xxx" in marks or 4 * marks.count("x") >= len(marks)) else "kept"
+
+    for df in (documents, odd.where("doc_id is not null")):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        got = quality.quality_rules(df).collect()
+        assert all(r.verdict == judge(texts[r.doc_id]) and r.kept == (r.verdict == "kept") for r in got)
+
+
+def test_quality_verdicts(spark, empty, documents):
     import random
     rng = random.Random(1)
-    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", k=76)) for _ in range(300))
-    prose = " ".join(rng.choice("the of and a to in is it that was for on are with as".split()) + "".join(rng.choices("etaoinshr", k=rng.randrange(1, 6))) for _ in range(2000))
-    periodic = " ".join(f"{c}{d}" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(40)) * 1
-    rows = [(1, noise), (2, prose), (3, "short text"), (4, "again and " * 200), (5, None), (6, periodic)]
+    junk = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/", k=76)) for _ in range(n))
+    clean = max((r.text for r in documents.collect() if r.lang == "en" and r.text), key=lambda t: 12_000 - abs(len(t) - 12_000))
+    third = clean[: len(clean) // 3] + junk(len(clean) // 3 // 76) + clean[len(clean) // 3 : 2 * len(clean) // 3]
+    rows = [(1, junk(300)), (2, clean), (3, "short text"), (4, "again and " * 200), (5, None), (6, third), (7, " ".join(w + rng.choice(["%%%", "$$$", "###", "&&&", "***"]) for w in clean.split()))]
     got = {r.doc_id: r.verdict for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == "incompressible" and got[2] == "kept" and got[3] == got[5] == "short" and got[4] == "repeated words"
+    assert got[6] in ("odd chunks", "incompressible") and got[7] == "repetitive"
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_bands_decide_on_held_out_labels(spark):
+    """Bands catch most of the poor texts that the word rules pass, and hardly any clean one, on the fifth they were not fitted on."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("crc32(encode(string(doc_id), 'UTF-8')) % 5 = 0")
+    kept = {(r.quality, r.kept): r["count"] for r in quality.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").where("NOT base_failed").groupBy("quality", "kept").count().collect()}
+    assert kept[0, False] > 0.7 * (kept[0, False] + kept[0, True]) and kept.get((1, False), 0) <= 0.01 * kept[1, True]
+
+
+def test_bands_are_fitted_to_clean_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bands = quality.fit_bands(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert [b[0] for b in bands] == list(quality.LENGTH_EDGES) and all(0 <= low < high for _, low, high in bands)
+    wanted = dict((b[0], b[1:]) for b in quality.DOC_BANDS)
+    assert all(abs(low - wanted[edge][0]) < 0.03 for edge, low, _ in bands if 600 <= edge <= 4000)
+
+
 def test_quality_keeps_clean_prose(documents, spark):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
     judged = quality.quality_rules(documents).join(labels, "doc_id").where("n_words >= 50 AND NOT base_failed")
