@@ -1,11 +1,16 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
-
-1. Items become word sequences; their SEED_WORDS-word runs are the seeds.
-2. A bit filter of fixed size over all seeds goes to every task.  One scan of the documents keeps, around the places
-   that pass the filter, windows of words wide enough for the longest item.
-3. Equal windows are one candidate.  Seeds join distinct windows to items by an ordinary shuffle join; every seed
-   proposes, however common it is.
-4. Each distinct (window, item) is aligned once, word by word, and the documents that hold the window join its result.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+A copy of an item scores ``needed_score`` or more at +1 for a match and -1 for an edited, inserted or missing word.  Such an
+alignment with M matches and E errors has at most E + 1 runs of matches, so at least M - E - 1 >= needed - 1 of the item's
+neighbouring word pairs stand in the copy.  Of any n - needed + 1 of the item's n - 1 pairs one survives: the item's
+rarest ones in the corpus are its seeds, and no copy is lost, whatever its edits.
+
+1. One scan counts the items' word pairs in all documents; each item keeps its n - needed + 1 rarest as seeds.
+2. A bit filter over the seeds goes to every task, one per length class of items.  A second scan keeps, around the places that
+   pass a filter, windows of words wide enough for the class's items.
+3. Equal windows are one candidate.  Seeds join distinct windows to items by an ordinary shuffle join.
+4. Each distinct (window, item) that shares needed - 1 pairs is aligned once, word by word, and the documents that hold the
+   window join its result.
 """
 
 from __future__ import annotations
@@ -16,20 +21,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlens.llm.common import NOT_ALNUM, list_column, text_slices, window_hashes, word_hashes
 from memlens.session import cut
 
-SEED_WORDS = 4
-FILTER_BITS = 1 << 23
+SEED_WORDS = 2
+MIN_ITEM_WORDS = 4
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 16, 1 << 26
 MIN_SHARE = 0.5
 MIN_WORDS = 8
 EXCERPT_WORDS = 30
 
 
+def needed_score(item_words: int) -> int:
+    """Least score of a copy: half of the item's words, and MIN_WORDS of them where it has so many; an excerpt of EXCERPT_WORDS is one of any item."""
+    return min(max(int(np.ceil(MIN_SHARE * item_words)), min(item_words, MIN_WORDS), 1), EXCERPT_WORDS)
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word hashes, seed hashes) of each text; words are runs of letters, digits and non-ASCII characters, case folded."""
+    """(word hashes, pair hashes) of each text; words are runs of letters, digits and non-ASCII characters, case folded."""
     for _, data, offsets in text_slices(column):
         words, _, _, at = word_hashes(data, offsets, True, NOT_ALNUM)
         seeds = window_hashes(words, SEED_WORDS)
@@ -38,55 +50,106 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with their length class (bits of the word count), the pairs in order and how many of them are seeds."""
     for batch in batches:
-        words, seeds = [], []
+        words, seeds, sizes, lengths = [], [], [], []
         for w, s in _texts(batch.column(1)):
             words.append(w.view(np.int64))
-            seeds.append(np.unique(s).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_column(words, pa.int64()), list_column(seeds, pa.int64())], ["item", "item_words", "seeds"])
+            seeds.append(s.view(np.int64))
+            sizes.append(len(w).bit_length())
+            lengths.append(len(w) - needed_score(len(w)) + 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), list_column(words, pa.int64()), list_column(seeds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lengths, pa.int32())],
+                                         ["item", "item_words", "pairs", "size", "n_seeds"])
+
 
+def _slots(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (seeds & np.uint64(bits - 1)).astype(np.int64), ((seeds >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
-def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (seeds & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((seeds >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
+def seed_filters(seeds: DataFrame) -> dict[int, np.ndarray]:
+    """For each length class in ``seeds(size, seed)`` the bits of its seeds, two per seed, as packed bytes.
 
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """Bits of all seeds, two per seed, as packed bytes.  The driver gets at most FILTER_BITS / 64 rows."""
-    bit = F.explode(F.array(F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("seed", 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
-    words = seeds.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(
+    A filter has 16 bits a seed or more, MOST_FILTER_BITS at most; the driver gets a 64th of these as rows.  A fuller filter
+    passes more places, which costs time and loses nothing.
+    """
+    counts = {r["size"]: r["n"] for r in seeds.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    bits = {c: min(max(LEAST_FILTER_BITS, 1 << (16 * n - 1).bit_length()), MOST_FILTER_BITS) for c, n in counts.items()}
+    if not bits:
+        return {}
+    mask = F.lit(0)
+    for c, n in bits.items():
+        mask = F.when(F.col("size") == c, n - 1).otherwise(mask)
+    bit = F.explode(F.array(F.col("seed").bitwiseAND(mask), F.shiftrightunsigned("seed", 32).bitwiseAND(mask)))
+    words = seeds.select("size", bit.alias("bit")).groupBy("size", F.shiftright("bit", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
+    out = {}
+    for c, n in bits.items():
+        own = words["size"].to_numpy() == c
+        packed = np.zeros(n // 64, np.int64)
+        packed[words["word"].to_numpy()[own]] = words["bits"].to_numpy()[own]
+        out[c] = packed.view(np.uint8)
+    return out
+
+
+def _passing(filters: dict[int, np.ndarray]):
+    """Per length class a function that tells which hashes pass."""
+    tables = {c: np.unpackbits(p, bitorder="little").view(bool) for c, p in filters.items()}
+
+    def passes(c: int, seeds: np.ndarray) -> np.ndarray:
+        one, two = _slots(seeds, len(tables[c]))
+        return np.flatnonzero(tables[c][one] & tables[c][two])
+
+    return passes
+
 
+def _count(filters: dict[int, np.ndarray]):
+    """How often the pairs that pass a filter occur in a batch."""
 
-def _scan(packed: np.ndarray, reach: int):
-    """Windows of words around the seeds that pass the filter; seeds over ``reach`` words apart open a new window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = _passing(filters)
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0)):
+                words, _, _, at = word_hashes(data, offsets, True, NOT_ALNUM)
+                seeds = window_hashes(words, SEED_WORDS)
+                own = np.ones(len(seeds), bool)
+                ends = at[1:] - 1
+                own[ends[(ends >= 0) & (ends < len(seeds))]] = False  # the pair of a text's last word and the next text's first
+                seeds = seeds[own]
+                found, n = np.unique(seeds[passes(0, seeds)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
+
+    return run
+
+
+def _scan(filters: dict[int, np.ndarray], reach: dict[int, int]):
+    """Windows of words around the seeds that pass a class's filter; seeds over ``reach`` words apart open a new window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed, bitorder="little").view(bool)
+        passes = _passing(filters)
         for batch in batches:
             rows: list[int] = []
+            sizes: list[int] = []
             starts: list[int] = []
             prints: list[bytes] = []
             words, seeds = [], []
             for row, (w, s) in enumerate(_texts(batch.column(1))):
                 if not len(s):
                     continue
-                one, two = _slots(s)
-                hit = np.flatnonzero(bits[one] & bits[two])
-                if not len(hit):
-                    continue
-                for part in np.split(hit, np.flatnonzero(np.diff(hit) > reach) + 1):
-                    low, high = max(0, int(part[0]) - reach), min(len(w), int(part[-1]) + SEED_WORDS + reach)
-                    rows.append(row)
-                    starts.append(low)
-                    prints.append(hashlib.blake2b(w[low:high].tobytes(), digest_size=16).digest())
-                    words.append(w[low:high].view(np.int64))
-                    seeds.append(np.unique(s[part]).view(np.int64))
+                for c, far in reach.items():
+                    hit = passes(c, s)
+                    if not len(hit):
+                        continue
+                    for part in np.split(hit, np.flatnonzero(np.diff(hit) > far) + 1):
+                        low, high = max(0, int(part[0]) - far), min(len(w), int(part[-1]) + SEED_WORDS + far)
+                        rows.append(row)
+                        sizes.append(c)
+                        starts.append(low)
+                        prints.append(hashlib.blake2b(w[low:high].tobytes(), digest_size=16).digest())
+                        words.append(w[low:high].view(np.int64))
+                        seeds.append(np.unique(s[part]).view(np.int64))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array(prints, pa.binary()), list_column(words, pa.int64()), list_column(seeds, pa.int64())],
-                                             ["doc", "start", "window", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(starts, pa.int64()), pa.array(prints, pa.binary()), list_column(words, pa.int64()), list_column(seeds, pa.int64())],
+                                             ["doc", "size", "start", "window", "words", "seeds"])
 
     return run
 
@@ -129,8 +192,8 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
             needed = needed_score(len(b))
-            # no alignment scores more than the item's words that the window holds
-            if np.isin(b, a).sum() < needed or best_alignment(a, b)[0] < needed:
+            # a copy holds needed of the item's words and needed - 1 of its pairs
+            if np.isin(b, a).sum() < needed or np.isin(window_hashes(b.view(np.uint64), SEED_WORDS), window_hashes(a.view(np.uint64), SEED_WORDS)).sum() < needed - 1 or best_alignment(a, b)[0] < needed:
                 continue
             score, first, end = align(a, b)
             rows.append(i)
@@ -140,29 +203,35 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["window", "item", "score", "item_len", "first", "end"])
 
 
-def needed_score(item_words: int) -> int:
-    """Least score of a copy: half of the item's words, and MIN_WORDS of them where it has so many; an excerpt of EXCERPT_WORDS is one of any item."""
-    return min(max(int(np.ceil(MIN_SHARE * item_words)), min(item_words, MIN_WORDS), 1), EXCERPT_WORDS)
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Copies of test items in documents: (key, item_key, score, item_words, share, first_word, end_word).
 
     One row per document and item whose best alignment scores at least ``needed_score``; ``share`` is score over the item's
-    words, and [first_word, end_word) the place in the document's words.  Items of under SEED_WORDS words, empty and null
+    words, and [first_word, end_word) the place in the document's words.  Items of under MIN_ITEM_WORDS words, empty and null
     texts match nothing.  Rows with a null id are left out; repeated ids count as one document or item, the best row wins.
+    Other columns are ignored; empty tables give an empty result.
     """
+    kind = docs.schema[key].dataType.simpleString()
     items = cut(benchmark.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text"))
-                .mapInArrow(_items, "item long, item_words array<long>, seeds array<long>"))
-    seeds = items.select("item", F.explode("seeds").alias("seed")).distinct()
-    reach = items.agg(F.coalesce(F.max(F.size("item_words")), F.lit(0))).first()[0]
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    windows = cut(source.mapInArrow(_scan(seed_filter(seeds), int(reach)), "doc long, start long, window binary, words array<long>, seeds array<long>"))
-    kinds = cut(windows.select("window", "words", "seeds").dropDuplicates(["window"]))
-    pairs = kinds.select("window", F.explode("seeds").alias("seed")).join(seeds, "seed").select("window", "item").distinct()
-    scored = (pairs.join(kinds, "window").join(items, "item").select("window", "words", "item", "item_words")
-              .mapInArrow(_scores, "window binary, item long, score long, item_len long, first long, end long"))
-    aligned = scored.join(windows.select("window", "doc", "start"), "window").select(
+                .mapInArrow(_items, "item long, item_words array<long>, pairs array<long>, size int, n_seeds int").where(F.size("item_words") >= MIN_ITEM_WORDS))
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    pairs = items.select("item", "size", "n_seeds", "item_words", F.posexplode("pairs").alias("place", "seed"))
+    everything = seed_filters(pairs.select(F.lit(0).alias("size"), "seed").distinct())
+    if everything:
+        counts = source.select("text").mapInArrow(_count(everything), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+        pairs = pairs.join(counts, "seed", "left")
+    else:
+        pairs = pairs.withColumn("n", F.lit(0))
+    rarest = W.partitionBy("item", F.xxhash64("item_words")).orderBy(F.coalesce("n", F.lit(0)), "seed", "place")
+    seeds = cut(pairs.withColumn("rank", F.row_number().over(rarest)).where("rank <= n_seeds").select("item", "size", "seed").distinct())
+    # a copy of n words spans up to n + (n - needed) words
+    reach = {r["size"]: int(r["reach"]) for r in items.groupBy("size").agg(F.max(F.size("item_words") + F.col("n_seeds")).alias("reach")).collect()}
+    windows = cut(source.mapInArrow(_scan(seed_filters(seeds.select("size", "seed").distinct()), reach), f"doc {kind}, size int, start long, window binary, words array<long>, seeds array<long>"))
+    kinds = cut(windows.select("window", "size", "words", "seeds").dropDuplicates(["window", "size"]))
+    met = kinds.select("window", "size", F.explode("seeds").alias("seed")).join(seeds, ["size", "seed"]).select("window", "size", "item").distinct()
+    scored = (met.join(kinds, ["window", "size"]).join(items.select("item", "item_words", "size"), ["item", "size"]).select("window", "words", "item", "item_words")
+              .mapInArrow(_scores, "window binary, item long, score long, item_len long, first long, end long").distinct())
+    aligned = scored.join(windows.select("window", "doc", "start").distinct(), "window").select(
         "doc", "item", "score", "item_len", (F.col("start") + F.col("first")).alias("first_word"), (F.col("start") + F.col("end")).alias("end_word"))
     best = aligned.groupBy("doc", "item").agg(F.max(F.struct("score", (-F.col("first_word")).alias("neg"), "item_len", "end_word")).alias("b"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), F.col("b.score").alias("score"), F.col("b.item_len").alias("item_words"),

@@ -1,8 +1,8 @@
 """Main text of web pages by nearest-URL page differencing, guided by the page's own structure.
 
-Every page becomes text lines (blocks).  Pages of one host stand in path order; each is paired with the neighbour whose path
-shares the longer prefix, their lines are aligned by longest common subsequence, and shared lines are deleted: menus,
-headers and footers repeat from page to page, the article does not.
+Every page becomes text lines (blocks).  Pages of one host stand in path order, pages with equal lines as one; each is paired
+with the neighbour whose path shares the longer prefix, their lines are aligned by longest common subsequence, and shared
+lines are deleted: menus, headers and footers repeat from page to page, the article does not.
 
 Differencing covers all lines outside a declared article.  Two things it cannot know come from the structure: lines in
 elements that declare themselves to be furniture (nav, footer, aside, forms, advert and comment boxes, ...) go even when
@@ -29,20 +29,20 @@ from memlens.session import cut
 
 # Element names, and words in class, id or role that mark furniture.
 RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "title", "select", "object"}
-FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption"}
+FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 BLOCKS = set("""address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6
     head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "head"}
-MARKED = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu|
-    breadcrumbs?|footer|header|masthead|toolbar|share|social|related|recommend\w*|comments?|replies|respond|disqus|login|signup|widget|pagination|pager|skip|hidden)(?:$|[\s_-])""", re.I | re.X)
+BOXES = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|nav\w*|menu|breadcrumbs?|footer|toolbar|comments?|replies|respond|disqus|login|signup|pagination|pager|hidden"
+MARKED = re.compile(rf"(?:^|[\s_-])(?:{BOXES}|banner|side|header|masthead|share|social|related|recommend\w*|widget|skip)(?:$|[\s_-])", re.I)
+MARKED_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{BOXES})(?:$|[\s_-])", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[_-](?:body|content|text))?(?:$|\s)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 BLANKS = re.compile(r"\s+")
 PLAIN, KEPT, DROPPED = 0, 1, 2
-COPY_SHARE = 0.9
 
 
 def _state(name: str, attributes: str, above: int) -> int:
@@ -51,13 +51,13 @@ def _state(name: str, attributes: str, above: int) -> int:
         return DROPPED
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    if name not in ("html", "body", "article", "main") and (MARKED.search(names) or found.get("role", "").lower() in ROLES):
+    if name not in ("html", "body", "article", "main") and ((MARKED_INSIDE if above == KEPT else MARKED).search(names) or found.get("role", "").lower() in ROLES):
         return DROPPED
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return DROPPED
     if name == "header" and above != KEPT:
         return DROPPED
-    if name in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" or name in ("div", "section") and ARTICLE.search(names):
+    if name == "article" or found.get("itemprop") == "articleBody" or name in ("div", "section") and ARTICLE.search(names):
         return KEPT
     return above
 
@@ -168,33 +168,43 @@ def shared_lines(own: np.ndarray, other: np.ndarray) -> list[int]:
 
 
 def kept_text(lines: list[tuple[str, int]], other: np.ndarray | None) -> str:
-    """The lines that stay, joined.  A neighbour that has most of the text of a page without an article element is a copy of the page, not
-    another page of its template, and deletes nothing."""
+    """The lines that stay, joined."""
     open_places = [i for i, (_, s) in enumerate(lines) if s != KEPT]
     gone: set[int] = set()
     if other is not None and len(other) and open_places:
         own = np.array([_line_hash(lines[i][0]) for i in open_places], np.int64)
         gone = {open_places[k] for k in shared_lines(own, other)}
-        plain = [i for i in open_places if lines[i][1] == PLAIN]
-        if sum(len(lines[i][0]) for i in plain if i in gone) > COPY_SHARE * sum(len(lines[i][0]) for i in plain) and not any(s == KEPT for _, s in lines):
-            gone = set()
     return "\n".join(text for i, (text, s) in enumerate(lines) if s == KEPT or s == PLAIN and i not in gone)
 
 
-def _open_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of each page's lines outside a declared article."""
-    for batch in batches:
-        rows = [np.array([_line_hash(t) for t, s in lines_of(page or "") if s != KEPT], np.int64) for page in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(rows, pa.int64())], ["page", "url", "hashes"])
+def _lines(page: str | None, articles: bool) -> list[tuple[str, int]]:
+    found = lines_of(page or "")
+    return found if articles else [(t, PLAIN if s == KEPT else s) for t, s in found]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for i, page in enumerate(batch.column(2).to_pylist()):
-            other = batch.column(3)[i]
-            texts.append(kept_text(lines_of(page or ""), other.values.to_numpy() if other.is_valid else None))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page", "url", "text"])
+def _open_lines(articles: bool):
+    """Hashes of each page's lines outside a declared article, and one of all its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [_lines(page, articles) for page in batch.column(2).to_pylist()]
+            rows = [np.array([_line_hash(t) for t, s in lines if s != KEPT], np.int64) for lines in pages]
+            whole = [_line_hash("\n".join(t for t, _ in lines)) for lines in pages]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_column(rows, pa.int64()), pa.array(whole, pa.int64())], ["page", "url", "hashes", "lines"])
+
+    return run
+
+
+def _extract(articles: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for i, page in enumerate(batch.column(2).to_pylist()):
+                other = batch.column(3)[i]
+                texts.append(kept_text(_lines(page, articles), other.values.to_numpy() if other.is_valid else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page", "url", "text"])
+
+    return run
 
 
 def _host(url: Column) -> Column:
@@ -230,17 +240,24 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     return joined.select(F.col("me.page").alias("page"), best.alias("other")).where("other IS NOT NULL")
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", articles: bool = True) -> DataFrame:
     """(key, url, text) of every row; the module's text has the method.
 
     Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in
     page order by a line feed; empty blocks vanish.  Null or empty html gives an empty text.  A page alone on its host, or
-    with a null id, is judged by its structure only; a null url is a host of its own.
+    with a null id, is judged by its structure only; a null url is a host of its own.  Pages of a host with the same lines
+    are one page while neighbours are sought, so copies are compared with a page that differs.  Rows with one id
+    share a neighbour (that of the smallest url).  An empty table gives an empty result.  With ``articles=False`` article
+    elements are not known and differencing decides their lines too.
     """
     source = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), F.col(html).alias("html"))
-    open_lines = cut(source.where("page IS NOT NULL").mapInArrow(_open_lines, "page long, url string, hashes array<long>").where(F.size("hashes") > 0))
-    unique = open_lines.groupBy("page").agg(F.min("url").alias("url"), F.min("hashes").alias("hashes"))
-    near = nearest_pages(unique.select("page", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path")))
-    other = near.join(unique.select(F.col("page").alias("other"), "hashes"), "other").select("page", "hashes")
-    joined = source.join(other, "page", "left").select("page", "url", "html", "hashes")
-    return joined.mapInArrow(_extract, "page long, url string, text string").withColumnRenamed("page", key).withColumnRenamed("url", url)
+    open_lines = source.where("page IS NOT NULL").mapInArrow(_open_lines(articles), "page long, url string, hashes array<long>, lines long").where(F.size("hashes") > 0)
+    unique = open_lines.groupBy("page").agg(F.min(F.struct(F.coalesce("url", F.lit("")).alias("url"), "lines", "hashes")).alias("p")).select("page", "p.*")
+    unique = cut(unique.select("page", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), "lines", "hashes"))
+    kinds = unique.groupBy("host", "lines").agg(F.min(F.struct("path", "page")).alias("first")).select("host", "lines", "first.path", "first.page")
+    near = nearest_pages(kinds.select("page", "host", "path")).withColumnRenamed("page", "first")
+    other = near.join(unique.select(F.col("page").alias("other"), "hashes"), "other").select("first", "hashes")
+    hashes = (unique.select("page", "host", "lines").join(kinds.select("host", "lines", F.col("page").alias("first")), ["host", "lines"])
+              .join(other, "first").select("page", "hashes"))
+    joined = source.join(hashes, "page", "left").select("page", "url", "html", "hashes")
+    return joined.mapInArrow(_extract(articles), "page long, url string, text string").withColumnRenamed("page", key).withColumnRenamed("url", url)

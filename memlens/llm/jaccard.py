@@ -9,7 +9,7 @@ every group a signature tree over the distinct sets finds the links:
 * pairs already in one class are passed over, so a group of near copies costs about one check per copy.
 
 Links found inside a group are exact.  Routing keys are min-wise samples of ROWS shingles, BANDS of them: a pair at
-similarity 0.8 misses all keys with probability (1 - 0.8**5)**64 < 1e-11, below that of a 64-bit hash collision in the sets.
+similarity 0.8 misses all keys with probability (1 - 0.8**4)**48 < 2e-11, about that of a 64-bit hash collision in the sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from memlens.session import cut
 
 SHINGLE_WORDS = 5
 THRESHOLD = (80, 100)
-BANDS, ROWS = 64, 5
+BANDS, ROWS = 48, 4
 BITMAP_WORDS = 64
 LEAF = 4
 FANOUT = 4
@@ -170,24 +170,6 @@ def tree_join(sets: list[np.ndarray], num: int = THRESHOLD[0], den: int = THRESH
     return classes
 
 
-def _hub_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, print, doc) of one partition to distinct edges (doc, smallest doc of the key), where equal sets count as
-    one: the smallest doc stands for them."""
-    parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, mark, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, mark, key))
-    key, mark, doc = key[order], mark[order], doc[order]
-    once = np.concatenate(([True], (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])))
-    key, doc = key[once], doc[once]
-    head = np.concatenate(([True], key[1:] != key[:-1]))
-    hub = np.minimum.reduceat(doc, np.flatnonzero(head))[np.cumsum(head) - 1]
-    pairs = np.unique(np.stack([doc, hub], 1)[doc != hub], axis=0)
-    for at in range(0, len(pairs), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], ["u", "v"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(component, tile, doc, text) to (component, tile, doc, sorted shingle hashes)."""
     for batch in batches:
@@ -243,19 +225,21 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     component is the smallest key reachable by links.  Texts of under five words are one shingle; texts without words
     have none, and no links.  Rows with a null key have no component; rows with one key count as one node.
 
-    Equal sets travel as one.  A routing component whose sets exceed TILE_SHINGLES is searched in tiles: twice in
-    random tiles, which joins what is alike in linear work; then only documents whose routing keys still span two
-    classes meet again, in tiles pair by pair.
+    Equal sets are one from the start: only one row of each gets routing keys.  A routing component whose sets exceed
+    TILE_SHINGLES is searched in tiles: twice in random tiles, which joins what is alike in linear work; then only documents
+    whose routing keys still span two classes meet again, in tiles pair by pair.
     """
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = cut(source.mapInArrow(_signatures, "doc long, n_shingles long, print long, keys array<long>"))
     known = signed.where("doc IS NOT NULL AND n_shingles > 0")
-    keyed = known.select(F.explode("keys").alias("key"), "print", "doc")
-    edges = keyed.repartition("key").mapInArrow(_hub_edges, "u long, v long").distinct()
+    firsts = cut(known.groupBy("n_shingles", "print").agg(F.min("doc").alias("first"), F.first("keys").alias("keys")))
+    spread = firsts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "first")  # one row becomes BANDS
+    keyed = spread.select(F.explode("keys").alias("key"), F.col("first").alias("doc"))
+    hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("last")).where("hub < last").drop("last")
+    edges = keyed.join(hubs, "key").where("doc <> hub").select(F.col("doc").alias("u"), F.col("hub").alias("v")).distinct()
     routed = cut(components(edges))
-    firsts = known.groupBy("n_shingles", "print").agg(F.min("doc").alias("first"))
-    same = known.select("doc", "n_shingles", "print").join(firsts, ["n_shingles", "print"]).select(F.col("doc").alias("u"), F.col("first").alias("v")).where("u <> v")
-    placed = routed.join(firsts, F.col("node") == F.col("first")).select("first", "component", "n_shingles")
+    same = known.select("doc", "n_shingles", "print").join(firsts.drop("keys"), ["n_shingles", "print"]).select(F.col("doc").alias("u"), F.col("first").alias("v")).where("u <> v")
+    placed = routed.join(firsts.drop("keys"), F.col("node") == F.col("first")).select("first", "component", "n_shingles")
     totals = placed.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("sets"))
     members = cut(placed.join(totals.where("sets > 1"), "component").select(
         F.col("first").alias("doc"), "component", F.ceil(F.col("total") / TILE_SHINGLES).alias("tiles")).distinct())

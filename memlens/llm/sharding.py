@@ -94,19 +94,18 @@ def with_slots(df: DataFrame, key: str, shard: str = "shard", out: str = "slot",
     return placed.select(*columns, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias(out))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     ``law`` is ``key``: the shard depends on the key and the shard count alone.  ``grown_shard`` is the shard with
     one shard more.  ``size`` is the UTF-8 bytes of the text plus 1; a null text has size 1 and checksum 0.
-    Equal keys share a shard, null keys too; their slots differ.  With ``carry`` each row also has its own input row, as
-    struct ``_row``.  Other columns are ignored; an empty table gives an empty result.
+    Equal keys share a shard, null keys too; their slots differ.  Columns named in ``carry`` come along; other columns are
+    ignored; an empty table gives an empty result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     light = docs.select(F.col(key).alias(key), (F.octet_length(whole) + 1).cast("long").alias("size"),
-                        F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), F.xxhash64(whole).alias("_text"),
-                        *([F.struct(*[f"`{c}`" for c in docs.columns]).alias("_row")] if carry else []))
+                        F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), F.xxhash64(whole).alias("_text"), *carry)
     tree = uniform_tree(shards)
     placed = assign(light, key, tree, "shard", seed)
     placed = assign(placed, key, grow(tree, shards), "grown_shard", seed)
-    return with_slots(placed, key).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard", *(["_row"] if carry else []))
+    return with_slots(placed, key).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard", *carry)

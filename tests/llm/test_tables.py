@@ -46,6 +46,23 @@ def test_differencing_finds_the_text_of_pages_without_structure(spark):
         assert len(lines) == 4 and all(a.startswith(b) for a, b in zip(lines, want.split("\n"), strict=True))
 
 
+def test_copies_under_neighbouring_addresses_lose_their_furniture(spark):
+    """Ten copies of one page between other pages: each is compared with a page that differs."""
+    pages = [p[:3] for p in site(12)]
+    copy = pages[5][2]
+    pages += [(100 + i, f"http://h.example/a/005-{i}", copy) for i in range(10)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {got[100 + i] for i in range(10)} == {got[5]} and len(got[5].split("\n")) == 4 and got[5].startswith("Story 5 part 0")
+
+
+def test_what_an_article_holds_stays(spark):
+    page = """<body><main><ul><li>Home</li></ul><article><h1>T</h1><figure><img src=x><figcaption>A caption</figcaption></figure><div class="share-price related">Prices</div>
+        <div class="advert">Buy</div><p>Text</p><section class="comments"><p>First!</p></section></article></main></body>"""
+    other = page.replace("Text", "Other text").replace("<h1>T", "<h1>U")
+    df = spark.createDataFrame([(1, "http://h/a", page), (2, "http://h/b", other)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_text(df).collect()} == {1: "T\nA caption\nPrices\nText", 2: "U\nA caption\nPrices\nOther text"}
+
+
 def test_articles_of_given_pages(spark):
     import html as entities
     import re
@@ -110,6 +127,51 @@ def test_copies_and_edited_copies_of_items(spark):
     assert (row.score, row.item_words, row.first_word, row.end_word) == (40, 40, 50, 90)
 
 
+def all_alignments(docs, items):
+    """{(doc, item): score} of all pairs that score as a copy, by Smith-Waterman on whole texts."""
+    import re
+    words = lambda t: [w.lower() for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", t or "")]
+    number: dict[str, int] = {}
+    coded = lambda t: np.array([number.setdefault(w, len(number)) for w in words(t)], np.int64)
+    items = {i: coded(t) for i, t in items.items()}
+    out = {}
+    for d, t in docs.items():
+        a = coded(t)
+        for i, b in items.items():
+            needed = decontamination.needed_score(len(b))
+            if len(b) >= decontamination.MIN_ITEM_WORDS and np.isin(b, a).sum() >= needed:
+                score = decontamination.best_alignment(a, b)[0]
+                if score >= needed:
+                    out[d, i] = score
+    return out
+
+
+def test_all_copies_of_given_items_are_found(spark):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = all_alignments({r.doc_id: r.text for r in docs.collect()}, {r.item_id: r.text for r in items.collect()})
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_contamination(docs, items).collect()}
+    assert got == want and len(want) >= 3
+
+
+def test_no_edit_at_the_threshold_hides_a_copy(spark):
+    """Every fourth word replaced, a word put in after every two, every third word left out of a longer excerpt; common words only."""
+    rng = random.Random(38)
+    common = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(60)]
+    word = lambda: "".join(rng.choices("klmnopq", k=6))
+    items = [[rng.choice(common) if i % 3 else word() for i in range(rng.choice([9, 16, 40, 41, 70]))] for _ in range(12)] + [[rng.choice(common) for _ in range(40)]]
+    docs = {}
+    for i, item in enumerate(items):
+        docs[10 * i] = [w if k % 4 else word() for k, w in enumerate(item, 1)]
+        docs[10 * i + 1] = [x for k, w in enumerate(item, 1) for x in ([w, word()] if k % 2 == 0 else [w])]
+        docs[10 * i + 2] = [w for k, w in enumerate(item) if k % 7]
+        docs[10 * i + 3] = [rng.choice(common) for _ in range(300)]
+    texts = {d: " ".join([rng.choice(common) for _ in range(20)] + w + [rng.choice(common) for _ in range(20)]) for d, w in docs.items()}
+    tests = {i: " ".join(w) for i, w in enumerate(items)}
+    found = decontamination.find_contamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(tests.items()), "item_id long, text string"))
+    got, want = {(r.doc_id, r.item_id): r.score for r in found.collect()}, all_alignments(texts, tests)
+    assert got == want and sum(d % 10 == 0 for d, _ in want) >= 9 and sum(d % 10 == 1 for d, _ in want) >= 5
+
+
 def test_copies_of_an_edited_item_do_not_hide_it(spark):
     rng = random.Random(18)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
@@ -264,7 +326,7 @@ def test_sharding_rows(documents, odd, empty):
     for df in (documents, odd):
         texts = {r.doc_id: (r.text or "").encode() for r in df.collect()}
         got = sharding.shard_documents(df, 16).collect()
-        assert len(got) == df.count() and sharding.shard_documents(df, 16, carry=True).select("_row.*").exceptAll(df).count() == 0
+        assert len(got) == df.count() and sharding.shard_documents(df, 16, carry=("text",)).select("doc_id", "text").exceptAll(df.select("doc_id", "text")).count() == 0
         slots = {}
         for r in got:
             slots.setdefault(r.shard, []).append(r.slot)
@@ -278,32 +340,113 @@ def test_sharding_rows(documents, odd, empty):
 # --- pipeline
 
 
-def test_mixing_stage_keeps_the_chosen_rows_whatever_their_ids(spark, odd, empty):
-    import corpus_pipeline as p
+@pytest.fixture(scope="module")
+def stages():
+    import corpus_pipeline
+    return dict(corpus_pipeline.STAGES)
+
+
+def plain(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, stages):
+    for name, stage in stages.items():
+        for docs in (odd, empty):
+            out = stage(spark, docs, SF)
+            if name == "sharding":
+                added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+                own = [c for c in docs.columns if c not in added]
+                assert out.columns == own + added
+                assert plain(out.select(own)) == plain(docs.select(own))
+            else:
+                assert out.columns == docs.columns and plain(out) <= plain(docs)
+
+
+def test_null_and_repeated_ids_are_judged_row_by_row(spark, stages):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, text(1)), (None, text(1)), (7, text(2)), (7, text(2)), (7, text(3)), (None, item), (7, f"before {item} after"), (8, text(4)), (None, text(4) + " end"), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "src1", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = [(r.doc_id, r.text) for r in stages["near_copies"](spark, docs, SF).collect()]
+    assert sorted(map(repr, near)) == sorted(map(repr, [(None, text(1)), (7, text(2)), (7, text(3)), (7, f"before {item} after") if brute_similar(item) else (7, f"before {item} after"), (8, text(4)), (9, "")]))
+    clean = [(r.doc_id, r.text) for r in stages["decontamination"](spark, docs, SF).collect()]
+    assert sorted(map(repr, clean)) == sorted(repr(r) for r in rows if item not in r[1])
+
+
+def brute_similar(item):
+    """Whether an item and itself between two words link."""
+    import brute
+    return len(set(c for _, c in brute.jaccard_components([(0, item), (1, f"before {item} after")]).values())) == 1
+
+
+def test_mixing_stage_keeps_the_chosen_rows_whatever_their_ids(spark, odd, empty, stages):
     rows = [(d, " ".join(f"w{i}x{j}" for j in range(10)), "en", "src1", i) for i, d in enumerate([None] * 20 + [7] * 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = [tuple(r) for r in p.mix_sources(spark, docs, SF).collect()]
+    got = [tuple(r) for r in stages["mixing"](spark, docs, SF).collect()]
     assert len(got) == 32 and len(set(got)) == 32 and set(got) <= set(rows)  # one leaf of 400 tokens, 80 % of them
-    mixed = p.mix_sources(spark, odd, SF)
-    assert mixed.columns == odd.columns and not mixed.exceptAll(odd).count() and mixed.count() > 0
-    assert p.mix_sources(spark, empty, SF).count() == 0
+
+
+def leaf_shares(tokens, budget):
+    """Water filling by hand: {leaf path: tokens} to {leaf path: budget}, equal weights per leaf."""
+    def split(leaves, budget, depth):
+        if depth == 3:
+            return {p: min(budget, float(t)) for p, t in leaves.items()}
+        groups: dict = {}
+        for p, t in leaves.items():
+            groups.setdefault(p[depth], {})[p] = t
+        weight, capacity = {g: float(len(v)) for g, v in groups.items()}, {g: float(sum(v.values())) for g, v in groups.items()}
+        given, open_, left = {}, set(groups), budget
+        while open_:
+            per = left / sum(weight[g] for g in open_)
+            full = {g for g in open_ if capacity[g] <= per * weight[g] + 1e-9}
+            if not full:
+                given |= {g: per * weight[g] for g in open_}
+                break
+            given |= {g: capacity[g] for g in full}
+            left -= sum(capacity[g] for g in full)
+            open_ -= full
+        out = {}
+        for g, v in groups.items():
+            out |= split(v, given[g], depth + 1)
+        return out
+    return split(tokens, budget, 0)
 
 
 def test_pipeline_stages_against_brute_force(spark):
     import brute
     import corpus_pipeline as p
+    from memlens.llm import toxicity
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     for name, stage in p.STAGES:
-        before = {r.doc_id: r.text for r in docs.collect()}
-        docs = stage(spark, docs, SF)
-        docs = docs.checkpoint() if name != "sharding" else docs
-        kept = {r.doc_id for r in docs.collect()}
-        assert kept <= set(before) and len(kept) == docs.count()
-        if name == "near_copies":
-            assert kept == {d for d, (_, c) in brute.jaccard_components(before.items()).items() if d == c}
-        if name == "sharding":
-            assert kept == set(before)
+        before = {r.doc_id: r for r in docs.collect()}
+        model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet")) if name == "toxicity" else None
+        scores = {r.doc_id: r.score for r in docs.select("doc_id", toxicity.toxic_score(model)(docs["text"]).alias("score")).collect()} if model else {}
+        docs = stage(spark, docs, SF).checkpoint()
+        rows = docs.collect()
+        kept = {r.doc_id for r in rows}
+        assert kept <= set(before) and len(kept) == len(rows) and all(r.text == before[r.doc_id].text for r in rows)
+        if name == "toxicity":
+            assert kept == {d for d, s in scores.items() if s < 0.5}
+        elif name == "near_copies":
+            assert kept == {d for d, (_, c) in brute.jaccard_components((d, r.text) for d, r in before.items()).items() if d == c}
+        elif name == "decontamination":
+            assert set(before) - kept == {d for d, _ in all_alignments({d: r.text for d, r in before.items()}, items)}
+        elif name == "mixing":
+            size = {d: max(1, len(brute.WORD.findall(r.text or ""))) for d, r in before.items()}
+            leaf = {d: (f"d{int(r.source[-1]) % 5 if r.source and r.source[-1].isdigit() else 0}", r.lang, r.source) for d, r in before.items()}
+            total, chosen = Counter(), Counter()
+            for d in before:
+                total[leaf[d]] += size[d]
+                chosen[leaf[d]] += size[d] * (d in kept)
+            for path, budget in leaf_shares(total, 0.8 * sum(total.values())).items():
+                out = [size[d] for d in before if leaf[d] == path and d not in kept]
+                assert chosen[path] <= budget + 1e-6 and (not out or chosen[path] + max(out) > budget - 1)
         else:
+            tree = sharding.uniform_tree(16)
+            assert kept == set(before) and all(r.shard == descended(r.doc_id, tree) and r.grown_shard == descended(r.doc_id, sharding.grow(tree, 16)) for r in rows)
+        if name != "sharding":
             assert docs.columns == columns
     assert p.run(spark, SF).count() == len(kept)
