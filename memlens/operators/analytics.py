@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
-from memlens.common import clamp01, count_if, exact_medians, last_by, prefix_counts, ratio, top_k
+from memlens.common import clamp01, count_if, exact_medians, last_at_or_before, last_by, point_nodes, prefix_counts, ratio, stabbing_nodes, top_k
 from memlens.functions.scores import strength_rank
 
 ORDER = ["ts", "event_id"]
@@ -313,7 +313,7 @@ def mechanism_savings(mech: DataFrame) -> DataFrame:
     return out.withColumn("total_saved", F.col("context_saved") + F.col("file_saved") + F.col("supervision_saved") + F.col("cache_saved"))
 
 
-# --- E15..E17 -----------------------------------------------------------------------------------
+# --- E15 -----------------------------------------------------------------------------------
 
 def impact(log: DataFrame) -> DataFrame:
     blocks = per_item_stats(log, "block").agg(
@@ -343,77 +343,6 @@ def impact_lists(log: DataFrame, n: int = V.IMPACT_TOP_N) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def usage_metrics(log: DataFrame, by: tuple[str, ...] = (), price_per_million: float | None = None,
-                  min_cohort: int = V.MIN_CAUSAL_COHORT) -> DataFrame:
-    """Observed funnel, shadow deltas, heuristic and causal estimates; one row per ``by``."""
-    f = funnel(log, by)
-    o, r, i = outcome_split(log, by), retrieval_split(log, by), integrity(log, by)
-    c, cal, filt = causal_cohorts(log, by), calibration(log, by), candidate_filtering(log, by)
-    pick = lambda arm, col: F.max(F.when(F.col("arm") == arm, F.col(col)))
-    names = ["n", "resolved", "mean_tokens", "mean_duration_ms", "n_tokens", "n_durations"]
-    arms = c.groupBy(*by).agg(*[pick(a, n).alias(f"{a}_{n}") for a in ("assisted", "holdout") for n in names])
-    o = o.select(*by, "mean_tokens_treatment", "mean_tokens_shadow", "mean_duration_treatment", "mean_duration_shadow",
-                 F.least("n_tokens_shadow", "n_tokens_treatment").alias("tokens_saved_n"),
-                 F.least("n_duration_shadow", "n_duration_treatment").alias("latency_saved_n"))
-    r = r.select(*by, F.col("injected_tokens").alias("injected_tokens_estimate"))
-    if by:
-        out = f
-        for part in (o, r, i, arms, cal, filt):
-            out = out.join(part, list(by), "left")
-    else:
-        out = with_scalars(f, o, r, i, arms, cal, filt)
-    n = lambda x: F.coalesce(F.col(x), F.lit(0))
-    ready = lambda x: (n(f"assisted_{x}") >= min_cohort) & (n(f"holdout_{x}") >= min_cohort)
-    causal_tokens = F.when(ready("n_tokens"), (F.col("holdout_mean_tokens") - F.col("assisted_mean_tokens")) * F.col("assisted_n"))
-    net = causal_tokens - n("injected_tokens_estimate")
-    out = (out.where(F.col("eligible_runs") > 0)
-           .withColumn("tokens_saved", (F.col("mean_tokens_shadow") - F.col("mean_tokens_treatment")) * F.col("injected_runs"))
-           .withColumn("latency_saved_ms", (F.col("mean_duration_shadow") - F.col("mean_duration_treatment")) * F.col("injected_runs"))
-           .withColumn("heuristic_tokens_saved", F.col("helpful_runs") * V.TOKENS_PER_HELPFUL)
-           .withColumn("heuristic_latency_saved_ms", F.col("helpful_runs") * V.LATENCY_MS_PER_HELPFUL)
-           .withColumn("resolved_rate_with_memory", ratio(F.col("helpful_runs"), F.col("injected_runs")))
-           .withColumn("causal_resolved_lift", F.when(ready("n"), ratio(F.col("assisted_resolved"), F.col("assisted_n"))
-                                                      - ratio(F.col("holdout_resolved"), F.col("holdout_n"))))
-           .withColumn("causal_tokens_lift", causal_tokens)
-           .withColumn("causal_latency_lift", F.when(ready("n_durations"), (F.col("holdout_mean_duration_ms")
-                                                     - F.col("assisted_mean_duration_ms")) * F.col("assisted_n")))
-           .withColumn("net_token_impact", F.when(n("holdout_n") > 0, net)))
-    if price_per_million is not None:
-        out = out.withColumn("net_value", F.col("net_token_impact") * F.lit(price_per_million / 1e6))
-    fill = ["assisted_n", "assisted_resolved", "holdout_n", "holdout_resolved", "scored_injections",
-            "tokens_saved_n", "latency_saved_n", "injected_tokens_estimate", "shadow_control_mismatches",
-            "outcomes_without_retrieval"]
-    return out.fillna(0, subset=fill)
-
-
-USAGE_COLS = ["eligible_runs", "recalled_runs", "injected_runs", "used_runs", "helpful_runs", "verified_helpful_runs",
-              "resolved_rate_with_memory", "tokens_saved", "latency_saved_ms", "heuristic_tokens_saved",
-              "heuristic_latency_saved_ms", "assisted_n", "holdout_n", "causal_resolved_lift", "causal_tokens_lift",
-              "causal_latency_lift", "net_token_impact", "injected_tokens_estimate", "shadow_control_mismatches",
-              "outcomes_without_retrieval", "brier_score", "auc", "scored_injections"]
-
-
-def fold_days(days: DataFrame, by: tuple[str, ...] = (), min_cohort: int = V.MIN_CAUSAL_COHORT) -> DataFrame:
-    """Pool daily usage rows; Brier and AUC weighted by scored injections; cohorts pooled, then gated."""
-    s = lambda c: F.sum(c).alias(c)
-    w = lambda c: ratio(F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col("scored_injections"))),
-                        F.sum(F.when(F.col(c).isNotNull(), F.col("scored_injections")))).alias(c)
-    est = lambda c: F.sum(F.when(F.col(f"{c}_n") > 0, F.col(c))).alias(c)
-    out = days.groupBy(*by).agg(
-        *[s(c) for c in ("eligible_runs", "recalled_runs", "injected_runs", "used_runs", "helpful_runs",
-                         "shadow_control_mismatches", "outcomes_without_retrieval", "scored_injections",
-                         "candidates_seen", "candidates_shown", "candidates_filtered", "assisted_n", "assisted_resolved",
-                         "holdout_n", "holdout_resolved")],
-        w("brier_score"), w("auc"), F.max("last_refit_ts").alias("last_refit_ts"),
-        est("tokens_saved"), F.sum(F.when(F.col("tokens_saved").isNotNull(), F.col("tokens_saved_n"))).alias("tokens_saved_n"),
-        F.count("*").alias("days"))
-    ready = (F.col("assisted_n") >= min_cohort) & (F.col("holdout_n") >= min_cohort)
-    return (out.withColumn("resolved_rate_with_memory", ratio(F.col("helpful_runs"), F.col("injected_runs")))
-            .withColumn("candidate_filter_rate", ratio(F.col("candidates_filtered"), F.col("candidates_seen")))
-            .withColumn("resolved_lift", F.when(ready, ratio(F.col("assisted_resolved"), F.col("assisted_n"))
-                                                - ratio(F.col("holdout_resolved"), F.col("holdout_n")))))
-
-
 # --- E18..E20 --------------------------------------------------------------------------------------
 
 def cascade_compare(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -575,31 +504,47 @@ def contributors(samples: DataFrame) -> DataFrame:
 def resolve_feedback(feedback: DataFrame, retrieved: DataFrame, lookback_ms: int = 3_600_000) -> DataFrame:
     """Which retrieval a piece of feedback answers.
 
-    ``feedback(feedback_id, trace_id, ts, query_id?)``; ``retrieved(query_id,
-    trace_id, ts)`` holds one row per returned item.  Explicit query ids are
-    matched directly.  The others join on (trace, lookback-sized time bucket),
-    so a hot trace is spread over its buckets, and candidates are reduced to a
-    count and a latest row by an aggregate.  A pair credited earlier is dropped.
+    ``feedback(feedback_id, trace_id, ts, query_id?)``; ``retrieved(query_id, trace_id, ts)`` holds one row per returned item.
+    Explicit query ids are matched directly.  The others get the latest retrieval of their trace that is open: a retrieval is
+    open from its own time for ``lookback_ms``, and no longer than until explicit feedback credits it.
+
+    No pair of feedback and retrieval is formed.  How many retrievals are open is a running sum of openings and closings; the
+    latest of those that nothing credits is an as-of join; of the credited ones, whose ends follow no order, each
+    lies on the dyadic nodes of its time span, and feedback looks its own nodes up.  A trace with a third of all rows is spread
+    over its time buckets.
     """
-    first = lambda d: d.groupBy("query_id", "trace_id").agg(F.min(F.struct("ts", "feedback_id")).alias("first"))
+    pair, first = ["query_id", "trace_id"], F.min(F.struct("ts", "feedback_id")).alias("first")
     explicit = feedback.where(F.col("query_id").isNotNull())
-    hits = retrieved.groupBy("query_id", "trace_id").agg(F.min("ts").alias("r_ts"))
-    credited = first(explicit)
-    exp = (explicit.join(hits, ["query_id", "trace_id"], "left").join(credited, ["query_id", "trace_id"])
+    hits = retrieved.groupBy(*pair).agg(F.min("ts").alias("r_ts"))
+    credited = explicit.groupBy(*pair).agg(first)
+    exp = (explicit.join(hits, pair, "left").join(credited, pair)
            .select("feedback_id", "trace_id", F.when(F.col("r_ts").isNotNull(), F.col("query_id")).alias("resolved_query"),
                    F.lit(False).alias("ambiguous"), (F.col("first.feedback_id") != F.col("feedback_id")).alias("already_credited")))
+
     open_ = feedback.where(F.col("query_id").isNull()).select("feedback_id", "trace_id", F.col("ts").alias("f_ts"))
-    b = lambda c: F.floor(F.col(c) / lookback_ms)
-    left = open_.withColumn("_b", F.explode(F.array(b("f_ts"), b("f_ts") - 1)))
-    right = (retrieved.join(credited.select("query_id", "trace_id", F.col("first.ts").alias("c_ts")), ["query_id", "trace_id"], "left")
-             .select("query_id", "trace_id", F.col("ts").alias("r_ts"), "c_ts", b("ts").alias("_b")))
-    cand = left.join(right, ["trace_id", "_b"]).where(
-        (F.col("r_ts") <= F.col("f_ts")) & (F.col("r_ts") > F.col("f_ts") - lookback_ms)
-        & ~F.coalesce(F.col("c_ts") < F.col("f_ts"), F.lit(False)))
-    best = cand.groupBy("feedback_id").agg(F.max_by("query_id", F.struct("r_ts", "query_id")).alias("q"), F.count("*").alias("n"))
-    imp = open_.join(best, "feedback_id", "left").select(
-        "feedback_id", "trace_id", F.col("q").alias("resolved_query"), (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"),
-        F.lit(False).alias("already_credited"))
+    spans = retrieved.join(credited.select(*pair, F.col("first.ts").alias("c_ts")), pair, "left").select(
+        "trace_id", "c_ts", F.col("ts").alias("low"), F.least(F.col("ts") + (lookback_ms - 1), "c_ts").alias("high"), F.struct(F.col("ts").alias("r_ts"), "query_id").alias("hit")).where("low <= high")
+    # places on the time line: openings, then feedback, then closings of one millisecond
+    at = lambda ts, place: (F.col(ts) * 4 + place).alias("at")
+    none = F.lit(None).cast(spans.schema["hit"].dataType)
+    marks = (spans.select("trace_id", at("low", 0), F.lit(1).alias("delta"), F.when(F.col("c_ts").isNull(), F.col("hit")).alias("hit"))
+             .unionAll(spans.select("trace_id", at("high", 2), F.lit(-1), none))
+             .unionAll(open_.select("trace_id", at("f_ts", 1), F.lit(0), none)))
+    line = marks.groupBy("trace_id", "at").agg(F.sum("delta").alias("delta"), F.max("hit").alias("hit"))
+    bucket = F.floor(F.col("at") / (4 * lookback_ms))
+    counted = prefix_counts(line.select("trace_id", "at", "delta"), ["trace_id"], "at", bucket, ["delta"]).select("trace_id", "at", F.col("before_delta").alias("n"))
+    latest = last_at_or_before(line.select("trace_id", "at", "hit"), ["trace_id"], "at", bucket, "hit").select("trace_id", "at", F.col("last").alias("latest"))
+
+    bits = max(lookback_ms - 1, 1).bit_length()
+    tiles = (spans.where(F.col("c_ts").isNotNull()).select("trace_id", "hit", F.explode(stabbing_nodes(F.col("low"), F.col("high"), bits)).alias("node"))
+             .groupBy("trace_id", "node").agg(F.max("hit").alias("hit")))
+    held = (open_.select("feedback_id", "trace_id", F.explode(point_nodes(F.col("f_ts"), bits)).alias("node")).join(tiles, ["trace_id", "node"])
+            .groupBy("feedback_id").agg(F.max("hit").alias("held")))
+
+    placed = open_.withColumn("at", at("f_ts", 1)).join(counted, ["trace_id", "at"], "left").join(latest, ["trace_id", "at"], "left").join(held, "feedback_id", "left")
+    alive = F.when(F.col("latest.r_ts") > F.col("f_ts") - lookback_ms, F.col("latest"))
+    imp = placed.select("feedback_id", "trace_id", F.greatest(alive, F.col("held"))["query_id"].alias("resolved_query"),
+                        (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"), F.lit(False).alias("already_credited"))
     return exp.unionByName(imp)
 
 

@@ -21,15 +21,17 @@ def infer_use(injections: DataFrame, shadow: DataFrame, transcripts: DataFrame,
 
     ``injections(query_id, block_id, run_id, ts)``, ``shadow(query_id, shadow)``,
     ``transcripts(transcript_id, run_id, ts, text)``.  Runs join on lookback-sized
-    time buckets, so a long run is spread out and only close pairs meet.
+    time buckets, so a long run is spread out and only close pairs meet; pairs carry ids, tokens join the distinct ones.
     """
     b = lambda c: F.floor(F.col(c) / lookback_ms)
-    inj = injections.join(shadow.where(~F.col("shadow")), "query_id", "left_semi").select("query_id", "block_id", "run_id", F.col("ts").alias("i_ts"), b("ts").alias("_b"))
-    tr = transcripts.select("transcript_id", "run_id", F.col("ts").alias("t_ts"), evidence_tokens(F.col("text")).alias("tt")).withColumn("_b", F.explode(F.array(b("t_ts"), b("t_ts") - 1)))
+    inj = (injections.join(shadow.where(~F.col("shadow")), "query_id", "left_semi")
+           .groupBy("query_id", "block_id", "run_id", F.col("ts").alias("i_ts")).agg(F.lit(True)).select("query_id", "block_id", "run_id", "i_ts").withColumn("_b", b("i_ts")))
+    tr = transcripts.select("transcript_id", "run_id", F.col("ts").alias("t_ts")).withColumn("_b", F.explode(F.array(b("t_ts"), b("t_ts") - 1)))
     near = inj.join(tr, ["run_id", "_b"]).where((F.col("i_ts") <= F.col("t_ts")) & (F.col("i_ts") > F.col("t_ts") - lookback_ms))
-    one = near.groupBy("transcript_id", "query_id", "block_id").agg(F.min("i_ts").alias("injection_ts"), F.first("tt").alias("tt"))
+    one = near.groupBy("transcript_id", "query_id", "block_id").agg(F.min("i_ts").alias("injection_ts"))
+    tt = transcripts.select("transcript_id", evidence_tokens(F.col("text")).alias("tt"))
     bt = blocks.select("block_id", evidence_tokens(F.concat_ws("\n", "unlock", "verification")).alias("bt"))
-    return (one.join(bt, "block_id").withColumn("score", T.jaccard(F.col("bt"), F.col("tt"))).where(F.col("score") >= threshold)
+    return (one.join(bt, "block_id").join(tt, "transcript_id").withColumn("score", T.jaccard(F.col("bt"), F.col("tt"))).where(F.col("score") >= threshold)
             .select("transcript_id", "query_id", "block_id", "injection_ts", "score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
 from memlens.operators import analytics as A
+from memlens.operators import usage as U
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S
 from memlens.plans.catalog import Query, Registry, rounded
@@ -171,7 +172,7 @@ def _usage_parts(by: str) -> list[str]:
             S.POINTS if not by else S.POINTS.replace("JOIN outc o USING (query_id)", "JOIN outc o USING (query_id, day)").replace(
                 "u.item_id=l.block_id", "u.item_id=l.block_id AND u.day=day").replace("u.query_id=l.query_id", "u.query_id=query_id").replace("l.day", "day").replace("l.query_id", "query_id"),
             _AUC.format(part=by or "1", by=c, group=g), "fl AS (" + _FILT.format(by=c, group=g) + ")",
-            f"""us AS (SELECT *, (mean_tokens_shadow-mean_tokens_treatment)*injected_runs AS tokens_saved, least(n_tokens_shadow,n_tokens_treatment) AS tokens_saved_n,
+            f"""us AS (SELECT *, (mean_tokens_shadow-mean_tokens_treatment)*injected_runs AS tokens_saved, least(n_tokens_shadow,n_tokens_treatment) AS tokens_saved_n, least(n_duration_shadow,n_duration_treatment) AS latency_saved_n,
   (mean_duration_shadow-mean_duration_treatment)*injected_runs AS latency_saved_ms,
   helpful_runs*{V.TOKENS_PER_HELPFUL} AS heuristic_tokens_saved, helpful_runs*{V.LATENCY_MS_PER_HELPFUL} AS heuristic_latency_saved_ms,
   helpful_runs::DOUBLE/nullif(injected_runs,0) AS resolved_rate_with_memory,
@@ -186,11 +187,11 @@ def _usage_parts(by: str) -> list[str]:
 _INT_USAGE = {"eligible_runs", "recalled_runs", "injected_runs", "used_runs", "helpful_runs", "verified_helpful_runs", "heuristic_tokens_saved",
               "heuristic_latency_saved_ms", "assisted_n", "holdout_n", "injected_tokens_estimate", "shadow_control_mismatches",
               "outcomes_without_retrieval", "scored_injections"}
-_USAGE_SELECT = ", ".join(f"coalesce({c},0)::BIGINT AS {c}" if c in _INT_USAGE else f"round({c}::DOUBLE,6) AS {c}" for c in A.USAGE_COLS)
+_USAGE_SELECT = ", ".join(f"coalesce({c},0)::BIGINT AS {c}" if c in _INT_USAGE else f"round({c}::DOUBLE,6) AS {c}" for c in U.USAGE_COLS)
 
 
 def _usage(spark, sf):
-    return A.usage_metrics(D.event_log(spark, sf), price_per_million=3.0).select(*A.USAGE_COLS, "net_value")
+    return U.usage_metrics(D.event_log(spark, sf), price_per_million=3.0).select(*U.USAGE_COLS, "net_value")
 
 
 _q("e16_usage_metrics", _usage, _sql(*_usage_parts(""), select=f"SELECT {_USAGE_SELECT}, round((net_token_impact*0.000003)::DOUBLE,6) AS net_value FROM us"))
@@ -216,18 +217,18 @@ def imported_log(spark, sf):
 
 
 _q("a4_imported_per_block_stats", lambda s, sf: A.per_item_stats(imported_log(s, sf), item="block"), QUERIES["e5_per_block_stats"].sql)
-_q("a4_imported_usage_metrics", lambda s, sf: A.usage_metrics(imported_log(s, sf), price_per_million=3.0).select(*A.USAGE_COLS, "net_value"), QUERIES["e16_usage_metrics"].sql)
+_q("a4_imported_usage_metrics", lambda s, sf: U.usage_metrics(imported_log(s, sf), price_per_million=3.0).select(*U.USAGE_COLS, "net_value"), QUERIES["e16_usage_metrics"].sql)
 
 
 def daily_usage(spark, sf):
     """One usage row per UTC day with an eligible run."""
-    return A.usage_metrics(A.with_day(D.event_log(spark, sf)), by=("day",))
+    return U.usage_metrics(A.with_day(D.event_log(spark, sf)), by=("day",))
 
 
-_q("a8_daily_usage_windows", lambda s, sf: daily_usage(s, sf).select("day", *A.USAGE_COLS),
+_q("a8_daily_usage_windows", lambda s, sf: daily_usage(s, sf).select("day", *U.USAGE_COLS),
    _sql(*_usage_parts("day"), select=f"SELECT day, {_USAGE_SELECT} FROM us"))
 
-_q("e17_fold_days", lambda s, sf: A.fold_days(daily_usage(s, sf)), _sql(*_usage_parts("day"), """fd AS (SELECT
+_q("e17_fold_days", lambda s, sf: U.fold_days(daily_usage(s, sf)), _sql(*_usage_parts("day"), """fd AS (SELECT
   sum(eligible_runs)::BIGINT AS eligible_runs, sum(recalled_runs)::BIGINT AS recalled_runs, sum(injected_runs)::BIGINT AS injected_runs,
   sum(used_runs)::BIGINT AS used_runs, sum(helpful_runs)::BIGINT AS helpful_runs, sum(shadow_control_mismatches)::BIGINT AS shadow_control_mismatches,
   sum(outcomes_without_retrieval)::BIGINT AS outcomes_without_retrieval, sum(scored_injections)::BIGINT AS scored_injections,
@@ -235,8 +236,13 @@ _q("e17_fold_days", lambda s, sf: A.fold_days(daily_usage(s, sf)), _sql(*_usage_
   sum(assisted_n)::BIGINT AS assisted_n, sum(assisted_resolved)::BIGINT AS assisted_resolved, sum(holdout_n)::BIGINT AS holdout_n, sum(holdout_resolved)::BIGINT AS holdout_resolved,
   sum(brier_score*scored_injections)/sum(scored_injections) FILTER (brier_score IS NOT NULL) AS brier_score,
   sum(auc*scored_injections)/sum(scored_injections) FILTER (auc IS NOT NULL) AS auc, max(last_refit_ts) AS last_refit_ts,
-  sum(tokens_saved) FILTER (tokens_saved_n>0) AS tokens_saved, sum(tokens_saved_n) FILTER (tokens_saved IS NOT NULL)::BIGINT AS tokens_saved_n, count(*) AS days FROM us)""", select=f"""
-SELECT * REPLACE (round(brier_score,6) AS brier_score, round(auc::DOUBLE,6) AS auc, round(tokens_saved,6) AS tokens_saved),
+  sum(tokens_saved) FILTER (tokens_saved_n>0) AS tokens_saved, sum(tokens_saved_n) FILTER (tokens_saved IS NOT NULL)::BIGINT AS tokens_saved_n,
+  sum(latency_saved_ms) FILTER (latency_saved_n>0) AS latency_saved_ms, sum(latency_saved_n) FILTER (latency_saved_ms IS NOT NULL)::BIGINT AS latency_saved_n,
+  sum(causal_tokens_lift) AS ct, sum(least(coalesce(assisted_n_tokens,0),coalesce(holdout_n_tokens,0)))::BIGINT AS causal_tokens_n,
+  sum(causal_latency_lift) AS cl, sum(least(coalesce(assisted_n_durations,0),coalesce(holdout_n_durations,0)))::BIGINT AS causal_latency_n, count(*) AS days FROM us)""", select=f"""
+SELECT * EXCLUDE (ct, cl) REPLACE (round(brier_score,6) AS brier_score, round(auc::DOUBLE,6) AS auc, round(tokens_saved,6) AS tokens_saved, round(latency_saved_ms,6) AS latency_saved_ms),
+  CASE WHEN assisted_n>={V.MIN_CAUSAL_COHORT} AND holdout_n>={V.MIN_CAUSAL_COHORT} THEN round(ct,6) END AS causal_tokens_lift,
+  CASE WHEN assisted_n>={V.MIN_CAUSAL_COHORT} AND holdout_n>={V.MIN_CAUSAL_COHORT} THEN round(cl,6) END AS causal_latency_lift,
   round(helpful_runs::DOUBLE/nullif(injected_runs,0),6) AS resolved_rate_with_memory, round(candidates_filtered::DOUBLE/nullif(candidates_seen,0),6) AS candidate_filter_rate,
   round(CASE WHEN assisted_n>={V.MIN_CAUSAL_COHORT} AND holdout_n>={V.MIN_CAUSAL_COHORT} THEN assisted_resolved/assisted_n - holdout_resolved/holdout_n END,6) AS resolved_lift FROM fd"""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
-from memlens.operators import analytics as A
+from memlens.operators import usage as U
 from memlens.operators import maintenance as M
 from memlens.operators import retrieval as R
 from memlens.plans import adapters as D
@@ -54,7 +54,7 @@ SELECT d.*, CASE WHEN kind<>'none' THEN CASE WHEN fs<pos THEN 'suppressed' ELSE
 def _usage(s, sf):
     w = J.workspace(s, "usage")
     J.run_available(J.usage_by_day(D.event_log_of(_events(s, sf)), f"{w}/store", f"{w}/out", f"{w}/checkpoint", delay="60 days"))
-    return s.read.parquet(f"{w}/out").withColumn("day", F.col("day").cast("string")).select("day", *A.USAGE_COLS)
+    return s.read.parquet(f"{w}/out").withColumn("day", F.col("day").cast("string")).select("day", *U.USAGE_COLS)
 
 
 _q("g12_streaming_usage", _usage, EQ.QUERIES["a8_daily_usage_windows"].sql)

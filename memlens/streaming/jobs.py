@@ -19,7 +19,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlens import fixed_values as V
 from memlens.operators import analytics as A
-from memlens.session import ensure_checkpoint_dir
+from memlens.operators import usage as U
+from memlens.session import cut, ensure_checkpoint_dir
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -119,18 +120,20 @@ def loops_to_parquet(obs: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 
 def usage_by_day(log: DataFrame, store: str, out: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Usage rows per UTC day, kept current: a trigger adds its events to their day and redoes the days it touched.
+    """Usage rows per UTC day, kept current.  A trigger appends the state of its own events to their days (``usage.usage_state``) and
+    adds up the states of the days it touched; events are read once, and other days' states not at all.
 
-    Rows later than the watermark are dropped before they reach a day.  A day's
-    folder holds one file set per trigger, so a replayed trigger replaces its own.
+    Rows later than the watermark are dropped before they reach a day.  A day's folder holds one state per trigger, so a
+    replayed trigger replaces its own and counts nothing twice.
     """
     def touch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        daily = A.with_day(batch).withColumn("trigger", F.lit(batch_id))
-        _write_days(daily, store, ["day", "trigger"])
-        days = spark.read.parquet(store).where(F.col("trigger") == batch_id).select("day").distinct()
-        touched = spark.read.parquet(store).join(days, "day", "left_semi").withColumn("day", F.col("day").cast("string"))
-        rows = A.usage_metrics(touched, by=("day",)).select("day", *A.USAGE_COLS)
+        fresh = U.usage_state(A.with_day(batch), ("day",)).withColumn("trigger", F.lit(batch_id))
+        _write_days(fresh, store, ["day", "trigger"])
+        states = spark.read.parquet(store).withColumns({"day": F.col("day").cast("string")})
+        days = states.where(F.col("trigger") == batch_id).select("day").distinct()
+        touched = states.where(F.col("trigger") <= batch_id).join(days, "day", "left_semi").drop("trigger")
+        rows = U.usage_from_state(cut(U.merge_state(touched, ("day",))), ("day",)).select("day", *U.USAGE_COLS)
         _write_days(rows, out, ["day"])
 
     return (once_within(log, delay=delay).writeStream.foreachBatch(touch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
