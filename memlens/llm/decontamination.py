@@ -6,8 +6,9 @@ neighbouring word pairs stand in the copy.  Of any n - needed + 1 of the item's
 rarest ones in the corpus are its seeds, and no copy is lost, whatever its edits.
 
 1. One scan counts the items' word pairs in all documents; each item keeps its n - needed + 1 rarest as seeds.
-2. A bit filter over the seeds goes to every task, one per length class of items.  A second scan keeps, around the places that
-   pass a filter, windows of words wide enough for the class's items.
+2. Bit filters over the seeds and over all pairs go to every task, one of each per length class of items.  A second scan keeps,
+   around the places that pass a seed filter, windows of words wide enough for the class's items, if as many pairs near the
+   place pass the other filter as the class's shortest copy has.
 3. Equal windows are one candidate.  Seeds join distinct windows to items by an ordinary shuffle join.
 4. Each distinct (window, item) that shares needed - 1 pairs is aligned once, word by word, and the documents that hold the
    window join its result.
@@ -121,11 +122,14 @@ def _count(filters: dict[int, np.ndarray]):
     return run
 
 
-def _scan(filters: dict[int, np.ndarray], reach: dict[int, int]):
-    """Windows of words around the seeds that pass a class's filter; seeds over ``reach`` words apart open a new window."""
+def _scan(seed_bits: dict[int, np.ndarray], pair_bits: dict[int, np.ndarray], reach: dict[int, tuple[int, int]]):
+    """Windows of words around the seeds that pass a class's filter; seeds too far apart for one copy open a new window.
+
+    ``reach``: by class, the most words that a copy spans and the least pairs that it holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = _passing(filters)
+        is_seed, is_pair = _passing(seed_bits), _passing(pair_bits)
         for batch in batches:
             rows: list[int] = []
             sizes: list[int] = []
@@ -135,8 +139,13 @@ def _scan(filters: dict[int, np.ndarray], reach: dict[int, int]):
             for row, (w, s) in enumerate(_texts(batch.column(1))):
                 if not len(s):
                     continue
-                for c, far in reach.items():
-                    hit = passes(c, s)
+                for c, (far, least) in reach.items():
+                    hit = is_seed(c, s)
+                    if len(hit) and least > 1:
+                        pairs = np.zeros(len(s) + 1, np.int64)
+                        pairs[is_pair(c, s) + 1] = 1
+                        np.cumsum(pairs, out=pairs)
+                        hit = hit[pairs[np.minimum(hit + far, len(s))] - pairs[np.maximum(hit - far, 0)] >= least]
                     if not len(hit):
                         continue
                     for part in np.split(hit, np.flatnonzero(np.diff(hit) > far) + 1):
@@ -224,9 +233,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
         pairs = pairs.withColumn("n", F.lit(0))
     rarest = W.partitionBy("item", F.xxhash64("item_words")).orderBy(F.coalesce("n", F.lit(0)), "seed", "place")
     seeds = cut(pairs.withColumn("rank", F.row_number().over(rarest)).where("rank <= n_seeds").select("item", "size", "seed").distinct())
-    # a copy of n words spans up to n + (n - needed) words
-    reach = {r["size"]: int(r["reach"]) for r in items.groupBy("size").agg(F.max(F.size("item_words") + F.col("n_seeds")).alias("reach")).collect()}
-    windows = cut(source.mapInArrow(_scan(seed_filters(seeds.select("size", "seed").distinct()), reach), f"doc {kind}, size int, start long, window binary, words array<long>, seeds array<long>"))
+    # a copy of n words spans up to n + (n - needed) words and holds needed - 1 pairs; n_seeds = n - needed + 1
+    n = F.size("item_words")
+    reach = {r["size"]: (r["far"], r["least"]) for r in items.groupBy("size").agg(F.max(n + F.col("n_seeds")).alias("far"), F.min(n - F.col("n_seeds")).alias("least")).collect()}
+    scan = _scan(seed_filters(seeds.select("size", "seed").distinct()), seed_filters(items.select("size", F.explode("pairs").alias("seed")).distinct()), reach)
+    windows = cut(source.mapInArrow(scan, f"doc {kind}, size int, start long, window binary, words array<long>, seeds array<long>"))
     kinds = cut(windows.select("window", "size", "words", "seeds").dropDuplicates(["window", "size"]))
     met = kinds.select("window", "size", F.explode("seeds").alias("seed")).join(seeds, ["size", "seed"]).select("window", "size", "item").distinct()
     scored = (met.join(kinds, ["window", "size"]).join(items.select("item", "item_words", "size"), ["item", "size"]).select("window", "words", "item", "item_words")
