@@ -19,6 +19,7 @@ from memlens import fixed_values as V
 from memlens.common import clamp01, count_if, ratio, top_k
 from memlens.functions import scores
 from memlens.functions import text as T
+from memlens.operators import postings as P
 from memlens.session import cut
 
 # --- C1 BM25 ------------------------------------------------------------------------
@@ -40,78 +41,17 @@ def query_terms(queries: DataFrame, form: str = "trace") -> DataFrame:
     return q.select("query_id", F.size("_t").alias("n_terms"), (F.size("_t") <= 3).alias("need_all"), F.explode("_t").alias("term"))
 
 
-def postings(docs: DataFrame, weights: dict[str, float], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, wtf, dl, idf) for the wanted terms, and one row of corpus statistics.
-
-    Occurrences are cut down to wanted terms before they are counted, so the
-    exchange carries query vocabulary only.  Statistics cover every document.
-    """
-    tokens = {c: T.index_terms(F.coalesce(F.col(c), F.lit(""))) for c in weights}
-    sized = docs.select("doc_id", *[t.alias(f"_t_{c}") for c, t in tokens.items()])
-    length = sum((F.size(f"_t_{c}") for c in weights), F.lit(0))
-    stats = sized.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl"))
-    occ = None
-    for c, w in weights.items():
-        part = sized.select("doc_id", length.alias("dl"), F.lit(float(w)).alias("w"), F.explode(f"_t_{c}").alias("term"))
-        occ = part if occ is None else occ.unionByName(part)
-    counted = (occ.join(wanted.select("term").distinct(), "term", "left_semi")
-               .groupBy("doc_id", "term").agg(F.sum("w").alias("wtf"), F.first("dl").alias("dl")))
-    n = stats.select("n").scalar()
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.select("term", F.when(idf <= 0, F.lit(V.BM25_IDF_FLOOR)).otherwise(idf).alias("idf"), (idf <= 0).alias("common"))
-    return counted.join(df, "term"), stats
-
-
-def _contribution(avgdl: Column) -> Column:
-    norm = F.col("wtf") * (V.BM25_K1 + 1) / (F.col("wtf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / avgdl))
-    return F.col("idf") * norm
-
-
 def bm25_scores(terms: DataFrame, docs: DataFrame, weights: dict[str, float], k: int,
-                keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                keep: Callable[[DataFrame], DataFrame] | None = None, index: P.Postings | None = None) -> DataFrame:
     """(query_id, doc_id, bm25, rank): the exact best ``k`` per query among pairs ``keep`` lets through.
 
-    The postings of the asked terms are written once (checkpoint).  Terms found in
-    more than half the corpus weigh 1e-6, but their posting lists are as long as
-    the corpus, so they never open a candidate: pairs sharing a rarer term are
-    found first and only these look their common terms up.  A query is finished
-    when its k-th score beats the most its common terms could give anyone else;
-    the queries this does not settle are scored over all their terms.
+    ``index``: stored postings of the same documents and weights; without it, postings of the asked terms are built.
     """
-    post, stats = postings(docs, weights, terms)
-    avgdl = stats.select("avgdl").scalar()
-    scored = cut(post.select("doc_id", "term", "common", _contribution(avgdl).alias("c")))
-    rare, common = scored.where(~F.col("common")).drop("common"), scored.where("common").drop("common")
-    keys = ["query_id", "doc_id"]
-    best = lambda d: top_k(d, ["query_id"], [F.desc("bm25"), F.asc("doc_id")], k)
-    passed = lambda d: keep(d) if keep else d
-
-    def total(p: DataFrame) -> DataFrame:
-        return p.groupBy(*keys, "n_terms", "need_all").agg(F.sum("c").alias("c"), F.count("*").alias("hit"))
-
-    def finish(p: DataFrame) -> DataFrame:
-        p = p.where(~F.col("need_all") | (F.col("hit") == F.col("n_terms")))
-        return best(passed(p.select(*keys, F.round("c", 6).alias("bm25"))))
-
-    shared = (terms.join(common.select("term").distinct(), "term", "left_semi")).select("query_id", "term")
-    opened = total(terms.join(rare, "term"))
-    extra = (opened.select(*keys).join(shared, "query_id").join(common, ["doc_id", "term"])
-             .groupBy(*keys).agg(F.sum("c").alias("c2"), F.count("*").alias("hit2")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    full = opened.join(extra, keys, "left").select(*keys, "n_terms", "need_all", (F.col("c") + zero("c2")).alias("c"), (F.col("hit") + zero("hit2")).alias("hit"))
-    first = cut(finish(full))
-    bound = (terms.join(shared, ["query_id", "term"]).groupBy("query_id", "need_all", "n_terms")
-             .agg((F.count("*") * V.BM25_IDF_FLOOR * (V.BM25_K1 + 1)).alias("bound"), F.count("*").alias("n_common")))
-    kth = first.groupBy("query_id").agg(F.min("bm25").alias("kth"), F.max("rank").alias("got"))
-    unsettled = ((zero("got") < k) | (F.col("kth") <= F.col("bound") + 1e-6)) & (~F.col("need_all") | (F.col("n_common") == F.col("n_terms")))
-    open_ = cut(bound.join(kth, "query_id", "left").where(unsettled).select("query_id"))
-    rest = finish(total(terms.join(open_, "query_id", "left_semi").join(scored.drop("common"), "term")))
-    return first.join(open_, "query_id", "left_anti").unionByName(rest)
-
-
-def bm25_search(queries: DataFrame, docs: DataFrame, weights: dict[str, float], k: int, form: str = "trace") -> DataFrame:
-    return bm25_scores(query_terms(queries, form), docs, weights, k)
+    return P.search(terms, index or P.build(docs, weights, terms), k, keep)
+
+
+def bm25_search(queries: DataFrame, docs: DataFrame, weights: dict[str, float], k: int, form: str = "trace", index: P.Postings | None = None) -> DataFrame:
+    return bm25_scores(query_terms(queries, form), docs, weights, k, index=index)
 
 
 # --- C2, C3, C8, C26 --------------------------------------------------------------------
@@ -292,20 +232,37 @@ def structural(a: str = "qf", b: str = "tf", weights: dict[str, float] = V.STRUC
 # --- C9, C10 ------------------------------------------------------------------------------------
 
 
+def exact_matches(queries: DataFrame, traces: DataFrame, k: int, enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """C2 where fingerprints are not stored: equal fingerprints have equal keywords, so a hash of these proposes and only proposed
+    traces are enriched."""
+    if enrich is None:
+        return fingerprint_match(queries, traces, k)
+    key = lambda tokens: F.xxhash64(F.array_join(F.array_sort(F.filter(tokens, lambda t: F.length(t) > 2)), "|"))
+    asked = queries.select("query_id", "fingerprint", key(F.col("tokens")).alias("_key"))
+    near = traces.withColumn("_key", key(T.tokenize(F.col("description")))).join(asked.select("_key").distinct(), "_key", "left_semi")
+    return fingerprint_match(queries, enrich(near.drop("_key")), k)
+
+
 def hybrid_rank(queries: DataFrame, traces: DataFrame, now_ms: int, k: int = 5, weights: dict[str, float] = V.DEFAULT_WEIGHTS,
                 cosine: DataFrame | None = None, query_weights: DataFrame | None = None, min_score: float = V.MIN_SCORE,
-                normalization: str = "query-level") -> DataFrame:
+                normalization: str = "query-level", index_weights: dict[str, float] = V.TRACE_INDEX_WEIGHTS,
+                enrich: Callable[[DataFrame], DataFrame] | None = None, index: P.Postings | None = None) -> DataFrame:
     """Candidates from exact hash, BM25 and filter (each bounded per query), rescored and ranked.
 
-    Both tables carry ``features`` (struct), ``tokens`` and ``fingerprint``;
-    ``query_weights`` may give one column per signal and query (see F5).
+    ``queries`` carry ``features`` (struct), ``tokens`` and ``fingerprint``.  Traces carry them too, or ``enrich`` adds them: then
+    candidates are found on ids, words and filter columns first, and only their texts are analysed.  BM25 is over the columns of
+    ``index_weights``; ``query_weights`` may give one column per signal and query (see F5).
     """
     fetch = k * V.CANDIDATE_MULTIPLIER
-    exact = fingerprint_match(queries, traces, k).select("query_id", "trace_id", F.lit(True).alias("exact"), F.lit(None).cast("double").alias("raw"))
-    docs = traces.select(F.col("trace_id").alias("doc_id"), F.col("description").alias("text"))
-    lex = bm25_search(queries, docs, {"text": 5.0}, fetch).select("query_id", F.col("doc_id").alias("trace_id"), F.lit(False).alias("exact"), F.col("bm25").alias("raw"))
+    exact = exact_matches(queries, traces, k, enrich).select("query_id", "trace_id", F.lit(True).alias("exact"), F.lit(None).cast("double").alias("raw"))
+    docs = traces.select(F.col("trace_id").alias("doc_id"), *index_weights)
+    lex = bm25_search(queries, docs, index_weights, fetch, index=index).select("query_id", F.col("doc_id").alias("trace_id"), F.lit(False).alias("exact"), F.col("bm25").alias("raw"))
     filt = candidate_filter(queries, traces, fetch).select("query_id", "trace_id", F.lit(False).alias("exact"), F.lit(None).cast("double").alias("raw"))
-    cand = exact.unionByName(lex).unionByName(filt).groupBy("query_id", "trace_id").agg(F.max("exact").alias("exact"), F.max("raw").alias("raw"))
+    cand = cut(exact.unionByName(lex).unionByName(filt).groupBy("query_id", "trace_id").agg(F.max("exact").alias("exact"), F.max("raw").alias("raw")))
+    if enrich is not None:
+        traces_of = enrich(traces.join(cand.select("trace_id").distinct(), "trace_id", "left_semi"))
+    else:
+        traces_of = traces
     if normalization == "saturation":
         cand = cand.withColumn("bm25", F.coalesce(F.col("raw") / (F.col("raw") + V.SATURATION_K), F.lit(0.0)))
     else:
@@ -313,7 +270,7 @@ def hybrid_rank(queries: DataFrame, traces: DataFrame, now_ms: int, k: int = 5,
         top = F.max("raw").over(W.partitionBy("query_id"))
         cand = cand.withColumn("bm25", F.coalesce(ratio(F.col("raw"), top), F.lit(0.0)))
     q = queries.select("query_id", F.col("features").alias("qf"), F.col("tokens").alias("qt"))
-    t = traces.select("trace_id", F.col("features").alias("tf"), F.col("tokens").alias("tt"), "created_at", "q_score")
+    t = traces_of.select("trace_id", F.col("features").alias("tf"), F.col("tokens").alias("tt"), "created_at", "q_score")
     s = cand.join(q, "query_id").join(t, "trace_id").join(count_eligible(queries, traces), "query_id")
     if cosine is not None:
         s = s.join(cosine.select("query_id", "trace_id", F.col("cosine").alias("_cos")), ["query_id", "trace_id"], "left")
@@ -346,7 +303,15 @@ def explain_scores(ranked: DataFrame) -> DataFrame:
 # --- C11..C14 ----------------------------------------------------------------------------------------
 
 
-def block_recall(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+BLOCK_INDEX_WEIGHTS = {"text": 2.0, "kw": 1.0}
+
+
+def block_index(blocks: DataFrame) -> P.Postings:
+    """Postings of all blocks, to be stored and searched many times (``block_recall(..., index=...)``)."""
+    return P.build(blocks.select(F.col("block_id").alias("doc_id"), F.col("mechanism").alias("text"), F.array_join("keywords", " ").alias("kw")), BLOCK_INDEX_WEIGHTS)
+
+
+def block_recall(queries: DataFrame, blocks: DataFrame, k: int, index: P.Postings | None = None) -> DataFrame:
     """Active blocks compatible with the query's invariants and APIs, BM25 score over the query's best.
 
     Filters run before the top-k, so nothing is lost to over-fetching.
@@ -361,7 +326,7 @@ def block_recall(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         return j.where(same("language", "ql") & same("framework", "qw") & api).select("query_id", "doc_id", "bm25")
 
     docs = blocks.select(F.col("block_id").alias("doc_id"), F.col("mechanism").alias("text"), F.array_join("keywords", " ").alias("kw"))
-    hits = bm25_scores(query_terms(queries, "block"), docs, {"text": 2.0, "kw": 1.0}, k, keep)
+    hits = bm25_scores(query_terms(queries, "block"), docs, BLOCK_INDEX_WEIGHTS, k, keep, index)
     top = F.max("bm25").over(W.partitionBy("query_id"))  # over the k rows kept
     return hits.select("query_id", F.col("doc_id").alias("block_id"), "rank", "bm25", F.round(clamp01(ratio(F.col("bm25"), top)), 6).alias("score"))
 

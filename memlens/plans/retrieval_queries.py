@@ -164,11 +164,15 @@ _q("c8_small_corpus_damping", lambda s, sf: R.count_eligible(queries(s, sf), D.t
 
 
 def _hybrid(s, sf, **kw):
-    return R.hybrid_rank(queries(s, sf), traces(s, sf), 1_710_000_000_000, 5, **kw)
+    """Five index columns: whole text, its first and last line, framework and language, error type."""
+    lines = F.split("description", "\n")
+    t = D.traces(s, sf).withColumns({"summary": F.element_at(lines, 1), "explanation": F.element_at(lines, -1), "tags": F.concat_ws(" ", "framework", "language"), "error_message": F.col("error_type")})
+    return R.hybrid_rank(queries(s, sf), t, 1_710_000_000_000, 5, enrich=lambda found: _enrich(found, "description", "trace_id"), **kw)
 
 
 _DW = _damp_sql("eligible")
-_HYBRID = [*_QT, "dt AS (SELECT trace_id AS doc_id, description AS text FROM tr)", bm25_sql("bm", "qry", "dt", {"text": 5}, 20), _CAND(20), _ELIG, f"""
+_HYBRID = [*_QT, """dt AS (SELECT trace_id AS doc_id, description, string_split(description, chr(10))[1] AS summary, string_split(description, chr(10))[-1] AS explanation,
+  concat_ws(' ', framework, language) AS tags, error_type AS error_message FROM tr)""", bm25_sql("bm", "qry", "dt", V.TRACE_INDEX_WEIGHTS, 20), _CAND(20), _ELIG, f"""
 ex AS (SELECT q.query_id, t.trace_id FROM qf q JOIN tf t USING (fp) QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY t.q_score DESC, t.trace_id)<=5),
 cd AS (SELECT query_id, trace_id, bool_or(e) AS exact, max(raw) AS raw FROM (SELECT query_id, trace_id, true AS e, NULL AS raw FROM ex UNION ALL SELECT query_id, doc_id, false, bm25 FROM bm
    UNION ALL SELECT query_id, trace_id, false, NULL FROM cf) GROUP BY 1,2),

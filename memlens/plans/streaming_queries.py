@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memlens import fixed_values as V
 from memlens.operators import usage as U
 from memlens.operators import maintenance as M
+from memlens.operators import postings as P
 from memlens.operators import retrieval as R
 from memlens.plans import adapters as D
 from memlens.plans import event_queries as EQ
@@ -79,10 +80,12 @@ _q("g13_streaming_upsert", _upsert, f"""SELECT dedupe_key, scope, fact_type, con
 def _recall(s, sf):
     w = J.workspace(s, "recall")
     blocks = RQ.blocks(s, sf)
+    P.save(R.block_index(blocks), f"{w}/index")  # once; every trigger reads these postings
+    index = P.load(s, f"{w}/index")
     items = J.parquet_stream(s, sf, "benchmark.parquet")
 
     def recall(batch):
-        hits = R.block_recall(RQ.queries_of(batch), blocks, 8)
+        hits = R.block_recall(RQ.queries_of(batch), blocks, 8, index)
         return R.gate_and_holdout(RQ.gate_input(hits), V.GATE_THRESHOLD, 0.3, "salt")
 
     J.run_available(J.recall_stream(items, recall, f"{w}/out", f"{w}/checkpoint"))
