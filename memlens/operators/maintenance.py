@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,71 +241,62 @@ def domain_top(blocks: DataFrame, domain: Sequence[str], k: int = 7, min_pattern
     return out.join(n, on, "left_semi")
 
 
-def _sentence(text: str) -> str:
-    t = (text or "").strip()
-    for i, ch in enumerate(t):
-        if ch in ".!?\n":
-            return t[:i + (ch != "\n")].strip() if i else t
-    return t
+def first_sentence(text: Column) -> Column:
+    """The trimmed text up to its first full stop, exclamation or question mark, or line end; the whole text if it starts with one."""
+    t = T.trim_ws(F.coalesce(text, F.lit("")))
+    return F.when(t.rlike(r"^[.!?\n]"), t).otherwise(T.trim_ws(F.regexp_extract(t, r"^([^.!?\n]*[.!?]?)", 1)))
 
 
-def _bag(text: str) -> frozenset[str]:
-    return frozenset(w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split() if len(w) >= 3)
+def distinct_lines(lines: Column, repeat: float = 0.6, most: int | None = None) -> Column:
+    """Lines that share less than ``repeat`` of their words (of three letters or more) with every line kept before; lines without words go."""
+    words = lambda line: F.array_distinct(F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
+    bags = F.transform(lines, lambda line: F.struct(line.alias("line"), words(line).alias("words")))
 
+    def keep(kept: Column, x: Column) -> Column:
+        again = F.exists(kept, lambda y: T.jaccard(y["words"], x["words"]) >= repeat)
+        full = F.size(kept) >= most if most else F.lit(False)
+        return F.when(full | (F.size(x["words"]) == 0) | again, kept).otherwise(F.concat(kept, F.array(x)))
 
-def _distinct_lines(lines: list[str], repeat: float = 0.6, most: int | None = None) -> list[str]:
-    kept, bags = [], []
-    for line in lines:
-        bag = _bag(line)
-        if not bag or any(len(bag & b) / len(bag | b) >= repeat for b in bags):
-            continue
-        bags.append(bag)
-        kept.append(line)
-        if most and len(kept) >= most:
-            break
-    return kept
+    return T.let(bags, lambda b: F.aggregate(b, F.slice(b, 1, 0), keep, lambda kept: F.transform(kept, lambda x: x["line"])))
 
 
-def _fit_tokens(text: str, tokens: int) -> str:
-    if -(-len(text) // 4) <= tokens:
-        return text
-    head = text[:max(0, tokens * 4 - 1)]
-    if not head:
-        return ""
-    cut = max((i for i, c in enumerate(head) if c.isspace()), default=-1)
-    return (head[:cut].rstrip() if cut >= 0 else head) + "…"
+def most_common(values: Column) -> Column:
+    """The most frequent value, the one that comes first among equals; null for none."""
+    counted = F.transform(values, lambda v, i: F.struct(F.size(F.filter(values, lambda w: w == v)).alias("n"), (-i).alias("first"), v.alias("value")))
+    return F.array_max(counted)["value"]
+
+
+def fitted(text: Column, tokens: int) -> Column:
+    """The text within ``tokens``; a longer one ends at a blank with a mark."""
+    return F.when(T.estimate_tokens(text) <= tokens, text).otherwise(
+        F.concat(F.regexp_replace(F.substring(text, 1, max(0, tokens * 4 - 1)), r"\s+\S*\z", ""), F.lit("…" if tokens else "")))
 
 
 def domain_primer(blocks: DataFrame, domain: Sequence[str], k: int = 7, min_patterns: int = 3, token_budget: int = 600) -> DataFrame:
-    """One extractive primer per domain from its at most ``k`` best blocks."""
-    top = domain_top(blocks, domain, k, min_patterns).select(*domain, "rank", "block_id", "mechanism", "unlock", "verification", "dead_ends")
-    fields = list(domain)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        flat = lambda s: " ".join((s or "").split())
-        unlocks = _distinct_lines([u for u in map(flat, pdf["unlock"]) if u])
-        mech = _distinct_lines([m for m in map(_sentence, pdf["mechanism"]) if m])
-        dead = _distinct_lines([d for ds in pdf["dead_ends"] for d in map(flat, ds if ds is not None else []) if d], most=6)
-        checks = [v for v in map(_sentence, pdf["verification"]) if v]
-        check = max(dict.fromkeys(checks), key=checks.count) if checks else "Re-run the failing command and confirm the previously-broken assertion now passes."
-        cited = "Distilled from blocks: " + ", ".join(b[:8] for b in pdf["block_id"]) + "."
-        mechanism = _fit_tokens(" ".join([cited, *mech]), int(token_budget * 0.4))
-        unlock = _fit_tokens("\n".join(f"{i}. {u}" for i, u in enumerate(unlocks, 1)), int(token_budget * 0.4))
-        verification = _fit_tokens(check, int(token_budget * 0.15))
-        cost = lambda s: -(-len(s) // 4)
-        left, chosen, used = max(0, token_budget - cost(mechanism) - cost(unlock) - cost(verification)), [], 0
-        for d in (d for d in dead if cost(d) <= left):
-            if used + cost(d) > left:
-                break
-            chosen.append(d)
-            used += cost(d)
-        row = {f: [pdf[f].iloc[0]] for f in fields}
-        row |= {"patterns": [len(pdf)], "mechanism": [mechanism], "unlock": [unlock], "verification": [verification], "dead_ends": [" | ".join(chosen)]}
-        return pd.DataFrame(row)[[*fields, "patterns", "mechanism", "unlock", "verification", "dead_ends"]]
-
-    schema = ", ".join(f"{f} string" for f in fields) + ", patterns long, mechanism string, unlock string, verification string, dead_ends string"
-    return top.groupBy(*fields).applyInPandas(build, schema).where("unlock <> ''")
+    """One extractive primer per domain from its at most ``k`` best blocks, by column expressions over these rows.
+
+    Each part keeps distinct sentences in block order and its share of the tokens; dead ends get what the others leave.
+    """
+    top = domain_top(blocks, domain, k, min_patterns)
+    flat = lambda c: T.trim_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    row = F.struct("rank", "block_id", first_sentence(F.col("mechanism")).alias("mechanism"), flat(F.col("unlock")).alias("unlock"),
+                   first_sentence(F.col("verification")).alias("verification"), F.transform(F.coalesce("dead_ends", F.array().cast("array<string>")), flat).alias("dead_ends"))
+    g = top.groupBy(*domain).agg(F.count("*").alias("patterns"), F.array_sort(F.collect_list(row)).alias("rows"))
+    filled = lambda lines: F.filter(lines, lambda x: x != "")
+    lines = lambda field: filled(F.col(f"rows.{field}"))
+    limit = {part: int(token_budget * share) for part, share in V.PRIMER_SHARES.items()}
+    cited = F.concat(F.lit(V.PRIMER_SOURCES), F.array_join(F.transform("rows.block_id", lambda b: F.substring(b, 1, 8)), ", "), F.lit("."))
+    g = g.select(*domain, "patterns", cited.alias("cited"), distinct_lines(lines("mechanism")).alias("m"), distinct_lines(lines("unlock")).alias("u"),
+                 most_common(lines("verification")).alias("v"), distinct_lines(filled(F.flatten("rows.dead_ends")), most=6).alias("d"))
+    numbered = F.transform("u", lambda line, i: F.concat((i + 1).cast("string"), F.lit(". "), line))
+    g = g.select(*domain, "patterns", fitted(F.concat_ws(" ", F.array("cited"), "m"), limit["mechanism"]).alias("mechanism"),
+                 fitted(F.array_join(numbered, "\n"), limit["unlock"]).alias("unlock"), fitted(F.coalesce("v", F.lit(V.PRIMER_CHECK)), limit["verification"]).alias("verification"), "d")
+    cost = T.estimate_tokens
+    left = F.greatest(F.lit(0), token_budget - cost(F.col("mechanism")) - cost(F.col("unlock")) - cost(F.col("verification")))
+    g = g.withColumn("left", left).withColumn("d", F.filter("d", lambda x: cost(x) <= F.col("left")))
+    upto = lambda i: F.aggregate(F.slice("d", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda n, x: n + cost(x))
+    chosen = F.filter("d", lambda x, i: upto(i) <= F.col("left"))
+    return g.where("unlock <> ''").select(*domain, "patterns", "mechanism", "unlock", "verification", F.array_join(chosen, " | ").alias("dead_ends"))
 
 
 # --- D15..D18 ----------------------------------------------------------------------------------------

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -412,59 +410,50 @@ def apply_external_scores(slate: DataFrame, given: DataFrame) -> DataFrame:
                     F.col("reason").isNotNull().alias("fell_back"), "reason")
 
 
-def _words_for_diversity(text: str) -> set[str]:
-    kept = "".join(c if (c.isascii() and (c.isalnum() or c in "_ ")) or c.isspace() else " " for c in text.lower())
-    return {w for w in kept.split() if len(w) >= 2}
-
-
-def _similarity_matrix(pdf: pd.DataFrame, similarity: Callable | None) -> np.ndarray:
-    n = len(pdf)
-    vectors = list(pdf["embedding"]) if "embedding" in pdf else [None] * n
-    sets = [_words_for_diversity(t or "") for t in pdf["text"]] if "text" in pdf else [set()] * n
-    out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            a, b = vectors[i], vectors[j]
-            if similarity is not None:
-                value = similarity(pdf.iloc[i], pdf.iloc[j])
-            elif a is not None and b is not None and len(a) == len(b) > 0:
-                a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-                den = np.sqrt(a @ a) * np.sqrt(b @ b)
-                value = max(0.0, float(a @ b / den)) if den else 0.0
-            else:
-                union = len(sets[i] | sets[j])
-                value = len(sets[i] & sets[j]) / union if union else 0.0
-            out[i, j] = out[j, i] = value
-    return out
-
-
-def mmr(slate: DataFrame, k: int, lam: float = V.MMR_LAMBDA, similarity: Callable | None = None, slate_size: int = 64) -> DataFrame:
+def slate_similarity(columns: list[str]) -> Callable[[Column, Column], Column]:
+    """Cosine (0 at least) of two items whose vectors have one length, else overlap of their words."""
+    def of(a: Column, b: Column) -> Column:
+        out = T.jaccard(a["_words"], b["_words"]) if "text" in columns else F.lit(0.0)
+        if "embedding" in columns:
+            both = (F.size(a["_unit"]) > 0) & (F.size(a["_unit"]) == F.size(b["_unit"]))
+            out = F.when(both, F.greatest(F.lit(0.0), scores.dot(a["_unit"], b["_unit"]))).otherwise(out)
+        return out
+
+    return of
+
+
+def mmr(slate: DataFrame, k: int, lam: float = V.MMR_LAMBDA, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Greedy diversity pick per query; ties keep the input rank.
 
-    ``slate(query_id, item_id, rank, relevance, text?, embedding?)`` is a ranked
-    slate of at most ``slate_size`` items per query (the size the caller fetched);
-    queries run in parallel, one bounded slate per call.
+    ``slate(query_id, item_id, rank, relevance, text?, embedding?, ...)`` is what was fetched for a query; it is gathered in one
+    array and picked from by an expression, each pick comparing the chosen item with what is left: k * n similarities.
+    ``similarity`` takes two item structs with all columns of the slate and gives a number; no Python runs on rows.
     """
     lam = max(0.0, min(1.0, lam))
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        if len(pdf) > slate_size:
-            raise ValueError(f"slate of {len(pdf)} items is over the declared size {slate_size}")
-        sim = _similarity_matrix(pdf, similarity)
-        rel = pdf["relevance"].to_numpy(dtype=float)
-        nearest, left, chosen = np.zeros(len(pdf)), np.ones(len(pdf), dtype=bool), []
-        while len(chosen) < min(k, len(pdf)):
-            gain = np.where(left, lam * rel - (1 - lam) * nearest, -np.inf)
-            i = int(np.argmax(gain))
-            chosen.append(i)
-            left[i] = False
-            nearest = np.maximum(nearest, sim[i])
-        got = pdf.iloc[chosen]
-        return pd.DataFrame({"query_id": got["query_id"].to_numpy(), "item_id": got["item_id"].to_numpy(), "position": np.arange(1, len(chosen) + 1)})
-
-    types = dict(slate.dtypes)
-    return slate.groupBy("query_id").applyInPandas(pick, f"query_id {types['query_id']}, item_id {types['item_id']}, position long")
+    similarity = similarity or slate_similarity(slate.columns)
+    extra = []
+    if "text" in slate.columns:
+        spaced = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9_\s]", " ")
+        extra.append(F.array_distinct(F.filter(F.split(spaced, r"\s+"), lambda w: F.length(w) >= 2)).alias("_words"))
+    if "embedding" in slate.columns:
+        extra.append(scores.unit(F.coalesce("embedding", F.array().cast(slate.schema["embedding"].dataType))).alias("_unit"))
+    item = F.struct(*slate.columns, *extra)
+    q = slate.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", item.alias("item")))).alias("rows"))
+    q = q.withColumn("left", F.transform("rows", lambda x, i: F.struct(i.alias("i"), x["item"].alias("item"), F.lit(0.0).alias("nearest"))))
+
+    def pick(acc: Column, _: Column) -> Column:
+        gain = lambda x: x["item"]["relevance"].cast("double") * lam - (1 - lam) * x["nearest"]
+        ranked = F.transform(acc["left"], lambda x: F.struct(gain(x).alias("gain"), (-x["i"]).alias("first")))
+        best = T.let(F.array_max(ranked), lambda m: F.get(F.filter(acc["left"], lambda x: x["i"] == -m["first"]), 0))
+        return T.let(best, lambda b: F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(
+            F.concat(acc["chosen"], F.array(b["item"]["item_id"])).alias("chosen"),
+            F.transform(F.filter(acc["left"], lambda x: x["i"] != b["i"]), lambda x: F.struct(
+                x["i"].alias("i"), x["item"].alias("item"), F.greatest(x["nearest"], F.coalesce(F.lit(similarity(x["item"], b["item"])), F.lit(0.0))).alias("nearest"))).alias("left"))))
+
+    start = F.struct(F.transform(F.slice("left", 1, 0), lambda x: x["item"]["item_id"]).alias("chosen"), F.col("left"))
+    turns = F.slice(F.sequence(F.lit(1), F.lit(max(k, 1))), F.lit(1), F.lit(max(k, 0)))
+    q = q.withColumn("chosen", F.aggregate(turns, start, pick, lambda acc: acc["chosen"]))
+    return q.select("query_id", F.posexplode("chosen").alias("position", "item_id")).select("query_id", "item_id", (F.col("position") + 1).cast("long").alias("position"))
 
 
 # --- C17..C20 ---------------------------------------------------------------------------------------------
@@ -531,10 +520,15 @@ def retrieval_summary(per_query: DataFrame, recall: float = 0.85, ndcg: float =
 
 # --- C21..C23 -----------------------------------------------------------------------------------------------
 
-PLANS = {  # serving plans without a session signal; fixed values
-    "cost-saver": dict(budget=350, blocks=1, files=1, chunks=1), "balanced": dict(budget=700, blocks=2, files=2, chunks=2),
-    "recall-heavy": dict(budget=1200, blocks=4, files=3, chunks=3),
-}
+def serving_plan(profile: str, recovering: bool = False, session: bool = True, token_budget: int | None = None) -> dict:
+    """Token budget and item caps of a profile.  While ``recovering`` from a loop some are wider; without a session there are
+    no chunks; a requested budget counts up to the profile's own, and ``recall-heavy`` takes it as it is."""
+    plan = V.SERVING_PLANS[profile]
+    own = plan["recovery_budget" if recovering else "budget"]
+    asked = token_budget if token_budget is not None and token_budget > 0 else own
+    return {"profile": profile, "budget": asked if profile == "recall-heavy" else min(asked, own), "blocks": plan["recovery_blocks" if recovering else "blocks"],
+            "facts": plan["facts"], "files": plan["files"], "chunks": plan["chunks"] if session else 0,
+            "min_file_net": plan["min_file_net"], "min_chunk_net": plan["min_chunk_net"]}
 
 
 def arbitration_scores(cands: DataFrame, profile: str, shadow: bool = False) -> DataFrame:
@@ -551,45 +545,59 @@ def arbitration_scores(cands: DataFrame, profile: str, shadow: bool = False) ->
     return cands.withColumn("net", net).withColumn("reason", why.otherwise("positive_roi"))
 
 
-def arbitrate(cands: DataFrame, profile: str, shadow: bool = False, slate_size: int = 256) -> DataFrame:
+def _interleaved(rows: Column) -> Column:
+    """Candidates in net order, where the next one of another capability goes before a neighbour of the same capability if it
+    gives up at most one token of net."""
+    def place(acc: Column, _: Column) -> Column:
+        last, head = F.element_at(acc["out"], -1), F.element_at(acc["rest"], 1)
+        other = F.get(F.filter(acc["rest"], lambda x: x["capability"] != last["capability"]), 0)
+
+        def put(t: Column) -> Column:
+            early = (t["head"]["capability"] == t["last"]["capability"]) & F.coalesce(t["other"]["net"] >= t["head"]["net"] - 1, F.lit(False))
+            behind = F.slice(acc["rest"], F.lit(2), F.size(acc["rest"]))
+            swapped = F.transform(behind, lambda x: F.when(x["place"] == t["other"]["place"], t["head"]).otherwise(x))
+            return F.struct(F.concat(acc["out"], F.array(F.when(early, t["other"]).otherwise(t["head"]))).alias("out"), F.when(early, swapped).otherwise(behind).alias("rest"))
+
+        return T.let(F.struct(last.alias("last"), head.alias("head"), other.alias("other")), put)
+
+    start = F.struct(F.slice(rows, F.lit(1), F.lit(1)).alias("out"), F.slice(rows, F.lit(2), F.size(rows)).alias("rest"))
+    turns = F.slice(F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1))), F.lit(1), F.size(rows) - 1)
+    return F.aggregate(turns, start, place, lambda acc: acc["out"])
+
+
+def arbitrate(cands: DataFrame, profile: str, shadow: bool = False, plan: dict | None = None) -> DataFrame:
     """Inject or suppress each candidate of a query: net order, capability interleave, caps, token budget.
 
-    Only the eligible part of one query's slate (bounded by ``slate_size``) is
-    walked in order; the rest is decided by columns.
+    Candidates that a column decides stay rows; a query's eligible ones are gathered in one array, ordered and spent by
+    expressions.  ``plan``: see ``serving_plan``; capabilities that it does not name are capped at 0.
     """
-    plan = PLANS[profile]
-    caps = {"reasoning_reuse": plan["blocks"], "file_memory": plan["files"], "context_fold": plan["chunks"], "loop_redirect": 1,
-            "tool_supervision": 1, "context_pruning": float("inf")}
+    plan = plan or serving_plan(profile)
+    caps = [("reasoning_reuse", plan["blocks"]), ("file_memory", plan["files"]), ("context_fold", plan["chunks"]), ("loop_redirect", 1), ("tool_supervision", 1), ("context_pruning", 2**31 - 1)]
     scored = arbitration_scores(cands, profile, shadow)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > slate_size:
-            raise ValueError(f"slate of {len(pdf)} candidates is over the declared size {slate_size}")
-        rows = pdf.sort_values(["net", "candidate_id"], ascending=[False, True]).to_dict("records")
-        for i in range(len(rows) - 1):
-            if rows[i]["capability"] != rows[i + 1]["capability"]:
-                continue
-            j = next((j for j in range(i + 2, len(rows)) if rows[j]["capability"] != rows[i]["capability"]), None)
-            if j is not None and rows[j]["net"] >= rows[i + 1]["net"] - 1:
-                rows[i + 1], rows[j] = rows[j], rows[i + 1]
-        left, used = plan["budget"], {}
-        for r in rows:
-            cap = r["capability"]
-            if used.get(cap, 0) >= caps.get(cap, 0):
-                r["action"], r["reason"] = "suppress", "profile_cap"
-            elif r["injection_tokens"] > left:
-                r["action"], r["reason"] = "suppress", "budget"
-            else:
-                r["action"], r["reason"] = "inject", "positive_roi"
-                used[cap] = used.get(cap, 0) + 1
-                left -= r["injection_tokens"]
-        return pd.DataFrame(rows)[["query_id", "candidate_id", "capability", "net", "reason", "action"]]
-
-    types = dict(scored.dtypes)
-    schema = f"query_id {types['query_id']}, candidate_id {types['candidate_id']}, capability string, net double, reason string, action string"
-    walked = scored.where("reason = 'positive_roi'").groupBy("query_id").applyInPandas(walk, schema)
+    kind = F.coalesce(*[F.when(F.col("capability") == name, i) for i, (name, _) in enumerate(caps)], F.lit(-1))
+    row = F.struct((-F.col("net")).alias("_loss"), "candidate_id", "capability", "net", "injection_tokens", kind.alias("kind"))
+    q = scored.where("reason = 'positive_roi'").groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    q = q.withColumn("rows", F.transform("rows", lambda x, i: F.struct(i.alias("place"), *[x[c].alias(c) for c in ("candidate_id", "capability", "net", "injection_tokens", "kind")])))
+    q = q.withColumn("rows", _interleaved(F.col("rows")))
+    limits = F.array(*[F.lit(n) for _, n in caps])
+
+    def spend(acc: Column, x: Column) -> Column:
+        known = x["kind"] >= 0
+        full = ~known | (F.get(acc["used"], x["kind"]) >= F.get(limits, x["kind"]))
+        dear = x["injection_tokens"].cast("double") > acc["left"]
+        reason = F.when(full, "profile_cap").when(dear, "budget").otherwise("positive_roi")
+        return T.let(reason, lambda why: F.struct(
+            F.when(why == "positive_roi", acc["left"] - x["injection_tokens"].cast("double")).otherwise(acc["left"]).alias("left"),
+            F.transform(acc["used"], lambda n, i: n + F.when((why == "positive_roi") & (i == x["kind"]), 1).otherwise(0)).alias("used"),
+            F.concat(acc["reasons"], F.array(why)).alias("reasons")))
+
+    start = F.struct(F.lit(float(plan["budget"])).alias("left"), F.array_repeat(F.lit(0), len(caps)).alias("used"), F.array().cast("array<string>").alias("reasons"))
+    q = q.withColumn("reasons", F.aggregate("rows", start, spend, lambda acc: acc["reasons"]))
+    decided = q.select("query_id", F.explode(F.arrays_zip("rows", "reasons")).alias("d")).select(
+        "query_id", "d.rows.candidate_id", "d.rows.capability", "d.rows.net", F.col("d.reasons").alias("reason"),
+        F.when(F.col("d.reasons") == "positive_roi", "inject").otherwise("suppress").alias("action"))
     rest = scored.where("reason <> 'positive_roi'").select("query_id", "candidate_id", "capability", "net", "reason", F.lit("shadow" if shadow else "suppress").alias("action"))
-    return walked.unionByName(rest)
+    return decided.unionByName(rest)
 
 
 PACK_KINDS = ("block", "fact", "file", "chunk")

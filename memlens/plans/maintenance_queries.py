@@ -189,7 +189,41 @@ _DOM = ("language", "framework")
 _q("d14_domain_top", lambda s, sf: M.domain_top(counted_blocks(s, sf), _DOM).select("block_id", *_DOM, "wilson", "rank"), S.with_(counted_sql(), """
 g AS (SELECT *, row_number() OVER (PARTITION BY language, framework ORDER BY wilson DESC, times_helpful DESC, block_id) AS rank FROM cb WHERE status='active' AND (language IS NOT NULL OR framework IS NOT NULL) AND (times_agent_used>0 OR wilson>0) QUALIFY rank<=7),
 h AS (SELECT *, count(*) OVER (PARTITION BY language, framework) AS c FROM g)""", select="SELECT block_id, language, framework, round(wilson,6) AS wilson, rank FROM h WHERE c>=3"))
-_q("d14_domain_primer", lambda s, sf: M.domain_primer(counted_blocks(s, sf), _DOM))
+
+
+def _primer_sql():
+    tr = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    flat = lambda c: tr(f"regexp_replace(coalesce({c},''), '\\s+', ' ', 'g')")
+    text = lambda c: tr(f"coalesce({c},'')")
+    lead = S.q("^([^.!?\\n]*[.!?]?)")
+    first = lambda c: f"CASE WHEN regexp_matches({text(c)}, '^[.!?\\n]') THEN {text(c)} ELSE {tr(f"regexp_extract({text(c)}, {lead}, 1)")} END"
+    cost = lambda c: f"ceil(length({c})/4)"
+    fit = lambda c, t: f"CASE WHEN {cost(c)}<={t} THEN {c} ELSE regexp_replace(({c})[1:{t * 4 - 1}], '\\s+\\S*\\z', '')||'…' END"
+    filled = lambda c: f"list_filter({c}, lambda x: x<>'')"
+    words = "list_distinct(list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda w: length(w)>=3))"
+    same = "language IS NOT DISTINCT FROM b.language AND p.framework IS NOT DISTINCT FROM b.framework"
+    part = lambda name: f"(SELECT list_transform(kept, lambda y: y.line) FROM picked p WHERE p.part='{name}' AND p.{same})"
+    return S.recursive(counted_sql(), """g AS (SELECT *, string_split(mechanism, '. ') AS dead_ends, row_number() OVER (PARTITION BY language, framework ORDER BY wilson DESC, times_helpful DESC, block_id) AS rank FROM cb
+  WHERE status='active' AND (language IS NOT NULL OR framework IS NOT NULL) AND (times_agent_used>0 OR wilson>0) QUALIFY rank<=7),
+h AS (SELECT *, count(*) OVER (PARTITION BY language, framework) AS c FROM g)""", f"""
+b AS (SELECT language, framework, count(*) AS patterns, list(block_id[1:8] ORDER BY rank) AS ids, {filled(f"list({first('mechanism')} ORDER BY rank)")} AS ms, {filled(f"list({flat('unlock')} ORDER BY rank)")} AS us,
+  {filled(f"list({first('verification')} ORDER BY rank)")} AS vs, {filled(f"flatten(list(list_transform(dead_ends, lambda e: {flat('e')}) ORDER BY rank))")} AS ds FROM h WHERE c>=3 GROUP BY 1,2),
+src AS (SELECT language, framework, 'm' AS part, ms AS lines FROM b UNION ALL SELECT language, framework, 'u', us FROM b UNION ALL SELECT language, framework, 'd', ds FROM b),
+gr AS (SELECT language, framework, part, list_transform(lines, lambda x: {{'line': x, 'words': {words}}}) AS bags, []::STRUCT(line VARCHAR, words VARCHAR[])[] AS kept, 0 AS i FROM src UNION ALL
+  SELECT language, framework, part, bags, CASE WHEN len(bags[i+1].words)=0 OR len(list_filter(kept, lambda y: {S.jac('y.words', 'bags[i+1].words')}>=0.6))>0 THEN kept ELSE list_append(kept, bags[i+1]) END, i+1
+  FROM gr WHERE i<len(bags) AND (part<>'d' OR len(kept)<6)),
+picked AS (SELECT language, framework, part, arg_max(kept, i) AS kept FROM gr GROUP BY 1,2,3),
+parts AS (SELECT language, framework, patterns, 'Distilled from blocks: '||array_to_string(ids,', ')||'.' AS cited, {part('m')} AS m, {part('u')} AS u, {part('d')} AS d,
+  CASE WHEN len(vs)=0 THEN {S.q(V.PRIMER_CHECK)} ELSE vs[-(list_reverse_sort(list_transform(range(1, len(vs)+1), lambda i: {{'n': len(list_filter(vs, lambda w: w=vs[i])), 'f': -i}})))[1].f] END AS v FROM b),
+fitted AS (SELECT language, framework, patterns, d, {fit("array_to_string(list_concat([cited], m), ' ')", 240)} AS mechanism,
+  {fit("array_to_string(list_transform(range(1, len(u)+1), lambda i: i||'. '||u[i]), chr(10))", 240)} AS unlock, {fit('v', 90)} AS verification FROM parts),
+room AS (SELECT *, greatest(0, 600 - {cost('mechanism')} - {cost('unlock')} - {cost('verification')}) AS spare FROM fitted WHERE unlock<>''),
+few AS (SELECT * REPLACE (list_filter(d, lambda x: {cost('x')}<=spare) AS d) FROM room)""", select=f"""
+SELECT language, framework, patterns, mechanism, unlock, verification,
+  array_to_string(list_transform(list_filter(range(1, len(d)+1), lambda i: list_sum(list_transform(d[1:i], lambda x: {cost('x')}))<=spare), lambda i: d[i]), ' | ') AS dead_ends FROM few""")
+
+
+_q("d14_domain_primer", lambda s, sf: M.domain_primer(counted_blocks(s, sf), _DOM), _primer_sql())
 
 
 def _redirects(s, sf):

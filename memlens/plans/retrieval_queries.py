@@ -257,8 +257,26 @@ st AS (SELECT query_id, CASE WHEN count(ext)=0 THEN 'null' WHEN count(ext)<>coun
 SELECT j.query_id, doc_id AS item_id, rank AS old_rank, row_number() OVER (PARTITION BY j.query_id ORDER BY CASE WHEN reason IS NULL THEN ext END DESC NULLS LAST, rank) AS new_rank,
   reason IS NOT NULL AS fell_back, reason FROM j JOIN st USING (query_id)"""))
 
-_q("c16_mmr", lambda s, sf: R.mmr(_slate(s, sf).join(D.documents(s, sf).select(F.col("doc_id").alias("item_id"), "text"), "item_id")
-                                  .withColumn("relevance", F.col("bm25") / 100), 5))
+def _diverse(s, sf, **kw):
+    slate = _slate(s, sf).join(D.documents(s, sf).select(F.col("doc_id").alias("item_id"), "text", "source"), "item_id")
+    return R.mmr(slate.withColumn("relevance", F.col("bm25") / 100), 5, **kw)
+
+
+def _mmr_sql(similar: str, columns: str) -> str:
+    """Five picks by recursion over a query's list; ``similar`` compares list items a and b."""
+    gain = "0.7*rel[i] - (1-0.7)*coalesce(list_max(list_transform(chosen, lambda c: sim[i][c])), 0.0)"
+    return S.recursive(*_SL, f"""g AS (SELECT query_id, list(sl.doc_id ORDER BY rank) AS ids, list(bm25/100 ORDER BY rank) AS rel, list({columns} ORDER BY rank) AS it FROM sl JOIN documents d ON d.doc_id=sl.doc_id GROUP BY 1),
+m AS (SELECT query_id, ids, rel, list_transform(it, lambda a: list_transform(it, lambda b: {similar})) AS sim FROM g),
+r AS (SELECT query_id, ids, rel, sim, []::BIGINT[] AS chosen FROM m UNION ALL
+  SELECT query_id, ids, rel, sim, list_append(chosen, (list_sort(list_transform(list_filter(range(1, len(ids)+1), lambda i: NOT list_contains(chosen, i)), lambda i: {{'g': -({gain}), 'i': i}})))[1].i) FROM r WHERE len(chosen)<least(5, len(ids)))""", select="""
+SELECT query_id, ids[unnest(chosen)] AS item_id, unnest(range(1, len(chosen)+1)) AS position FROM r WHERE len(chosen)=least(5, len(ids))""")
+
+
+_MMR_WORDS = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text),'[^a-z0-9_\\s]',' ','g'),'\\s+'), lambda x: length(x)>=2))"
+_q("c16_mmr", _diverse, _mmr_sql(S.jac("a", "b"), _MMR_WORDS))
+# H4: a caller's own similarity, here 1 for one source and 0.25 for others
+_q("c16_mmr_own_similarity", lambda s, sf: _diverse(s, sf, similarity=lambda a, b: F.when(a["source"] == b["source"], 1.0).otherwise(0.25)),
+   _mmr_sql("CASE WHEN a=b THEN 1.0 ELSE 0.25 END", "source"))
 
 
 def _gated(s, sf):
@@ -310,7 +328,25 @@ def _candidates(s, sf):
                                 (i % 13).cast("double").alias("noise"), F.when(i % 17 == 0, 1000.0).otherwise(0.0).alias("freshness"), (i % 23 == 0).alias("recent"))
 
 
-_q("c21_arbitrate", lambda s, sf: R.arbitrate(_candidates(s, sf), "balanced"))
+def _arbitrate_sql(budget, blocks, files, chunks):
+    limit = f"CASE x.cap WHEN 'reasoning_reuse' THEN {blocks} WHEN 'file_memory' THEN {files} WHEN 'context_fold' THEN {chunks} WHEN 'loop_redirect' THEN 1 WHEN 'tool_supervision' THEN 1 ELSE 1000000 END"
+    return S.recursive(*_SL, _NETS, f"""l AS (SELECT query_id, list({{'i': i, 'cap': ({S.arr(D.CAPABILITIES)})[(i%6+1)::INT], 'net': net, 'inj': i%200}} ORDER BY net DESC, i) AS rows FROM nr WHERE reason='positive_roi' GROUP BY 1),
+o AS (SELECT query_id, rows[1:1] AS done, rows[2:] AS rest FROM l UNION ALL
+  SELECT query_id, list_append(done, CASE WHEN early THEN alt ELSE rest[1] END), CASE WHEN early THEN list_transform(rest[2:], lambda x: CASE WHEN x.i=alt.i THEN rest[1] ELSE x END) ELSE rest[2:] END
+  FROM (SELECT *, rest[1].cap=done[-1].cap AND coalesce(alt.net >= rest[1].net-1, false) AS early FROM (SELECT *, list_filter(rest, lambda x: x.cap<>done[-1].cap)[1] AS alt FROM o WHERE len(rest)>0))),
+w AS (SELECT query_id, done, {budget}::DOUBLE AS budget, []::VARCHAR[] AS used, []::VARCHAR[] AS why FROM o WHERE len(rest)=0 UNION ALL
+  SELECT query_id, done, CASE WHEN y='positive_roi' THEN budget-x.inj ELSE budget END, CASE WHEN y='positive_roi' THEN list_append(used, x.cap) ELSE used END, list_append(why, y)
+  FROM (SELECT *, CASE WHEN len(list_filter(used, lambda u: u=x.cap))>={limit} THEN 'profile_cap' WHEN x.inj>budget THEN 'budget' ELSE 'positive_roi' END AS y FROM (SELECT *, done[len(why)+1] AS x FROM w WHERE len(why)<len(done)))),
+d AS (SELECT query_id, unnest(done) AS x, unnest(why) AS reason FROM w WHERE len(why)=len(done))""", select=f"""
+SELECT query_id, x.i AS candidate_id, x.cap AS capability, round(x.net,6) AS net, reason, CASE WHEN reason='positive_roi' THEN 'inject' ELSE 'suppress' END AS action FROM d
+UNION ALL SELECT query_id, i, ({S.arr(D.CAPABILITIES)})[(i%6+1)::INT], round(net,6), reason, 'suppress' FROM nr WHERE reason<>'positive_roi'""")
+
+
+_NETS = """c AS (SELECT query_id, doc_id AS i FROM sl),
+n AS (SELECT *, (i%100/100)*(i%900) - ((i%200)+(i%13)+CASE WHEN i%17=0 THEN 1000 ELSE 0 END) AS net FROM c),
+nr AS (SELECT *, CASE WHEN i%23=0 THEN 'duplicate' WHEN i%100/100<0.10 THEN 'low_confidence' WHEN i%17=0 AND 1000>=i%900 THEN 'stale' WHEN net < -8 THEN 'low_confidence' ELSE 'positive_roi' END AS reason FROM n)"""
+_q("c21_arbitrate", lambda s, sf: R.arbitrate(_candidates(s, sf), "balanced"), _arbitrate_sql(700, 2, 2, 2))
+_q("c21_arbitrate_recovering", lambda s, sf: R.arbitrate(_candidates(s, sf), "balanced", plan=R.serving_plan("balanced", recovering=True, session=False, token_budget=800)), _arbitrate_sql(800, 3, 2, 0))
 _q("c21_arbitration_scores", lambda s, sf: R.arbitration_scores(_candidates(s, sf), "balanced").select("query_id", "candidate_id", "net", "reason"), S.with_(*_SL, """
 c AS (SELECT query_id, doc_id AS i FROM sl),
 n AS (SELECT *, (i%100/100)*(i%900) - ((i%200)+(i%13)+CASE WHEN i%17=0 THEN 1000 ELSE 0 END) AS net FROM c)""", select="""

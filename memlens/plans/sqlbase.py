@@ -22,6 +22,10 @@ def with_(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + select.strip()
 
 
+def recursive(*ctes: str, select: str) -> str:
+    return with_(*ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def wilson(s: str, n: str, z: float = V.WILSON_Z) -> str:
     z2 = z * z
     p = f"(({s})::DOUBLE/({n}))"
