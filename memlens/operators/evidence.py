@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from memlens import fixed_values as V
 from memlens.common import with_halo_chunks, with_position
 from memlens.functions import text as T
+from memlens.operators.grams import gram_places, index
 
 
 def evidence_tokens(text):
@@ -52,21 +53,18 @@ def touched_recalled(edits: DataFrame, recalled: DataFrame) -> DataFrame:
     return recalled.withColumn("p", norm_path(F.col("path"))).join(e, ["query_id", "p"], "left_semi").select("query_id", "item_id", F.lit("diff_touches_recalled_file").alias("kind"))
 
 
-def grams(text, n: int = 6):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
-
-
 def args_match_memory(calls: DataFrame, recalled: DataFrame, n: int = 6) -> DataFrame:
     """Recalled blocks sharing any ``n`` characters with a tool argument of the same query.
 
-    Arguments are short; their grams are looked up in the block text with
-    ``contains``, grouped per block so that a text is read once per query.
+    Distinct grams of whole arguments meet distinct grams of block texts: a block's text is cut once, however many queries
+    recalled it, and only grams that some argument has are kept.
     """
-    c = calls.where(F.length("arg_summary") >= n).select("query_id", F.explode(grams(F.lower("arg_summary"), n)).alias("g")).distinct()
-    c = c.groupBy("query_id").agg(F.collect_set("g").alias("gs"))
-    hay = F.lower(F.concat_ws("\n", "unlock", "verification"))
-    return (recalled.withColumn("hay", hay).join(c, "query_id").where(F.exists("gs", lambda g: F.contains(F.col("hay"), g)))
-            .select("query_id", "item_id", F.lit("tool_path_matches_memory").alias("kind")).distinct())
+    distinct = lambda c: F.array_distinct(F.transform(gram_places(c, n), lambda g: g["gram"]))
+    asked = calls.select("query_id", F.explode(distinct(F.lower("arg_summary"))).alias("gram")).distinct()
+    texts = recalled.select("item_id", F.lower(F.concat_ws("\n", "unlock", "verification")).alias("hay")).distinct()
+    held = index(texts, "item_id", "hay", asked, n).select("item_id", "gram").distinct()
+    met = recalled.select("query_id", "item_id").distinct().join(asked, "query_id").join(held, ["item_id", "gram"], "left_semi")
+    return met.select("query_id", "item_id", F.lit("tool_path_matches_memory").alias("kind")).distinct()
 
 
 def redirect_followed(obs: DataFrame, redirects: DataFrame) -> DataFrame:

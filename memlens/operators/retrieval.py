@@ -17,6 +17,7 @@ from memlens import fixed_values as V
 from memlens.common import clamp01, count_if, ratio, top_k
 from memlens.functions import scores
 from memlens.functions import text as T
+from memlens.operators import grams as G
 from memlens.operators import postings as P
 from memlens.session import cut
 
@@ -213,8 +214,11 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
             .select("a_id", "b_id", F.round("similarity", 6).alias("similarity")))
 
 
-def structural(a: str = "qf", b: str = "tf", weights: dict[str, float] = V.STRUCTURAL_WEIGHTS) -> Column:
-    """C6 between two feature structs; a feature counts only when one side has it."""
+def structural(a: str = "qf", b: str = "tf", weights: dict[str, float] = V.STRUCTURAL_WEIGHTS, custom: tuple[Column, Column] | None = None) -> Column:
+    """C6 between two feature structs; a feature counts only when one side has it.
+
+    ``custom``: two maps of named features; each name that either side fills weighs ``weights[name]``, or ``weights["custom"]``.
+    """
     score, most = F.lit(0.0), F.lit(0.0)
     for f in ("error_type", "language", "framework", "file_extension"):
         x, y, w = F.col(f"{a}.{f}"), F.col(f"{b}.{f}"), F.lit(weights[f])
@@ -224,6 +228,15 @@ def structural(a: str = "qf", b: str = "tf", weights: dict[str, float] = V.STRUC
     both = (F.size(kx) > 0) & (F.size(ky) > 0)
     most = most + F.when(both, w).otherwise(0.0)
     score = score + F.when(both, w * T.jaccard(kx, ky)).otherwise(0.0)
+    if custom is not None:
+        x, y = (F.coalesce(c, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) for c in custom)
+        filled = lambda m: F.map_filter(m, lambda k, v: F.coalesce(v, F.lit("")) != "")
+        own = {n: w for n, w in weights.items() if n not in V.STRUCTURAL_WEIGHTS}
+        weight = lambda n: T.lookup(n, {k: str(w) for k, w in own.items()}, F.lit(str(weights["custom"]))).cast("double") if own else F.lit(weights["custom"])
+        names = F.array_union(F.map_keys(filled(x)), F.map_keys(filled(y)))
+        total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, n: s + weight(n))
+        most = most + total(names)
+        score = score + total(F.filter(names, lambda n: F.coalesce(F.try_element_at(x, n) == F.try_element_at(y, n), F.lit(False))))
     return F.when(most == 0, F.lit(0.0)).otherwise(score / most)
 
 
@@ -703,17 +716,12 @@ def related_items(items: DataFrame, item_files: DataFrame, item_labels: DataFram
 def rank_memories(items: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
     """Trigger words (>= 4 characters) contained in the item's text, +0.5 when active; deleted ones are out.
 
-    A contained word of n characters shares its first four with some position of
-    the item text, so words and texts meet on 4-grams, restricted to grams that
-    start a trigger word.
+    Words meet texts on positional grams (``grams.contained``): distinct words, rarest gram first, no text beside a gram.
     """
     words = F.filter(F.split(F.lower("trigger"), r"\s+"), lambda t: F.length(t) >= 4)
     m = memories.where("status <> 'deleted'").select("memory_id", F.explode(words).alias("word"))
     m = m.groupBy("memory_id", "word").agg(F.count("*").alias("times"))
-    vocab = m.select("word").distinct().withColumn("gram", F.substring("word", 1, 4))
-    hay = items.select("item_id", F.lower("text").alias("hay"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - 3, F.lit(1))), lambda i: F.substring(F.col("hay"), i, F.lit(4))))
-    found = (hay.select("item_id", "hay", F.explode(grams).alias("gram")).join(vocab, "gram").where(F.contains("hay", "word")).select("item_id", "word").distinct())
+    found = G.contained(m, items.select("item_id", F.lower("text").alias("hay")), "item_id", "hay")
     hits = found.join(m, "word").groupBy("item_id", "memory_id").agg(F.sum("times").alias("n"))
     active = memories.where("status <> 'deleted'").select("memory_id", F.when(F.col("status") == "active", 0.5).otherwise(0.0).alias("bonus"))
     scored = hits.join(active, "memory_id").select("item_id", "memory_id", (F.col("n") + F.col("bonus")).alias("score"))

@@ -147,6 +147,29 @@ def _neighbours(s, sf):
     return a.join(b, ["framework", "pos"]).select("trace_id", "o_id", R.structural().alias("similarity"))
 
 
+def _custom_similarity(s, sf):
+    """Neighbours compared with two named features of their texts; ``digits`` has a weight of its own."""
+    rules = {"digits": "([0-9]+)", "mark": "([%$&])"}
+    t = traces(s, sf).where("framework IS NOT NULL").withColumn("features", F.struct("features", T.custom_features(F.col("description"), rules).alias("custom")))
+    from memlens.common import with_position
+    p = with_position(t.select("trace_id", "framework", "features"), "framework", "trace_id", "trace_id")
+    a = p.select("framework", "pos", "trace_id", F.col("features.features").alias("qf"), F.col("features.custom").alias("qc"))
+    b = p.select("framework", (F.col("pos") - 1).alias("pos"), F.col("trace_id").alias("o_id"), F.col("features.features").alias("tf"), F.col("features.custom").alias("tc"))
+    weights = {**V.STRUCTURAL_WEIGHTS, "digits": 1.5}
+    return a.join(b, ["framework", "pos"]).select("trace_id", "o_id", R.structural(weights=weights, custom=(F.col("qc"), F.col("tc"))).alias("similarity"))
+
+
+_q("c6_structural_custom", _custom_similarity, S.with_(*_QT[1:2], _FEAT_SQL("tf", "tr", "description", "lower(error_type)"), """
+tc AS (SELECT *, nullif(regexp_extract(description, '([0-9]+)', 1),'') AS dg, nullif(regexp_extract(description, '([%$&])', 1),'') AS mk FROM tf),
+nb AS (SELECT *, lead(trace_id) OVER w AS o_id, lead(ferr) OVER w AS oerr, lead(flang) OVER w AS olang, lead(ffw) OVER w AS ofw, lead(kw) OVER w AS okw, lead(dg) OVER w AS odg, lead(mk) OVER w AS omk
+  FROM tc WHERE framework IS NOT NULL WINDOW w AS (PARTITION BY framework ORDER BY trace_id))""", select=f"""
+SELECT trace_id, o_id, round(CASE WHEN mx=0 THEN 0.0 ELSE sc/mx END,6) AS similarity FROM (SELECT trace_id, o_id,
+  (CASE WHEN ferr IS NOT NULL OR oerr IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN flang IS NOT NULL OR olang IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN ffw IS NOT NULL OR ofw IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN len(kw)>0 AND len(okw)>0 THEN 3 ELSE 0 END
+   + CASE WHEN dg IS NOT NULL OR odg IS NOT NULL THEN 1.5 ELSE 0 END + CASE WHEN mk IS NOT NULL OR omk IS NOT NULL THEN 2 ELSE 0 END)::DOUBLE AS mx,
+  CASE WHEN ferr=oerr THEN 4 ELSE 0 END + CASE WHEN flang=olang THEN 2 ELSE 0 END + CASE WHEN ffw=ofw THEN 2 ELSE 0 END + CASE WHEN len(kw)>0 AND len(okw)>0 THEN 3*({S.jac('kw', 'okw')}) ELSE 0 END
+   + CASE WHEN dg=odg THEN 1.5 ELSE 0 END + CASE WHEN mk=omk THEN 2 ELSE 0 END AS sc
+  FROM nb WHERE o_id IS NOT NULL)"""))
+
 _q("c7_freshness", lambda s, sf: D.traces(s, sf).select("trace_id", R.scores.freshness(F.lit(1_710_000_000_000) - F.col("created_at")).alias("freshness")),
    S.with_(S.TRACES, select=f"SELECT trace_id, round(exp(-ln(2)*((1710000000000-created_at)/{V.DAY_MS})/30),6) AS freshness FROM tr"))
 

@@ -171,13 +171,13 @@ SELECT session_id, max(chunk_end) AS watermark FROM (SELECT session_id, chunk_en
 def _talk(s, sf):
     """Turns where every line of an assistant becomes a heading or a bullet by its number."""
     t = D.turns(s, sf)
-    said = F.array_join(F.transform(F.split("content", "\n"), lambda l, i: F.concat(F.when(i % 4 == 0, "## ").when(i % 4 == 3, "").otherwise("- "), F.substring(l, 1, 150))), "\n")
+    said = F.array_join(F.transform(F.split("content", "\n"), lambda l, i: F.concat(F.when(i % 4 == 0, "## ").when(i % 4 == 3, "").otherwise("- "), l)), "\n")
     return t.withColumn("content", F.when(F.col("role") == "assistant", said).otherwise(F.col("content")))
 
 
 _q("g8_session_digest", lambda s, sf: Q.session_digest(_talk(s, sf)), S.with_(S.TURNS, f"""
 ul AS (SELECT session_id, turn, 0 AS ix, 'user' AS kind, trim(string_split({TQ._trim('content')},chr(10))[1]) AS line FROM trn WHERE role='user' AND NOT {S.rx(TQ._trim('content'), V.TRANSCRIPT_META)}),
-al AS (SELECT session_id, turn, unnest(list_transform(string_split(content,chr(10)), lambda l, i: CASE (i-1)%4 WHEN 0 THEN '## ' WHEN 3 THEN '' ELSE '- ' END || l[1:150])) AS raw, unnest(range(len(string_split(content,chr(10))))) AS ix FROM trn WHERE role='assistant'),
+al AS (SELECT session_id, turn, unnest(list_transform(string_split(content,chr(10)), lambda l, i: CASE (i-1)%4 WHEN 0 THEN '## ' WHEN 3 THEN '' ELSE '- ' END || l)) AS raw, unnest(range(len(string_split(content,chr(10))))) AS ix FROM trn WHERE role='assistant'),
 sl AS (SELECT session_id, turn, ix, {TQ._trim('raw')} AS line FROM al),
 sb AS (SELECT *, lag(line) OVER (PARTITION BY session_id, turn ORDER BY ix) AS before FROM sl),
 hd AS (SELECT session_id, turn, ix, 'head' AS kind, trim(regexp_extract(line, '^#{{1,4}}\\s+(.+?)\\s*$', 1)) AS line FROM sl),
@@ -247,12 +247,12 @@ SELECT 'q'||(file_id%30) AS query_id, file_id AS item_id, 'diff_touches_recalled
 
 def _argmatch(s, sf):
     q = RQ.queries(s, sf).select("query_id", "text")
-    calls = q.select("query_id", F.substring("text", 5, 24).alias("arg_summary"))
+    calls = q.select("query_id", F.col("text").alias("arg_summary"))
     rec = RQ._slate(s, sf).withColumn("block_id", F.concat(F.lit("d"), F.col("item_id").cast("string"))).join(D.blocks(s, sf).select("block_id", "unlock", "verification"), "block_id")
     return EV.args_match_memory(calls, rec.select("query_id", "item_id", "unlock", "verification"))
 
 
-_q("e23_args_match_memory", _argmatch, S.with_(*RQ._SL, S.BLOCKS, """a AS (SELECT query_id, lower(text[5:28]) AS arg FROM qry WHERE length(text[5:28])>=6),
+_q("e23_args_match_memory", _argmatch, S.with_(*RQ._SL, S.BLOCKS, """a AS (SELECT query_id, lower(text) AS arg FROM qry WHERE length(text)>=6),
 g AS (SELECT query_id, unnest(list_transform(range(1,length(arg)-4), lambda i: arg[i:i+5])) AS g FROM a)""", select="""
 SELECT DISTINCT s.query_id, s.doc_id AS item_id, 'tool_path_matches_memory' AS kind FROM sl s JOIN blk ON n=s.doc_id JOIN g ON g.query_id=s.query_id AND contains(lower(concat_ws(chr(10), unlock, verification)), g.g)"""))
 

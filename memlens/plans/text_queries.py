@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
 from memlens.functions import scores
 from memlens.functions import text as T
 from memlens.functions import tools as TL
+from memlens.functions import user as U
 from memlens.operators import mining as M
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S
@@ -81,6 +84,21 @@ _q("b24_custom_features", lambda s, sf: D.marked_documents(s, sf).withColumn("c"
     T.fingerprint(_features(), F.col("c")).alias("fingerprint")),
    S.with_(S.MARKED, _FEAT, select=f"SELECT doc_id, array_to_string({_CUSTOM_SQL}, ',') AS custom, sha256({_canon(_CUSTOM_SQL)}) AS fingerprint FROM ft"))
 
+
+
+def _by_hand():
+    """What the patterns of _CUSTOM find, as Python functions."""
+    def named(pattern):
+        rule = re.compile(pattern, re.ASCII)
+        return lambda text: (m := rule.search(text)) and (m.group(1) if rule.groups else m.group(0))
+
+    return {name: named(pattern) for name, pattern in _CUSTOM.items()}
+
+
+_q("b24_user_functions", lambda s, sf: U.user_features(D.marked_documents(s, sf), "text", _by_hand()).select(
+    "doc_id", F.array_join(F.transform(F.array_sort(F.map_entries("custom")), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("custom"),
+    T.fingerprint(_features(), F.col("custom")).alias("fingerprint")), QUERIES["b24_custom_features"].sql)
+
 _KW = (f"list_sort(list_distinct(list_concat({S.split_set('situation', '[^a-z0-9_.]+', 2, V.BLOCK_STOP_WORDS)}, list_concat("
        "list_filter(['lang:'||lower(language), 'fw:'||lower(framework)], lambda x: x IS NOT NULL), list_transform(apis, lambda a: 'api:'||lower(a))))))")
 _q("b4_block_keywords", lambda s, sf: D.blocks(s, sf).withColumn("situation", F.col("mechanism")).withColumn(
@@ -326,13 +344,13 @@ _PATHS = ["src/{}/a.ts", "/repo/{}/b.py", "/etc/{}", "~/x/{}", "C:\\{}", "../{}"
 def _paths(s, sf):
     t = D.documents(s, sf)
     made = [F.concat(F.lit(p.split("{}")[0]), F.col("source"), F.lit(p.split("{}")[1])) for p in _PATHS]
-    path = F.element_at(F.array(*made, F.substring("text", 1, 300)), (F.col("doc_id") % (len(made) + 1) + 1).cast("int"))
+    path = F.element_at(F.array(*made, F.col("text")), (F.col("doc_id") % (len(made) + 1) + 1).cast("int"))
     return t.select("doc_id", path.alias("path"))
 
 
 _PSQL = ", ".join(f"{S.q(p.split('{}')[0])}||source||{S.q(p.split('{}')[1])}" for p in _PATHS)
 _q("b22_repo_relative", lambda s, sf: _paths(s, sf).select("doc_id", T.is_repo_relative(F.col("path")).alias("ok"), T.repo_relative(F.col("path"), "/repo").alias("rel")), S.with_(f"""
-p AS (SELECT doc_id, ([{_PSQL}, text[1:300]])[(doc_id%{len(_PATHS) + 1}+1)::INT] AS path0 FROM documents),
+p AS (SELECT doc_id, ([{_PSQL}, text])[(doc_id%{len(_PATHS) + 1}+1)::INT] AS path0 FROM documents),
 p1 AS (SELECT doc_id, {_trim('path0')} AS p, CASE WHEN starts_with({_trim('path0')},'/') THEN CASE WHEN starts_with({_trim('path0')},'/repo/') THEN ({_trim('path0')})[7:] END ELSE {_trim('path0')} END AS r FROM p),
 s AS (SELECT doc_id, w, unnest(string_split(x,'/')) AS seg, unnest(range(len(string_split(x,'/')))) AS i FROM (SELECT doc_id, 'p' AS w, p AS x FROM p1 UNION ALL SELECT doc_id, 'r', r FROM p1)),
 d AS (SELECT *, sum(CASE WHEN seg IN ('','.') THEN 0 WHEN seg='..' THEN -1 ELSE 1 END) OVER (PARTITION BY doc_id, w ORDER BY i) AS depth FROM s),
