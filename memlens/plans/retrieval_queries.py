@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memlens import fixed_values as V
 from memlens.functions import text as T
 from memlens.operators import retrieval as R
+from memlens.operators import vectors as VC
 from memlens.plans import adapters as D
 from memlens.plans import sqlbase as S
 from memlens.plans.catalog import Query, Registry, rounded
@@ -117,11 +118,17 @@ def _vectors(s, sf):
     return D.table(s, sf, "embeddings").select("vec_id", "embedding", "label")
 
 
-_q("c4_cosine_topk", lambda s, sf: R.cosine_topk(_vectors(s, sf).withColumnRenamed("vec_id", "query_id"), _vectors(s, sf), 5, block="label", split=4), """
+_q("c4_cosine_topk", lambda s, sf: VC.cosine_topk(_vectors(s, sf).withColumnRenamed("vec_id", "query_id"), _vectors(s, sf), 5, block="label"), """
 SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS cosine,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS rank
 FROM embeddings a JOIN embeddings b ON a.label=b.label AND a.vec_id<>b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6)>=0.3 QUALIFY rank<=5""")
 
+# Without a blocking key: every hundredth vector against all
+_q("c4_cosine_unblocked", lambda s, sf: VC.cosine_topk(_vectors(s, sf).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), _vectors(s, sf), 5), """
+SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS cosine,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) DESC, b.vec_id) AS rank
+FROM embeddings a JOIN embeddings b ON a.vec_id%100=0 AND a.vec_id<>b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6)>=0.3 QUALIFY rank<=5""")
+
 _q("c5_jaccard_pairs", lambda s, sf: R.jaccard_within(D.documents(s, sf).select(F.col("doc_id").alias("id"), T.tokenize(F.col("text")).alias("tokens")), 0.6), S.with_(f"""
 ts AS (SELECT doc_id, {S.token_set('text')} AS t FROM documents),
 tk AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM ts),
