@@ -345,13 +345,16 @@ def impact_lists(log: DataFrame, n: int = V.IMPACT_TOP_N) -> DataFrame:
 
 # --- E18..E20 --------------------------------------------------------------------------------------
 
-def cascade_compare(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def cascade_compare(log: DataFrame, by: tuple[str, ...] = (), cross_day: bool = False) -> DataFrame:
     """Two arms by whether a query ever retrieved with a policy id; one row per arm.
 
     With ``by=('day',)`` every join stays inside a day: an outcome on the next
-    UTC day is lost, as defined.
+    UTC day is lost, as defined.  With ``cross_day`` a query's injections and its last
+    outcome count for every day it retrieved on, whenever they came.
     """
     keys = [*by, "query_id"]
+    within = () if cross_day else by
+    own = [*within, "query_id"]
     has_policy = F.coalesce(F.col("policy_id"), F.lit("")) != ""
     ret = of(log, "retrieval").withColumn("arm", F.when(has_policy, "cascade").otherwise("sync"))
     arms = (ret.groupBy(*keys).agg(F.max(has_policy).alias("c"))
@@ -361,9 +364,9 @@ def cascade_compare(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         count_if((F.col("arm") == "cascade") & ~F.col("fell_back") & F.col("reranker_name").isNotNull()).alias("reranker_ran"),
         *[count_if((F.col("arm") == "cascade") & F.col("fell_back") & (F.col("fallback_reason") == x)).alias(f"fallback_{x}")
           for x in ("timeout", "error", "null", "empty", "validation")])
-    pairs = (injected_pairs(log, "block", by).groupBy(*keys)
+    pairs = (injected_pairs(log, "block", within).groupBy(*own)
              .agg(F.max(F.coalesce(F.col("strength_rank") >= V.HELPFUL_RANK, F.lit(False))).alias("strong")))
-    per_query = (arms.join(pairs, keys, "left").join(last_outcomes(log, by), keys, "left"))
+    per_query = (arms.join(pairs, own, "left").join(last_outcomes(log, within), own, "left"))
     stats = per_query.groupBy(*by, "arm").agg(
         count_if(F.col("strong").isNotNull()).alias("injections"),
         count_if(F.col("resolved").isNotNull()).alias("total_runs"),

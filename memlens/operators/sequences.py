@@ -127,15 +127,37 @@ def loop_redirect(loops: DataFrame, block_hits: DataFrame, file_hits: DataFrame,
 # --- G6, G7 ----------------------------------------------------------------------------
 
 
+BLOCK_SEGMENTS = 512
+
+
+def _entries(seg: DataFrame, width: int) -> DataFrame:
+    """(session_id, seg, entry): where each segment is entered when segment 0 is entered at 0; ``exits[e]`` is the next
+    segment's entry for entry e < ``width``."""
+    def after(maps: Column, start: Column) -> Column:
+        return F.aggregate(maps, start, lambda at, m: F.element_at(m["exits"], at + 1))
+
+    def along(maps: Column, start: Column, name: str) -> Column:
+        """(name, entry) of every map in order; the array grows to the length of one block."""
+        return F.aggregate(maps, F.struct(start.alias("at"), F.array().cast(f"array<struct<{name}:bigint,entry:int>>").alias("out")), lambda acc, m: F.struct(
+            F.element_at(m["exits"], acc["at"] + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(m[name].alias(name), acc["at"].alias("entry")))).alias("out")))["out"]
+
+    blocks = seg.withColumn("block", F.floor(F.col("seg") / BLOCK_SEGMENTS)).groupBy("session_id", "block").agg(F.array_sort(F.collect_list(F.struct("seg", "exits"))).alias("maps"))
+    blocks = blocks.withColumn("exits", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda e: after(F.col("maps"), e)))
+    sessions = blocks.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("block", "exits"))).alias("maps"))  # one entry per BLOCK_SEGMENTS segments
+    started = sessions.select("session_id", F.explode(along(F.col("maps"), F.lit(0), "block")).alias("b")).select("session_id", "b.block", "b.entry")
+    inside = blocks.select("session_id", "block", "maps").join(started, ["session_id", "block"])
+    return inside.select("session_id", F.explode(along(F.col("maps"), F.col("entry"), "seg")).alias("e")).select("session_id", "e.seg", "e.entry")
+
+
 def chunk_starts(turns: DataFrame, turn_limit: int, token_limit: int, segment: int = 4096) -> DataFrame:
     """(session_id, start, size, complete): where a chunk of at most ``turn_limit`` turns or reaching ``token_limit`` tokens begins.
 
     ``turns(session_id, at, tokens)`` with dense ``at``.  Each row knows by a short
     frame where a chunk starting there would end, so a session is a walk over
     those jumps.  A segment of rows is reduced to the exit for each of the
-    ``turn_limit`` possible entries; exits are composed over a session's few
-    segments; then every segment marks its own starts.  No task walks more than
-    one segment, however long the session.
+    ``turn_limit`` possible entries; exits are composed in two levels, over the
+    segments of a block and over a session's blocks; then every segment marks its
+    own starts.  No task walks more than one segment or one block, however long the session.
     """
     cut = with_halo_chunks(turns, "at", turn_limit - 1, segment, ahead=True)
     frame = W.partitionBy("session_id", "_chunk").orderBy("at").rowsBetween(0, turn_limit - 1)
@@ -153,10 +175,7 @@ def chunk_starts(turns: DataFrame, turn_limit: int, token_limit: int, segment: i
 
     exits = F.transform(F.sequence(F.lit(0), F.lit(turn_limit - 1)), lambda e: F.greatest(F.lit(0), walk_exit(e)).cast("int"))
     seg = seg.withColumn("exits", exits)
-    path = seg.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seg", "exits"))).alias("p"))
-    entries = F.aggregate("p", F.array(F.struct(F.lit(0).cast("bigint").alias("seg"), F.lit(0).alias("entry"))), lambda acc, s: F.concat(
-        acc, F.array(F.struct((s["seg"] + 1).alias("seg"), F.element_at(s["exits"], F.element_at(acc, -1)["entry"] + 1).alias("entry")))))
-    entry = path.select("session_id", F.explode(entries).alias("e")).select("session_id", "e.seg", "e.entry")
+    entry = _entries(seg.select("session_id", "seg", "exits"), turn_limit)
     marked = seg.join(entry, ["session_id", "seg"]).select("session_id", F.explode(F.aggregate(
         "jumps", F.struct((first + F.col("entry")).cast("bigint").alias("nxt"), F.slice("jumps", 1, 0).alias("got")),
         lambda acc, j: F.when(j["at"] == acc["nxt"], F.struct((acc["nxt"] + j["size"]).alias("nxt"), F.concat(acc["got"], F.array(j)).alias("got"))).otherwise(acc))["got"]).alias("c"))

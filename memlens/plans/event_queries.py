@@ -266,6 +266,10 @@ SELECT round(max(helpful_rate) FILTER (arm='cascade') - max(helpful_rate) FILTER
   coalesce(max(total_runs) FILTER (arm='cascade'),0)<50 OR coalesce(max(total_runs) FILTER (arm='sync'),0)<50 AS low_sample FROM cmp"""))
 _q("e19_cascade_by_day", lambda s, sf: A.cascade_compare(A.with_day(D.event_log(s, sf)), by=("day",)),
    _sql(*_cascade("day"), select=f"SELECT {_CMP} FROM cmp"))
+_ACROSS = [S.log_parts(), *[x.replace("pa AS (SELECT day, query_id", "pa AS (SELECT query_id").replace("inj_b LEFT JOIN use_b USING (day, query_id, item_id)", "inj_b LEFT JOIN use_b USING (query_id, item_id)")
+                           .replace("LEFT JOIN pa USING (day, query_id) LEFT JOIN outc USING (day, query_id)", "LEFT JOIN pa USING (query_id) LEFT JOIN outc USING (query_id)") for x in _cascade("day")[1:]]]
+_q("e19_cascade_across_days", lambda s, sf: A.cascade_compare(A.with_day(D.event_log(s, sf)), by=("day",), cross_day=True),
+   _sql(*_ACROSS, select=f"SELECT {_CMP} FROM cmp"))
 
 _ids = lambda e, c, n: f"coalesce(string_agg(DISTINCT {c}, ',' ORDER BY {c}) FILTER (event='{e}'),'') AS {n}"
 _q("e20_explain_query", _log(A.explain_query), _sql(S.log_parts(), f"""rt AS (SELECT query_id, policy_id, len(candidates) AS selected, shadow FROM log WHERE event='retrieval'

@@ -148,6 +148,18 @@ _q("g6_fold_turns", lambda s, sf: Q.fold_turns(_turns(s, sf), D.NOW_MS, turn_lim
 _q("g6_fold_turns_default", lambda s, sf: Q.fold_turns(_turns(s, sf), D.NOW_MS), _with_recursive(*fold_sql(8, 4000, 50), select="SELECT * FROM fold"))
 
 
+def _chunk_roi(s, sf):
+    """Chunks of a session as hits in turn order, those that save enough tokens by the plan."""
+    plan = R.serving_plan("balanced")
+    hits = Q.fold_turns(_turns(s, sf), D.NOW_MS, turn_limit=3, token_limit=300).where("skip_reason IS NULL").withColumns({"query_id": F.col("session_id"), "rank": F.col("chunk_start")})
+    return R.roi_filter(hits, plan["min_chunk_net"], plan["chunks"], F.col("tokens_before") - F.col("tokens_after")).select("query_id", "chunk_start", "net_tokens", "rank")
+
+
+_q("c23_roi_filter_chunks", _chunk_roi, _with_recursive(*fold_sql(3, 300, 50), select="""
+SELECT session_id AS query_id, chunk_start, tokens_before-tokens_after AS net_tokens, row_number() OVER (PARTITION BY session_id ORDER BY chunk_start) AS rank FROM fold
+WHERE skip_reason IS NULL AND tokens_before-tokens_after>=80 QUALIFY rank<=2"""))
+
+
 def _appended(s, sf):
     stored = Q.fold_turns(_turns(s, sf), D.NOW_MS, turn_limit=2, token_limit=300).where("skip_reason IS NULL")
     return Q.append_chunks(stored, Q.fold_turns(_turns(s, sf), D.NOW_MS, turn_limit=3, token_limit=300))

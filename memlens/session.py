@@ -32,12 +32,15 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **extra: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which is shared too."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Where it is unset, a folder in the warehouse of a local session; a
+    cluster must name one, since other machines cannot read the driver's disk."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(shared)
     return shared
