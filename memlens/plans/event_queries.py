@@ -197,8 +197,8 @@ def _usage(spark, sf):
 _q("e16_usage_metrics", _usage, _sql(*_usage_parts(""), select=f"SELECT {_USAGE_SELECT}, round((net_token_impact*0.000003)::DOUBLE,6) AS net_value FROM us"))
 
 
-def imported_log(spark, sf):
-    """The event log written as JSON lines, checked line by line, and read back into report columns."""
+def event_lines(spark, sf):
+    """The event log as JSON lines: (line_id, line)."""
     e = D.event_log(spark, sf)
     ids = lambda c, name: F.transform(c, lambda i: F.struct(i.alias(name), F.lit(0.5).alias("score")))
     only = lambda event, value: F.when(F.col("event") == event, value)
@@ -211,7 +211,12 @@ def imported_log(spark, sf):
         F.col("policy_id").alias("cascadePolicyId"), F.col("reranker_name").alias("rerankerName"), F.col("fell_back").alias("rerankerFellBack"), F.col("fallback_reason").alias("rerankerFallbackReason"),
         only("calibrator_refit", F.lit(1)).alias("freshOutcomes"), only("calibrator_refit", F.col("ts")).alias("fittedAt"), only("drift_injection", F.lit("straight")).alias("signalKind"),
         only("drift_injection", F.lit(1)).alias("patternsInjected"), only("drift_injection", F.lit(0.5)).alias("gateThreshold")))
-    lines = cut(e.select(F.col("event_id").alias("line_id"), line.alias("line")))
+    return e.select(F.col("event_id").alias("line_id"), line.alias("line"))
+
+
+def imported_log(spark, sf):
+    """The event log written as JSON lines, checked line by line, and read back into report columns."""
+    lines = cut(event_lines(spark, sf))
     good = cut(EV.parse_event_lines(lines).select("line_id", "line", "status")).where("status = 'good'")
     return cut(EV.event_log(good.select(F.col("line_id").alias("event_id"), F.col("line").alias("payload"))))  # a table: the reports read it many times
 

@@ -40,6 +40,23 @@ def _ingest(s, sf):
 _q("g10_streaming_ingest", _ingest, S.with_(S.LOG, select="SELECT event_id, ts, event, query_id, block_id, fact_id, round(score,6) AS score, shadow, resolved FROM log"))
 
 
+def _ingest_lines(s, sf):
+    """JSON lines in four files, each line twice, some cut short and some without a type; good ones and the quarantine."""
+    w = J.workspace(s, "lines")
+    n = F.col("line_id") % 50
+    line = F.when(n == 7, F.expr("substring(line, 1, int(length(line) / 2))")).when(n == 9, F.replace("line", F.lit('"event":'), F.lit('"evnt":'))).otherwise(F.col("line"))
+    lines = EQ.event_lines(s, sf).withColumn("line", line).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    lines.repartitionByRange(4, "line_id").write.parquet(f"{w}/in")
+    stream = J.parquet_stream(s, f"{w}/in", files_per_trigger=1)
+    J.run_available(J.ingest_lines(stream, f"{w}/out", f"{w}/quarantine", f"{w}/checkpoint", delay_ms=60 * V.DAY_MS))
+    good = s.read.parquet(f"{w}/out").select("event_id", F.lit("good").alias("status"), "event", "ts", "query_id", "resolved")
+    return good.unionByName(s.read.parquet(f"{w}/quarantine").select(F.col("line_id").alias("event_id"), "status"), allowMissingColumns=True)
+
+
+_q("g10_streaming_lines", _ingest_lines, S.with_(S.LOG, "m AS (SELECT *, CASE event_id%50 WHEN 7 THEN 'bad-json' WHEN 9 THEN 'invalid' ELSE 'good' END AS status FROM log)", select="""
+SELECT event_id, status, CASE WHEN status='good' THEN event END AS event, CASE WHEN status='good' THEN ts END AS ts, CASE WHEN status='good' THEN query_id END AS query_id, CASE WHEN status='good' THEN resolved END AS resolved FROM m"""))
+
+
 def _loops(s, sf):
     w = J.workspace(s, "loops")
     J.run_available(J.loops_to_parquet(D.tool_obs_of(_events(s, sf)), f"{w}/out", f"{w}/checkpoint"))

@@ -18,9 +18,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlens import fixed_values as V
+from memlens.common import top_k
 from memlens.operators import analytics as A
 from memlens.operators import usage as U
 from memlens.session import cut, ensure_checkpoint_dir
+from memlens.sources import events as EV
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -57,6 +59,34 @@ def ingest_events(events: DataFrame, out: str, checkpoint: str, delay: str = "1
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def ingest_lines(lines: DataFrame, out: str, quarantine: str, checkpoint: str, delay_ms: int = V.DAY_MS) -> StreamingQuery:
+    """One stream of ``(line_id, line)`` JSON lines, two sinks: typed events, each id once, and lines that are not taken, with the reason.
+
+    Reasons are those of ``parse_event_lines``, and ``late`` for an event more than ``delay_ms`` behind the newest one of earlier
+    triggers.  A trigger owns one folder in each sink and looks back on earlier triggers only as far as the delay, so
+    memory does not grow with the stream, and a trigger that runs again writes what it wrote before.  Of lines with one id in a
+    trigger the earliest event is taken.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        parsed = cut(EV.parse_event_lines(batch.dropDuplicates(["line_id", "line"])).select("line_id", "line", "status"))
+        events = EV.event_log(parsed.where("status = 'good'").select(F.col("line_id").alias("event_id"), F.col("line").alias("payload")))
+        if batch_id:
+            taken = spark.read.parquet(out).where(F.col("batch") < batch_id)
+            horizon = taken.agg((F.max("ts") - delay_ms).alias("h")).select("h").scalar()
+            events = cut(events.withColumn("_late", F.coalesce(F.col("ts") < horizon, F.lit(False))))
+            fresh = events.where("NOT _late").drop("_late").join(taken.where(F.col("ts") >= horizon).select("event_id"), "event_id", "left_anti")
+            late = events.where("_late").select(F.col("event_id").alias("line_id")).distinct()
+            refused = parsed.where("status = 'good'").join(late, "line_id", "left_semi").withColumn("status", F.lit("late"))
+        else:
+            fresh, refused = events, parsed.where("false")
+        one = top_k(fresh, ["event_id"], [F.asc("ts"), F.xxhash64(*[c for c in fresh.columns if c != "event_id"])], 1).drop("rank")
+        one.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        parsed.where("status <> 'good'").unionByName(refused).write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+
+    return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # --- G11 ------------------------------------------------------------------------------
 
 
