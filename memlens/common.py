@@ -68,21 +68,23 @@ def prefix_counts(df: DataFrame, group: Sequence[str], value: str, coarse: Colum
     return joined.drop("_coarse", *[f"_i_{m}" for m in measures], *[f"_b_{m}" for m in measures])
 
 
-def last_at_or_before(df: DataFrame, group: Sequence[str], value: str, coarse: Column, item: str) -> DataFrame:
-    """Running maximum of struct ``item`` in ``value`` order inside ``group``, own row included, as column ``last``.
+def sums_and_latest(df: DataFrame, group: Sequence[str], value: str, coarse: Column, measure: str, item: str) -> DataFrame:
+    """Sum of ``measure`` over earlier rows (``before``) and the maximum of struct ``item`` up to the row itself (``latest``), in
+    ``value`` order inside ``group``.
 
-    An as-of join when items start with the value they appear at.  ``df`` holds one row per (group, value), with a null item
-    where nothing appears.  Two levels: each coarse bucket's last item is found first and carried over bucket borders, then
-    rows inside one bucket are walked; no task ever sorts a whole group.  ``coarse`` must not decrease with ``value``.
+    The second is an as-of join when items start with the value they appear at.  ``df`` holds one row per (group, value).  Two
+    levels: each coarse bucket's sum and last item are found first and carried over bucket borders, then rows inside one
+    bucket are walked; no task ever sorts a whole group.  ``coarse`` must not decrease with ``value``.
     """
     rows = df.withColumn("_coarse", coarse)
-    heads = rows.groupBy(*group, "_coarse").agg(F.max(item).alias("_item"))
-    before = W.partitionBy(*group, F.lit(0)).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
-    heads = heads.select(*group, "_coarse", F.max("_item").over(before).alias("_carried"))
-    inner = W.partitionBy(*group, "_coarse").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    walked = rows.withColumn("_inner", F.max(item).over(inner))
-    return (walked.join(heads, [*group, "_coarse"]).withColumn("last", F.coalesce("_inner", "_carried"))
-            .drop("_coarse", "_inner", "_carried"))
+    earlier = W.partitionBy(*group, F.lit(0)).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
+    heads = rows.groupBy(*group, "_coarse").agg(F.sum(measure).alias("_sum"), F.max(item).alias("_item")).select(
+        *group, "_coarse", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.max("_item").over(earlier).alias("_carried"))
+    inner = W.partitionBy(*group, "_coarse").orderBy(value)
+    walked = rows.withColumns({"_inner": F.coalesce(F.sum(measure).over(inner.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+                               "_latest": F.max(item).over(inner.rowsBetween(W.unboundedPreceding, 0))})
+    joined = walked.join(heads, [*group, "_coarse"])
+    return joined.withColumns({"before": F.col("_base") + F.col("_inner"), "latest": F.coalesce("_latest", "_carried")}).drop("_coarse", "_base", "_inner", "_carried", "_latest")
 
 
 def stabbing_nodes(low: Column, high: Column, bits: int) -> Column:
@@ -91,23 +93,22 @@ def stabbing_nodes(low: Column, high: Column, bits: int) -> Column:
     A point lies in exactly one tile of an interval that holds it, and its own nodes are ``point_nodes``; so "which intervals
     hold this point" is an equality join on nodes, whose interval side can be aggregated per node beforehand.
     """
-    tiles = []
-    for level in range(bits + 1):
+    def tiles(level: Column) -> Column:
         # the next level's nodes that lie inside are left to it; what sticks out on either side is tiled here
-        size = F.lit(1 << level).cast("bigint")
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
         first, last = F.ceil(low / size), F.floor((high + 1) / size) - 1
-        node = lambda place: F.struct(F.lit(level).alias("level"), place.cast("bigint").alias("place"))  # noqa: B023, E731
-        inside = first <= last
-        left = inside & (F.pmod(first, F.lit(2)) == 1)
-        right = inside & (F.pmod(last, F.lit(2)) == 0) & ~(left & (first == last))
-        top = level == bits
-        tiles += [F.when(inside if top else left, node(first)), F.when((inside & (first != last)) if top else right, node(last))]
-    return F.filter(F.array(*tiles), lambda t: t.isNotNull())
+        top, inside = level == bits, first <= last
+        left = inside & (top | (F.pmod(first, F.lit(2)) == 1))
+        right = inside & (first != last) & (top | (F.pmod(last, F.lit(2)) == 0)) | inside & (first == last) & ~left
+        node = lambda place: F.struct(level.alias("level"), place.cast("bigint").alias("place"))
+        return F.array(F.when(left, node(first)), F.when(right, node(last)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), tiles)), lambda t: t.isNotNull())
 
 
 def point_nodes(value: Column, bits: int) -> Column:
     """The dyadic nodes that hold a whole number, one per level."""
-    return F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(value, level).cast("bigint").alias("place")) for level in range(bits + 1)])
+    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", value.cast("bigint"), level).alias("place")))
 
 
 def exact_medians(df: DataFrame, group: Sequence[str], value: str, width: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
-from memlens.common import clamp01, count_if, exact_medians, last_at_or_before, last_by, point_nodes, prefix_counts, ratio, stabbing_nodes, top_k
+from memlens.common import clamp01, count_if, exact_medians, last_by, point_nodes, prefix_counts, ratio, stabbing_nodes, sums_and_latest, top_k
 from memlens.functions.scores import strength_rank
 
 ORDER = ["ts", "event_id"]
@@ -528,15 +528,13 @@ def resolve_feedback(feedback: DataFrame, retrieved: DataFrame, lookback_ms: int
     spans = retrieved.join(credited.select(*pair, F.col("first.ts").alias("c_ts")), pair, "left").select(
         "trace_id", "c_ts", F.col("ts").alias("low"), F.least(F.col("ts") + (lookback_ms - 1), "c_ts").alias("high"), F.struct(F.col("ts").alias("r_ts"), "query_id").alias("hit")).where("low <= high")
     # places on the time line: openings, then feedback, then closings of one millisecond
-    at = lambda ts, place: (F.col(ts) * 4 + place).alias("at")
+    at = lambda ts, place: F.col(ts) * 4 + place
     none = F.lit(None).cast(spans.schema["hit"].dataType)
-    marks = (spans.select("trace_id", at("low", 0), F.lit(1).alias("delta"), F.when(F.col("c_ts").isNull(), F.col("hit")).alias("hit"))
-             .unionAll(spans.select("trace_id", at("high", 2), F.lit(-1), none))
-             .unionAll(open_.select("trace_id", at("f_ts", 1), F.lit(0), none)))
+    mark = lambda place, delta, hit: F.struct(place.alias("at"), F.lit(delta).alias("delta"), hit.alias("hit"))
+    both = F.array(mark(at("low", 0), 1, F.when(F.col("c_ts").isNull(), F.col("hit"))), mark(at("high", 2), -1, none))
+    marks = spans.select("trace_id", F.explode(both).alias("m")).select("trace_id", "m.*").unionAll(open_.select("trace_id", at("f_ts", 1).alias("at"), F.lit(0), none))
     line = marks.groupBy("trace_id", "at").agg(F.sum("delta").alias("delta"), F.max("hit").alias("hit"))
-    bucket = F.floor(F.col("at") / (4 * lookback_ms))
-    counted = prefix_counts(line.select("trace_id", "at", "delta"), ["trace_id"], "at", bucket, ["delta"]).select("trace_id", "at", F.col("before_delta").alias("n"))
-    latest = last_at_or_before(line.select("trace_id", "at", "hit"), ["trace_id"], "at", bucket, "hit").select("trace_id", "at", F.col("last").alias("latest"))
+    walked = sums_and_latest(line, ["trace_id"], "at", F.floor(F.col("at") / (4 * lookback_ms)), "delta", "hit").select("trace_id", "at", F.col("before").alias("n"), "latest")
 
     bits = max(lookback_ms - 1, 1).bit_length()
     tiles = (spans.where(F.col("c_ts").isNotNull()).select("trace_id", "hit", F.explode(stabbing_nodes(F.col("low"), F.col("high"), bits)).alias("node"))
@@ -544,7 +542,7 @@ def resolve_feedback(feedback: DataFrame, retrieved: DataFrame, lookback_ms: int
     held = (open_.select("feedback_id", "trace_id", F.explode(point_nodes(F.col("f_ts"), bits)).alias("node")).join(tiles, ["trace_id", "node"])
             .groupBy("feedback_id").agg(F.max("hit").alias("held")))
 
-    placed = open_.withColumn("at", at("f_ts", 1)).join(counted, ["trace_id", "at"], "left").join(latest, ["trace_id", "at"], "left").join(held, "feedback_id", "left")
+    placed = open_.withColumn("at", at("f_ts", 1)).join(walked, ["trace_id", "at"], "left").join(held, "feedback_id", "left")
     alive = F.when(F.col("latest.r_ts") > F.col("f_ts") - lookback_ms, F.col("latest"))
     imp = placed.select("feedback_id", "trace_id", F.greatest(alive, F.col("held"))["query_id"].alias("resolved_query"),
                         (F.coalesce("n", F.lit(0)) > 1).alias("ambiguous"), F.lit(False).alias("already_credited"))

@@ -3,12 +3,15 @@
 A term's postings are cut by impact: tier 0 holds contributions near the term's largest, each further tier those a constant
 factor lower; a crowded tier is cut again by a hash of the document.  Every block knows its largest contribution.
 
-A query opens blocks, which propose documents; proposed documents are scored in full from a forward list of their terms.
+A query opens blocks, which propose documents with what the opened blocks say of their score; documents that may still reach
+the k-th place are scored in full from a forward list of their terms.
 
 1. The blocks of largest contribution are opened until they hold a few times k postings.  The k-th best score found, among
    documents that pass the caller's filter, is a floor under the true k-th score.
 2. Blocks are closed from the least contribution up while the largest contributions of each term's closed blocks add up
-   to less than the floor: a document in closed blocks only cannot reach it.  All other blocks are opened.
+   to less than CLOSED_SHARE of the floor: a document in closed blocks only cannot reach it.  All other blocks are opened, and of
+   the documents in them those are left out whose opened part and that sum stay below the floor.  A larger share opens less
+   and leaves more documents to be scored in full.
 3. Queries that found fewer than k documents have no floor and open everything.  Queries that need all their words open the
    blocks of their rarest word alone, since every hit is there.
 
@@ -34,6 +37,7 @@ TIERS = 12
 TIER_FACTOR = 0.8
 BLOCK_ROWS = 50_000
 FIRST_ROWS = 8
+CLOSED_SHARE = 0.4
 BLOCK = ["term", "tier", "salt"]
 
 
@@ -65,7 +69,7 @@ def build(docs: DataFrame, weights: dict[str, float], wanted: DataFrame | None =
     if wanted is not None:
         occurrences = occurrences.join(wanted.select("term").distinct(), "term", "left_semi")
     counted = cut(occurrences.groupBy("doc_id", term_key(F.col("term")).alias("term")).agg(F.sum("w").alias("wtf"), F.first("dl").alias("dl")))
-    stats = sized.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl")).alias("s")).select("s").scalar()
+    stats = cut(sized.agg(F.count("*").cast("double").alias("n"), F.avg(length).alias("avgdl"))).agg(F.struct(F.first("n").alias("n"), F.first("avgdl").alias("avgdl")).alias("s")).select("s").scalar()
     norm = lambda c: c.withColumn("_s", stats).withColumn("norm", F.col("wtf") * (V.BM25_K1 + 1) / (F.col("wtf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("dl") / F.col("_s.avgdl"))))
     df = F.col("df")
     idf = F.ln((F.col("n") - df + 0.5) / (df + 0.5))
@@ -90,9 +94,9 @@ def load(spark: SparkSession, folder: str) -> Postings:
 
 
 def _proposed(opened: DataFrame, index: Postings) -> DataFrame:
-    """Distinct (query_id, doc_id) in the blocks of ``opened(query_id, term, tier)``."""
+    """(query_id, doc_id, part): documents in the blocks of ``opened(query_id, term, tier)`` and the sum of what these say."""
     blocks = opened.join(index.blocks.select(*BLOCK), ["term", "tier"])
-    return blocks.join(index.rows.drop("c"), BLOCK).select("query_id", "doc_id").distinct()
+    return blocks.join(index.rows, BLOCK).groupBy("query_id", "doc_id").agg(F.sum("c").alias("part"))
 
 
 def search(terms: DataFrame, index: Postings, k: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -122,8 +126,12 @@ def search(terms: DataFrame, index: Postings, k: int, keep: Callable[[DataFrame]
     up = W.partitionBy("query_id").orderBy("top", "term", F.desc("tier"))
     step = F.col("top") - F.coalesce(F.lag("top").over(W.partitionBy("query_id", "term").orderBy("top", F.desc("tier"))), F.lit(0.0))
     reach = F.sum("step").over(up.rowsBetween(W.unboundedPreceding, 0))
-    opened = some.withColumn("step", step).withColumn("reach", reach).join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("reach") >= F.col("floor") - 2e-6))
+    ranked = some.withColumn("step", step).withColumn("reach", reach).join(floors, "query_id", "left")
+    closed = F.coalesce(F.col("reach") < F.col("floor") * CLOSED_SHARE - 2e-6, F.lit(False))
+    opened = _proposed(ranked.where(~closed).select("query_id", "term", "tier"), index)
+    spare = ranked.groupBy("query_id").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(closed, F.col("reach"))), F.lit(0.0)).alias("spare"))
+    able = opened.join(spare, "query_id").where(F.col("floor").isNull() | (F.col("part") + F.col("spare") >= F.col("floor") - 2e-6)).select("query_id", "doc_id")
     df = every.groupBy("query_id", "term").agg(F.sum("n").alias("df"))
     rarest = df.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("m")).select("query_id", F.col("m.term").alias("term"))
-    all_open = opened.select("query_id", "term", "tier").unionByName(every.join(rarest, ["query_id", "term"], "left_semi").select("query_id", "term", "tier"))
-    return scored(_proposed(all_open, index))
+    whole = _proposed(every.join(rarest, ["query_id", "term"], "left_semi").select("query_id", "term", "tier"), index).select("query_id", "doc_id")
+    return scored(able.unionByName(whole))
