@@ -17,6 +17,7 @@ from memlens.plans import sequence_queries as SQ
 from memlens.plans import sqlbase as S
 from memlens.plans.catalog import Query, Registry, rounded
 from memlens.streaming import jobs as J
+from memlens.streaming import loops as LP
 
 QUERIES: Registry = {}
 
@@ -59,7 +60,7 @@ SELECT event_id, status, CASE WHEN status='good' THEN event END AS event, CASE W
 
 def _loops(s, sf):
     w = J.workspace(s, "loops")
-    J.run_available(J.loops_to_parquet(D.tool_obs_of(_events(s, sf)), f"{w}/out", f"{w}/checkpoint"))
+    J.run_available(LP.loops_to_parquet(D.tool_obs_of(_events(s, sf)), f"{w}/out", f"{w}/checkpoint"))
     return s.read.parquet(f"{w}/out")
 
 

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the online path.
+"""Structured Streaming forms of the online path (G10, G12-G14; G11 is in ``loops``).
 
 Each job ends in the same rows as its batch twin on the same input.  State that
 several triggers share lives in Parquet versions under the sink folder; a batch
@@ -9,13 +9,11 @@ counted twice.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlens import fixed_values as V
 from memlens.common import top_k
@@ -87,65 +85,6 @@ def ingest_lines(lines: DataFrame, out: str, quarantine: str, checkpoint: str, d
     return lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-# --- G11 ------------------------------------------------------------------------------
-
-
-def _signal(window: list[tuple[str, str]]) -> tuple[str, int, str | None]:
-    n = len(window)
-    if n < 2:
-        return "none", 0, None
-    keys = [k for k, _ in window]
-    run = next((i for i, k in enumerate(reversed(keys)) if k != keys[-1]), n)
-    if run >= 3:
-        return "straight", run, window[-1][1]
-    if n >= 4 and keys[-1] != keys[-2] and keys[-1] == keys[-3] and keys[-2] == keys[-4]:
-        return "pingpong", 2, window[-1][1]
-    count, at = max((keys.count(k), i) for i, k in enumerate(keys))
-    return ("duplicate", count, window[at][1]) if count >= 2 else ("none", 0, None)
-
-
-LOOP_SCHEMA = "event_id long, session_id string, ts long, pos long, tool_name string, arg_key string, kind string, count int, tool string, logged string"
-
-
-def stream_loops(obs: DataFrame, ttl_ms: int = 24 * 3600 * 1000, n: int = V.LOOP_WINDOW, delay: str = "1 hour") -> DataFrame:
-    """Loop signal of every call, per session, from the last ``n`` keys kept as state.
-
-    State per session: the next position, at most ``n`` (key, tool) pairs and the
-    warned keys; it ends when the watermark is ``ttl_ms`` past the last call.  Rows of one trigger are
-    ordered by (ts, event_id); the trigger size bounds what a session brings at once.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pos, keys, tools, warned = state.get if state.exists else (0, [], [], [])
-        window, seen = list(zip(keys, tools)), set(warned)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            window = [*window, (r.arg_key, r.tool_name)][-n:]
-            kind, count, tool = _signal(window)
-            logged = None
-            if kind != "none":
-                logged = "suppressed" if r.arg_key in seen else "warned"
-                seen.add(r.arg_key)
-            out.append((r.event_id, key[0], r.ts, pos, r.tool_name, r.arg_key, kind, count, tool, logged))
-            pos += 1
-        state.update((pos, [k for k, _ in window], [t for _, t in window], sorted(seen)))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max()) + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in LOOP_SCHEMA.split(", ")])
-
-    timed = obs.select("event_id", "session_id", "ts", "tool_name", "arg_key", F.timestamp_millis("ts").alias("time")).withWatermark("time", delay)
-    return (timed.groupBy("session_id")
-            .applyInPandasWithState(step, LOOP_SCHEMA, "pos long, keys array<string>, tools array<string>, warned array<string>", "append",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-def loops_to_parquet(obs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (stream_loops(obs).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
-
-
 # --- G12 --------------------------------------------------------------------------------
 
 
