@@ -106,6 +106,12 @@ def draw_weights(queries: DataFrame, buckets: DataFrame, fallback: DataFrame, se
 
 # --- F6, F7 isotonic ------------------------------------------------------------------
 
+SLOPE_UNIT = 65_536  # slopes that cut the hull are whole multiples of 1/SLOPE_UNIT, so comparing sums of whole labels is exact
+PAGE_ROWS = 1_024
+DIRECTORY_BITS = 24
+SCORES_PER_TASK = 1_000_000
+BLOCKS = "run long, ord long, sx double, sy double, w double"
+
 
 def _pool(sx: np.ndarray, sy: np.ndarray, w: np.ndarray) -> list[tuple[float, float, float]]:
     """Adjacent violators pooled: a block joins the one before it while that one's mean is higher."""
@@ -118,48 +124,80 @@ def _pool(sx: np.ndarray, sy: np.ndarray, w: np.ndarray) -> list[tuple[float, fl
     return stack
 
 
-def fit_isotonic(points: DataFrame, fan_in: int = 64) -> DataFrame:
-    """``points(x, y, ts, event_id)`` -> breakpoints (position, x, y, weight), exactly as one sequential pass.
+def _blocks(stack: list[tuple[float, float, float]], **keys: int) -> pd.DataFrame:
+    sx, sy, w = zip(*stack)
+    return pd.DataFrame({**keys, "ord": np.arange(len(stack)), "sx": sx, "sy": sy, "w": w})
+
+
+def _pool_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sorted range of points, batch by batch; only its blocks are held."""
+    stack, run = [], None
+    for pdf in batches:
+        if len(pdf):
+            run = int(pdf["run"].iloc[0])
+            parts = [(pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), np.ones(len(pdf)))]
+            if stack:
+                parts.insert(0, tuple(np.array(c) for c in zip(*stack)))
+            stack = _pool(*[np.concatenate(c) for c in zip(*parts)])
+    if stack:
+        yield _blocks(stack, run=run)
+
 
-    Pooling gives the same blocks in any order of merges, so range partitions in
-    (x, ts, event_id) order are pooled where they lie and only block sums travel.
-    Summaries are merged in runs of ``fan_in`` neighbours, level by level; labels
-    are 0/1, so a partition of n points keeps at most about n^(2/3) blocks.
+def _merge_runs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["run", "ord"])
+    return _blocks(_pool(pdf["sx"].to_numpy(), pdf["sy"].to_numpy(), pdf["w"].to_numpy()), segment=int(key[0]), run=int(key[1]))
+
+
+def hull_segments(blocks: DataFrame, slopes: int) -> DataFrame:
+    """``segment`` per block of locally pooled runs: no block of the whole fit reaches over a segment's border.
+
+    The fit is the lower convex hull of running sums (w, y).  Where the hull turns to a slope t is the place of the least
+    y - t * w, and a run's own least lies behind its last block of mean <= t, so runs give one sum per slope band and the hull's
+    touching points follow by a minimum over runs.  Slopes are quantiles of block means.
+    """
+    mean = F.col("sy") / F.col("w")
+    quantiles = F.percentile_approx(mean, [i / slopes for i in range(1, slopes)], 10_000)
+    levels = F.array_sort(F.array_distinct(F.transform(quantiles, lambda q: F.round(q * SLOPE_UNIT).cast("long"))))
+    empty = lambda kind: F.array().cast(kind)
+    grid = cut(blocks.agg(F.coalesce(levels, empty("array<bigint>")).alias("a"))).select("a").scalar()  # one reading of the approximate quantiles
+    steep = F.size(F.filter("_grid", lambda a: F.col("sy") * SLOPE_UNIT > a * F.col("w")))
+    bands = blocks.withColumn("_grid", grid).groupBy("run", steep.alias("band")).agg(F.sum("sy").alias("y"), F.sum("w").alias("w"), F.count("*").alias("n"))
+    per_run = bands.groupBy("run").agg(F.collect_list(F.struct("band", "y", "w", "n")).alias("b"), F.sum("y").alias("ry"), F.sum("w").alias("rw"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("run").rowsBetween(W.unboundedPreceding, -1)  # one row per range partition
+    start = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0.0))
+    runs = per_run.select("run", "b", start("ry").alias("y0"), start("rw").alias("w0")).withColumn("_grid", grid)
+    places = runs.select("run", "b", "y0", "w0", F.posexplode("_grid").alias("level", "a"))
+    upto = lambda field, zero: F.aggregate(F.filter("b", lambda x: x["band"] <= F.col("level")), zero, lambda s, x: s + x[field])
+    gap = (F.col("y0") + upto("y", F.lit(0.0))) * SLOPE_UNIT - F.col("a") * (F.col("w0") + upto("w", F.lit(0.0)))
+    touch = places.select("level", F.struct(gap.alias("gap"), "run", upto("n", F.lit(0).cast("long")).alias("ord")).alias("p")).groupBy("level").agg(F.min("p").alias("p"))
+    cuts = touch.agg(F.collect_list(F.struct(F.col("p.run").alias("run"), F.col("p.ord").alias("ord"))).alias("c")).select("c").scalar()
+    behind = F.filter("_cuts", lambda c: (c["run"] < F.col("run")) | (c["run"] == F.col("run")) & (c["ord"] <= F.col("ord")))
+    return blocks.withColumn("_cuts", cuts).withColumn("segment", F.size(behind).cast("long")).drop("_cuts")
+
+
+def fit_isotonic(points: DataFrame, fan_in: int = 64, slopes: int = 64) -> DataFrame:
+    """``points(x, y, ts, event_id)`` -> breakpoints (position, x, y, weight), exactly as one sequential pass over whole-number labels.
+
+    Range partitions in (x, ts, event_id) order are pooled where they lie and only block sums travel.  ``hull_segments`` cuts them
+    where the whole fit has borders, so up to ``slopes`` segments are finished apart; inside a segment runs of ``fan_in`` neighbours are
+    pooled level by level.  No task sees all blocks.
     """
     spark = points.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["x", "ts", "event_id"]
-    schema = "run long, ord long, sx double, sy double, w double"
     ranged = points.select(*order, "y").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("run", F.spark_partition_id().cast("long"))
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack, run = [], None
-        for pdf in batches:
-            if len(pdf):
-                run = int(pdf["run"].iloc[0])
-                head = stack
-                x, y, n = pdf["x"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float), np.ones(len(pdf))
-                if head:
-                    hx, hy, hn = (np.array(c) for c in zip(*head))
-                    x, y, n = np.concatenate([hx, x]), np.concatenate([hy, y]), np.concatenate([hn, n])
-                stack = _pool(x, y, n)
-        if stack:
-            yield _frame(stack, run)
-
-    def _frame(stack, run: int) -> pd.DataFrame:
-        sx, sy, w = zip(*stack)
-        return pd.DataFrame({"run": run, "ord": np.arange(len(stack)), "sx": sx, "sy": sy, "w": w})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "ord"])
-        return _frame(_pool(pdf["sx"].to_numpy(), pdf["sy"].to_numpy(), pdf["w"].to_numpy()), int(pdf["_to"].iloc[0]))
-
-    blocks = ranged.mapInPandas(local, schema)
+    blocks = hull_segments(cut(ranged.mapInPandas(_pool_run, BLOCKS)), slopes)
     left = parts
-    while left > 1:
-        blocks = blocks.withColumn("_to", F.floor(F.col("run") / fan_in)).groupBy("_to").applyInPandas(merge, schema)
+    while True:
+        blocks = blocks.groupBy("segment", F.floor(F.col("run") / fan_in).alias("_to")).applyInPandas(_merge_runs, f"segment long, {BLOCKS}")
         left = -(-left // fan_in)
-    return blocks.select(F.col("ord").alias("position"), (F.col("sx") / F.col("w")).alias("x"), (F.col("sy") / F.col("w")).alias("y"), F.col("w").cast("long").alias("weight"))
+        if left <= 1:
+            break
+    blocks = cut(blocks)
+    sizes = blocks.groupBy("segment").agg(F.count("*").alias("n"))  # at most ``slopes`` rows
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.join(sizes.select("segment", before.alias("before")), "segment")
+    return placed.select((F.col("before") + F.col("ord")).alias("position"), (F.col("sx") / F.col("w")).alias("x"), (F.col("sy") / F.col("w")).alias("y"), F.col("w").cast("long").alias("weight"))
 
 
 def fit_calibrator(points: DataFrame, min_points: int = V.MIN_CALIBRATION_POINTS) -> DataFrame:
@@ -169,26 +207,43 @@ def fit_calibrator(points: DataFrame, min_points: int = V.MIN_CALIBRATION_POINTS
     return model.where(total >= min_points)
 
 
-def predict_isotonic(scores: DataFrame, model: DataFrame, score_col: str = "score", cells: int = 256) -> DataFrame:
-    """Linear interpolation between breakpoints, flat outside them, identity for an empty model.
+def _last_below(entries: Column, value: Column, bits: int) -> Column:
+    """0-based place of the last entry with ``x`` below ``value`` in an array ordered by ``x``, by halving; 0 when there is none."""
+    def step(at: Column, width: Column) -> Column:
+        ahead = at + width
+        return F.when((ahead < F.size(entries)) & (F.get(entries, ahead)["x"] < value), ahead).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0), step)
+
 
-    Segments are laid over equal cells of the model's range; scores meet them by
-    cell, so the join is an equi-join however many breakpoints there are.
+def predict_isotonic(scores: DataFrame, model: DataFrame, score_col: str = "score", page_rows: int = PAGE_ROWS, scores_per_task: int = SCORES_PER_TASK) -> DataFrame:
+    """Linear interpolation between breakpoints, flat outside them, identity for an empty model; a null score gives null.
+
+    Breakpoints lie in pages of at most ``page_rows`` positions, each an ordered array, and a directory of first breakpoints is one
+    array in every row's reach (a page per thousand breakpoints).  A score finds its page and then its segment by halving.  A page that
+    more than ``scores_per_task`` scores ask for, as when many scores are equal, is dealt out in copies.
     """
+    lines = model.select(F.floor(F.col("position") / page_rows).alias("page"), "position", "x", "y")
+    pages = lines.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("position", "x", "y"))).alias("points"))
+    heads = pages.select("page", F.col("points")[0]["x"].alias("x"), F.col("points")[0]["y"].alias("y"))
     ends = model.agg(F.struct(F.min(F.struct("position", "x", "y")).alias("lo"), F.max(F.struct("position", "x", "y")).alias("hi")).alias("e")).select("e").scalar()
-    s = scores.withColumn("_e", ends)
-    lo, hi, x = F.col("_e.lo"), F.col("_e.hi"), F.col(score_col)
-    width = (hi["x"] - lo["x"]) / cells
-    cell = lambda v: F.coalesce(F.floor(F.try_divide(v - lo["x"], width)), F.lit(0))
+    directory = heads.agg(F.array_sort(F.collect_list(F.struct("page", "x", "y"))).alias("d")).select("d").scalar()
+    x, lo, hi = F.col(score_col), F.col("_e.lo"), F.col("_e.hi")
     inner = (x > lo["x"]) & (x < hi["x"])
-    s = s.withColumn("_cell", F.when(inner, cell(x)))
-    # The model is one row per breakpoint; its order window is over model rows only.
-    nxt = W.partitionBy(F.lit(0)).orderBy("position")
-    seg = model.select("position", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(nxt).alias("bx"), F.lead("y").over(nxt).alias("by")).where("bx > ax").withColumn("_e", ends)
-    seg = seg.select("ax", "ay", "bx", "by", F.explode(F.sequence(cell(F.col("ax")), cell(F.col("bx")))).alias("_cell"))
-    j = s.join(seg, (s["_cell"] == seg["_cell"]) & (s[score_col] > seg["ax"]) & (s[score_col] <= seg["bx"]), "left")
-    t = (x - F.col("ax")) / (F.col("bx") - F.col("ax"))
-    p = (F.when(lo["x"].isNull(), x).when(x <= lo["x"], lo["y"]).when(x >= hi["x"], hi["y"]).otherwise(F.col("ay") + t * (F.col("by") - F.col("ay"))))
+    s = scores.withColumn("_e", ends).withColumn("_d", directory).withColumn("_at", F.when(inner, _last_below(F.col("_d"), x, DIRECTORY_BITS)))
+    s = s.withColumns({"_page": F.get("_d", F.col("_at"))["page"], "_next": F.get("_d", F.col("_at") + 1)}).drop("_d", "_at")
+    asked = s.where("_page IS NOT NULL").groupBy(F.col("_page").alias("page")).agg(F.count("*").alias("n"))
+    dealt = asked.select("page", F.ceil(F.col("n") / scores_per_task).cast("int").alias("copies"))
+    shares = dealt.agg(F.map_from_entries(F.collect_list(F.when(F.col("copies") > 1, F.struct("page", "copies")))).alias("m")).select("m").scalar()
+    salt = F.when(F.col("_page").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.coalesce(F.try_element_at("_m", F.col("_page")), F.lit(1))))
+    s = s.withColumn("_m", shares).withColumn("_salt", salt.cast("int")).drop("_m")
+    copies = pages.join(dealt, "page").select(F.col("page").alias("_page"), "points", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_salt"))
+    j = s.join(copies, ["_page", "_salt"], "left")
+    j = j.withColumn("_i", _last_below(F.col("points"), x, (page_rows - 1).bit_length())).withColumn("_a", F.get("points", F.col("_i")))
+    after = F.get("points", F.col("_i") + 1)
+    bx, by = F.coalesce(after["x"], F.col("_next.x")), F.coalesce(after["y"], F.col("_next.y"))
+    t = (x - F.col("_a.x")) / (bx - F.col("_a.x"))
+    p = (F.when(lo["x"].isNull(), x).when(x <= lo["x"], lo["y"]).when(x >= hi["x"], hi["y"]).otherwise(F.col("_a.y") + t * (by - F.col("_a.y"))))
     return j.select(*scores.columns, p.alias("prob"))
 
 
@@ -201,8 +256,3 @@ def refit_due(log: DataFrame, key: str = "run_id", after: int = V.REFIT_AFTER_OU
     outs = log.where("event = 'outcome'").select(key, "ts").join(fits, key, "left").groupBy(key).agg(
         count_if(F.col("last_fit").isNull() | (F.col("ts") > F.col("last_fit"))).alias("outcomes_since_fit"), F.max("last_fit").alias("last_fit"))
     return outs.withColumn("due", F.col("outcomes_since_fit") >= after)
-
-
-def cached_model(model: DataFrame) -> DataFrame:
-    """A fitted model written once, so that scoring does not fit again."""
-    return cut(model)

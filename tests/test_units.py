@@ -211,6 +211,55 @@ def test_isotonic_in_any_partitioning(spark, parts):
     assert all(a[1] <= b[1] for a, b in zip(got, got[1:]))
 
 
+def test_isotonic_runs_that_cross_every_slope(spark):
+    """Each range of x rises from 0 to 1 by itself: whole runs pool, and what is left is finished in many segments."""
+    rnd = random.Random(5)
+    pts = [(i / 600, float(rnd.random() < (i % 100) / 100 * 0.7 + i / 2000), i, i) for i in range(600)]
+    df = spark.createDataFrame(pts, "x double, y double, ts long, event_id long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        for slopes in (2, 5, 64):
+            got = [(r.position, round(r.x, 9), round(r.y, 9)) for r in L.fit_isotonic(df, fan_in=3, slopes=slopes).orderBy("position").collect()]
+            assert [g[1:] for g in got] == sequential_pava([(x, y) for x, y, _, _ in pts])
+            assert [g[0] for g in got] == list(range(len(got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_isotonic_segments_are_borders_of_the_fit(spark):
+    blocks = [(run, o, 0.0, y, 2.0) for run, ys in enumerate([(0, 1, 2), (0, 1, 2), (1, 2, 2)]) for o, y in enumerate(map(float, ys))]
+    rows = L.hull_segments(spark.createDataFrame(blocks, L.BLOCKS), 8).orderBy("run", "ord").collect()
+    ids = [r.segment for r in rows]
+    assert ids == sorted(ids) and len(set(ids)) > 2
+    fit, at = sequential_pava([(r.sx, r.sy / r.w) for r in rows]), 0  # equal weights: one point a block
+    means = []
+    for s in sorted(set(ids)):
+        means += [y for _, y in sequential_pava([(r.sx, r.sy / r.w) for r in rows if r.segment == s])]
+    assert means == [y for _, y in fit]
+
+
+def test_isotonic_pages_and_a_hot_score(spark):
+    """Pages of three breakpoints, a third of all scores equal, more scores on a page than a task takes; equal xs, nulls."""
+    xs = [0.1, 0.2, 0.2, 0.3, 0.45, 0.5, 0.5, 0.5, 0.6, 0.7, 0.9]
+    model = [(i, x, i / 10) for i, x in enumerate(xs)]
+    rnd = random.Random(3)
+    values = [0.47] * 40 + [rnd.random() for _ in range(70)] + xs + [None]
+
+    def want(v):
+        if v is None:
+            return None
+        if v <= xs[0]:
+            return 0.0
+        if v >= xs[-1]:
+            return 1.0
+        a = max(i for i, x in enumerate(xs) if x < v)
+        return round(a / 10 + (v - xs[a]) / (xs[a + 1] - xs[a]) / 10, 9)
+
+    scores = spark.createDataFrame(list(enumerate(values)), "i long, score double").repartition(3)
+    got = {r.i: r.prob for r in L.predict_isotonic(scores, spark.createDataFrame(model, "position long, x double, y double"), page_rows=3, scores_per_task=10).collect()}
+    assert {i: None if p is None else round(p, 9) for i, p in got.items()} == {i: want(v) for i, v in enumerate(values)}
+
+
 def test_isotonic_edges(spark):
     schema = "x double, y double, ts long, event_id long"
     assert L.fit_isotonic(spark.createDataFrame([], schema)).count() == 0
