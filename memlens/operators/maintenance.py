@@ -68,9 +68,11 @@ def upsert_facts(stored: DataFrame, incoming: DataFrame, now_ms: int) -> DataFra
     first statement of a new key is kept.  Leaking or injecting statements are dropped.
     """
     ok = T.leakage(F.col("statement")).isNull() & T.prompt_injection(F.col("statement")).isNull()
-    fresh = incoming.where(ok).withColumn("dedupe_key", fact_key(F.col("scope"), F.col("fact_type"), F.col("statement")))
-    first = ["scope", "fact_type", "statement", "confidence", "ttl_days"]
-    per = fresh.groupBy("dedupe_key").agg(F.min_by(F.struct(*first), "seq").alias("n"), F.count("*").alias("arrivals"))
+    # the verdict is a column and no filter: a filter would sink below a repartitioning of the input, where few tasks scan all texts
+    fresh = incoming.withColumn("_ok", ok).withColumn("dedupe_key", fact_key(F.col("scope"), F.col("fact_type"), F.col("statement")))
+    first = F.struct("scope", "fact_type", "statement", "confidence", "ttl_days")
+    taken = lambda c: F.when(F.col("_ok"), c)
+    per = fresh.groupBy("dedupe_key").agg(F.min_by(taken(first), taken(F.col("seq"))).alias("n"), count_if(F.col("_ok")).alias("arrivals")).where("arrivals > 0")
     j = stored.withColumn("_stored", F.lit(True)).join(per, "dedupe_key", "full")
     old, hit = F.col("_stored").isNotNull(), F.col("arrivals").isNotNull()
     repeats = F.when(old, F.coalesce("arrivals", F.lit(0))).otherwise(F.col("arrivals") - 1)

@@ -57,8 +57,12 @@ def bm25_search(queries: DataFrame, docs: DataFrame, weights: dict[str, float],
 
 
 def fingerprint_match(queries: DataFrame, traces: DataFrame, k: int = 5) -> DataFrame:
-    hit = queries.select("query_id", "fingerprint").join(traces.select("trace_id", "fingerprint", "q_score"), "fingerprint")
-    return top_k(hit, ["query_id"], [F.desc("q_score"), F.asc("trace_id")], k).select("query_id", "trace_id", "q_score", F.lit(1.0).alias("score"), "rank")
+    """Best ``k`` traces of the query's fingerprint by quality.  Traces are cut to ``k`` per fingerprint before queries join, so
+    however many copies share one, a query meets ``k`` rows.  A null fingerprint matches nothing."""
+    order = [F.desc("q_score"), F.asc("trace_id")]
+    best = top_k(traces.where("fingerprint IS NOT NULL").select("trace_id", "fingerprint", "q_score"), ["fingerprint"], order, k).drop("rank")
+    hit = queries.select("query_id", "fingerprint").join(best, "fingerprint")
+    return top_k(hit, ["query_id"], order, k).select("query_id", "trace_id", "q_score", F.lit(1.0).alias("score"), "rank")
 
 
 PATTERN = ("language", "framework", "error_type")
@@ -481,22 +485,37 @@ def drift_augment(queries: DataFrame, windows: DataFrame, fragments: int = V.DRI
                     F.when(drift, F.lit(drift_gate)).otherwise(F.lit(gate)).alias("gate"), F.when(drift, F.size(recent)).otherwise(0).alias("fragments"))
 
 
-def naive_top1(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Best document by plain word overlap, no gate: (query_id, doc_id, score).
+def naive_top1(queries: DataFrame, docs: DataFrame, opening: int = 2) -> DataFrame:
+    """Best document by plain word overlap, no gate: (query_id, doc_id, score); a query that shares no word has no row.
 
-    Overlap counts come from a term equi-join on distinct words, so the exact
-    best is found without comparing every pair of texts; equal texts are one set.
+    Equal texts are one set.  A query's ``opening`` rarest known words propose sets, and the best Jaccard among these is a floor.  A set
+    that reaches a floor f shares at least f of the query's n words, so it holds one of its n - ceil(f * n) + 1 rarest: only
+    those propose.  Common words open their lists only where nothing rarer settles the query.
     """
-    words = lambda c: T.split_terms(c, "[^a-z0-9]+", 3)
+    words = lambda c: T.split_terms(c, "[^a-z0-9]+", 3)
     sets, members = token_sets(docs, "doc_id", words(F.col("text")))
+    sets = cut(sets.select("set_id", "tokens"))
+    lists = sets.select("set_id", F.explode("tokens").alias("tok"))
+    q = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("asked"))
+    tok = q.select("query_id", F.size("asked").alias("qn"), F.explode("asked").alias("tok"))
+    df = lists.join(tok.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    # words that no set holds come first: they use up the words a good set may miss
+    known = tok.join(df, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    by_query = W.partitionBy("query_id").orderBy("df", "tok")
+    placed = cut(known.withColumns({"place": F.row_number().over(by_query), "seen": F.sum(F.when(F.col("df") > 0, 1).otherwise(0)).over(by_query)}))
+
+    def scored(opened: DataFrame) -> DataFrame:
+        pairs = opened.where("df > 0").select("query_id", "tok").join(lists, "tok").select("query_id", "set_id").distinct()
+        both = pairs.join(q, "query_id").join(sets, "set_id")
+        shared = F.size(F.array_intersect("asked", "tokens"))
+        return both.select("query_id", "set_id", F.round(shared / (F.size("asked") + F.size("tokens") - shared), 6).alias("score"))
+
+    floors = scored(placed.where(F.col("seen") <= opening)).groupBy("query_id").agg(F.max("score").alias("floor"))
+    must = F.greatest(F.ceil((F.col("floor") - 1e-6) * F.col("qn") - 1e-9), F.lit(1))  # scores are compared as rounded
+    best = scored(placed.join(floors, "query_id").where(F.col("place") <= F.col("qn") - must + 1))
     first = members.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    q = queries.select("query_id", words(F.col("text")).alias("t"))
-    qt = q.select("query_id", F.size("t").alias("qn"), F.explode("t").alias("tok"))
-    dt = sets.select("set_id", F.size("tokens").alias("dn"), F.explode("tokens").alias("tok"))
-    overlap = qt.join(dt, "tok").groupBy("query_id", "set_id", "qn", "dn").agg(F.count("*").alias("n"))
-    scored = overlap.select("query_id", "set_id", F.round(F.col("n") / (F.col("qn") + F.col("dn") - F.col("n")), 6).alias("score")).join(first, "set_id")
-    return scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("m"))).alias("b")).select(
-        "query_id", (-F.col("b.m")).alias("doc_id"), F.col("b.score").alias("score"))
+    best = best.join(best.groupBy("query_id").agg(F.max("score").alias("score")), ["query_id", "score"])
+    return best.join(first, "set_id").groupBy("query_id", "score").agg(F.min("doc_id").alias("doc_id")).select("query_id", "doc_id", "score")
 
 
 def retrieval_eval(ranked: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
