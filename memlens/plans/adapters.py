@@ -23,10 +23,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Texts of a small file with few row groups dealt out by id, so that all cores read them.
 
     Input that already comes in at least as many splits as there are cores is
-    left as it is: large tables are never shuffled for this.
+    left as it is: large tables are never shuffled for this.  The condition on
+    a random number is always true; it keeps a query's filters over texts above
+    the exchange, since below it they would run in the few tasks of the file.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key).where(F.rand(0) >= 0)
 
 
 def epoch_ms(col: str) -> Column:
