@@ -236,9 +236,9 @@ _q("e22_infer_use", _uses, S.with_(*_EVS, select="SELECT transcript_id, query_id
 
 
 def _inferred(s, sf):
-    _, _, tr, _ = _shown(s, sf)
+    inj, shadow, tr, docs = _shown(s, sf)
     outs = D.raw_events(s, sf).where("event_id % 6 = 1").select(F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_id"))
-    return EV.inferred_outcomes(_uses(s, sf), outs, tr)
+    return EV.infer_outcomes(inj, shadow, tr, docs, outs, lookback_ms=7_200_000)
 
 
 _q("e22_inferred_outcomes", _inferred, S.with_(*_EVS, select=f"""
