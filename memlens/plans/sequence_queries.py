@@ -13,6 +13,7 @@ from memlens.plans import retrieval_queries as RQ
 from memlens.plans import sqlbase as S
 from memlens.plans import text_queries as TQ
 from memlens.plans.catalog import Query, Registry, rounded
+from memlens.session import cut
 
 QUERIES: Registry = {}
 
@@ -71,7 +72,7 @@ _q("g4_pre_call_decisions_strict", lambda s, sf: Q.pre_call_decisions(D.tool_obs
 def _loops(s, sf):
     """Last signal of every session as a query; its text is the benchmark item the session number names."""
     d = Q.detect_loops(D.tool_obs(s, sf))
-    last = d.groupBy("session_id").agg(F.max_by(F.struct("kind", "arg_key"), "pos").alias("l")).select("session_id", "l.kind", "l.arg_key")
+    last = cut(d.groupBy("session_id").agg(F.max_by(F.struct("kind", "arg_key"), "pos").alias("l")).select("session_id", "l.kind", "l.arg_key"))
     n = F.substring("session_id", 2, 20).cast("bigint")
     b = RQ.queries(s, sf).select(F.col("query_id").alias("item"), "text", "language", "framework", "apis")
     return last.withColumn("query_id", n).withColumn("item", n % 40).join(b, "item")
@@ -79,8 +80,9 @@ def _loops(s, sf):
 
 def _redirected(s, sf):
     l = _loops(s, sf).where("kind <> 'none'")
-    hits = R.block_recall(l, RQ.blocks(s, sf), 3).select("query_id", "block_id", (F.col("score") * (F.lit(0.5) + (F.col("query_id") % 2) * 0.5)).alias("prob"))
-    files = R.file_recall(l.where("query_id % 5 <> 0"), RQ.files(s, sf), 1)
+    blocks, paths = RQ.blocks(s, sf), RQ.files(s, sf)
+    hits = R.asked_once(l, ["text", "language", "framework", "apis"], lambda q: R.block_recall(q, blocks, 3)).select("query_id", "block_id", (F.col("score") * (F.lit(0.5) + (F.col("query_id") % 2) * 0.5)).alias("prob"))
+    files = R.asked_once(l.where("query_id % 5 <> 0"), ["text"], lambda q: R.file_recall(q, paths, 1))
     seen = l.where("query_id % 3 = 0").select("session_id", "arg_key").join(files.select(F.concat(F.lit("s"), F.col("query_id").cast("string")).alias("session_id"), F.col("file_id").cast("string").alias("anchor_id")), "session_id")
     return Q.loop_redirect(l, hits, files, seen)
 

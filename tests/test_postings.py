@@ -104,3 +104,17 @@ def test_empty_tables(spark, docs):
     assert found(spark, docs, [], 3) == []
     assert found(spark, docs, [(1, ""), (2, "?")], 3) == []
     assert found(spark, [], [(1, "a b")], 3) == []
+
+
+def test_equal_queries_are_asked_once(spark):
+    """Nulls are equal among themselves and differ from empty values; every query gets the rows of its first one."""
+    rows = [(i, ["x", "", None][i % 3], [["a"], [], None][i % 9 // 3]) for i in range(300)]
+    seen = []
+
+    def recall(q):
+        seen.extend(q.collect())
+        return q.select("query_id", F.concat_ws("|", F.coalesce("text", F.lit("none")), F.size("apis").cast("string")).alias("found"))
+
+    got = R.asked_once(spark.createDataFrame(rows, "query_id long, text string, apis array<string>"), ["text", "apis"], recall).collect()
+    assert sorted(r.query_id for r in seen) == list(range(9))
+    assert len(got) == 300 and {r.query_id: r.found.split("|")[0] for r in got} == {i: "none" if t is None else t for i, t, _ in rows}
