@@ -29,6 +29,10 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def parquet_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """Files of ``folder`` by name; a table that is itself a folder of files (``pattern`` is its name) is streamed file by file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(path):
+        folder, pattern = f"{folder}/{pattern}", "*"
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if files_per_trigger:

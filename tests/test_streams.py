@@ -59,3 +59,17 @@ def test_chunks_of_a_session_in_many_blocks(spark, monkeypatch):
     assert got == sorted(want)
 
 
+
+
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    """The named table alone is streamed, as one file or as a folder of files with any names."""
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "other.parquet"))
+    spark.range(20).repartition(3).write.parquet(str(tmp_path / "table.parquet"))
+    part = next((tmp_path / "other.parquet").glob("part-*"))
+    part.rename(tmp_path / "single.parquet")
+    for i, file in enumerate(sorted((tmp_path / "table.parquet").glob("part-*"))):
+        file.rename(file.with_name(f"piece{i}"))
+    for name, rows in (("table.parquet", 20), ("single.parquet", 5)):
+        out = str(tmp_path / f"out-{name}")
+        J.run_available(J.parquet_stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start())
+        assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(rows))
