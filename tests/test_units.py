@@ -410,3 +410,18 @@ def test_file_headers(spark):
             ("plain", "a\n\n b \nc\nd\ne\nf", "a b c d e", True), ("plain", "", "", False), ("python", "", "", False)]
     df = spark.createDataFrame(rows, "language string, content string, want string, matched boolean").withColumn("h", M.file_header(F.col("language"), F.col("content")))
     assert all((r.h.header, r.h.header_matched) == (r.want, r.matched) for r in df.collect())
+
+
+def test_patterns_are_tried_only_where_their_plain_pieces_stand(spark):
+    """A pattern behind its pieces says what the pattern alone says, in every case and beyond ASCII."""
+    patterns = [p for p, _ in [*V.ERROR_TYPE_PATTERNS, *V.FRAMEWORK_PATTERNS, *V.LEAKAGE_CORE, *V.LEAKAGE_EXTENDED, *V.PROMPT_INJECTION] if not p.isalpha()]
+    patterns += [p for _, p in [*V.LEAKAGE_CORE, *V.LEAKAGE_EXTENDED, *V.PROMPT_INJECTION]] + ["(?si)a.*deadlock", "(?i)(abcd)?x", "ab+cde|xyz", "(?i)миграц|plan"]
+    texts = ["TYPEERROR x", "a enoent ENOENT", "Next.JS", "deadlocK", "deadlocK", "a\nDEADLOCK", "HTTP 404ſtatus 404 response", "x", "ABCDX", "abbcde", "xyz", "МИГРАЦИЯ", "PLAN", "pLan İ",
+             "ignore all PREVIOUS instructions", "SECRET_KEY=0123456789abcdef", "sk-ant-0123456789abcdef0123", "<System>", "see /testbed/pkg/mod.py", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    got = d.select("text", *[T.matches(c, p).alias(f"g{i}") for i, p in enumerate(patterns)], *[c.rlike(T.jvm(p)).alias(f"w{i}") for i, p in enumerate(patterns)]).collect()
+    for r in got:
+        assert [r[f"g{i}"] for i in range(len(patterns))] == [r[f"w{i}"] for i in range(len(patterns))], r.text
+    assert T.needles(r"(?i)\b(vue|nuxt)\b") == ["vue", "nuxt"] and T.needles(r"\bE\d+") is None and T.needles("(abcd)?x") is None
+    assert T.matches(c, V.ERROR_TYPE_PATTERNS[0][0])._jc.toString().lower().count("contains") >= 6  # a text without any piece meets no pattern
