@@ -79,3 +79,12 @@ def test_bounds_leave_most_pairs_out(spark, small_clusters, monkeypatch):
     rows = asked.collect()
     pairs = sum(size[r.cluster] for r in rows if r["first"]) + sum(size[r.cluster] for r in rows if r.bound + VC.SLACK >= floor[r.query_id])
     assert len(floor) == 900 and len(size) > 10 and pairs < 0.5 * 900 * 900
+
+
+def test_queries_of_one_cluster_in_several_portions(spark, monkeypatch):
+    """Ties, several portions and stripes, zero vectors and another length, as by brute force."""
+    for name, value in (("PART_ROWS", 20), ("PORTION_ROWS", 16), ("STRIPE_ROWS", 3)):
+        monkeypatch.setattr(VC, name, value)
+    rows = [(i, v, "a") for i, v in clustered(60, centres=3, dims=4)]
+    rows += [(60 + i, rows[i][1], "a") for i in range(10)] + [(80, [0.0] * 4, "a"), (81, [1.0, 2.0], "a")]
+    assert found(spark, rows, rows, 3, 0.3, "label") == brute(rows, rows, 3, 0.3, "label")
