@@ -98,12 +98,13 @@ _q("g13_streaming_upsert", _upsert, f"""SELECT dedupe_key, scope, fact_type, con
 def _recall(s, sf):
     w = J.workspace(s, "recall")
     blocks = RQ.blocks(s, sf)
-    P.save(R.block_index(blocks), f"{w}/index")  # once; every trigger reads these postings
-    index = P.load(s, f"{w}/index")
+    R.block_counts(blocks).write.parquet(f"{w}/counts")  # texts are read once; a trigger makes the postings of its own words
+    stored = s.read.parquet(f"{w}/counts")
     items = J.parquet_stream(s, sf, "benchmark.parquet")
 
     def recall(batch):
-        hits = R.block_recall(RQ.queries_of(batch), blocks, 8, index)
+        asked = RQ.queries_of(batch)
+        hits = R.block_recall(asked, blocks, 8, P.build_counted(stored, R.query_terms(asked, "block")))
         return R.gate_and_holdout(RQ.gate_input(hits), V.GATE_THRESHOLD, 0.3, "salt")
 
     J.run_available(J.recall_stream(items, recall, f"{w}/out", f"{w}/checkpoint"))
