@@ -57,3 +57,23 @@ def test_phrases_propose_texts(spark, monkeypatch):
     assert sizes and sizes[-1] < 60
     got = R.like_search(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(texts, "trace_id long, description string, q_score double"), None)
     assert {tuple(r) for r in got.collect()} == plain(asked)
+
+
+def test_only_documents_that_reach_the_floor_leave_a_task(spark, monkeypatch):
+    """Texts are counted for asked words only, and of the documents with such words a few more than k are proposed."""
+    docs = corpus(1500, seed=5)
+    queries = [(1, "w5 w9 w14 w20 w31 w45 the often"), (2, "w1 w8 w9 w77 absent")]
+    made, seen = [], []
+    monkeypatch.setattr(P, "_built", lambda counted, *more, own=P._built: made.append(counted) or own(counted, *more))
+    monkeypatch.setattr(P, "_proposed", lambda opened, i, own=P._proposed: seen.append(own(opened, i)) or seen[-1])
+    same(found(spark, docs, queries, 4), full(docs, queries, 4))
+    assert made[0].count() == len(docs) and made[0].agg(F.max(F.size("terms")).alias("n")).first()["n"] <= 12
+    assert seen[-1].count() <= 2 * 3 * 4
+
+
+def test_words_too_many_for_a_task_are_joined(spark, monkeypatch):
+    docs = [*corpus(400), (400, None, None)]
+    queries = [(i, f"w{i} w{i * 3} w{i * 7 + 1} w{i + 9} the often") for i in range(12)] + [(90, "the w0"), (91, "w2")]
+    monkeypatch.setattr(P, "TASK_ROWS", 0)
+    monkeypatch.setattr(P, "FEW_ROWS", 0)
+    same(found(spark, docs, queries, 5), full(docs, queries, 5))
