@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memlens import fixed_values as V
 from memlens.operators import evidence as EV
+from memlens.operators import postings as P
 from memlens.operators import retrieval as R
 from memlens.operators import sequences as Q
 from memlens.plans import adapters as D
@@ -262,8 +263,10 @@ SELECT 'q'||(file_id%30) AS query_id, file_id AS item_id, 'diff_touches_recalled
 def _argmatch(s, sf):
     q = RQ.queries(s, sf).select("query_id", "text")
     calls = q.select("query_id", F.col("text").alias("arg_summary"))
-    rec = RQ._slate(s, sf).withColumn("block_id", F.concat(F.lit("d"), F.col("item_id").cast("string"))).join(D.blocks(s, sf).select("block_id", "unlock", "verification"), "block_id")
-    return EV.args_match_memory(calls, rec.select("query_id", "item_id", "unlock", "verification"))
+    slate = RQ._slate(s, sf)
+    found = P.few(cut(slate.select(F.col("item_id").alias("doc_id")).distinct()))  # lines are taken of recalled texts only
+    texts = cut(D.blocks_of(D.documents(s, sf).join(found, "doc_id", "left_semi")).select(F.col("n").alias("item_id"), "unlock", "verification"))
+    return EV.args_match_memory(calls, slate.join(texts, "item_id").select("query_id", "item_id", "unlock", "verification"))
 
 
 _q("e23_args_match_memory", _argmatch, S.with_(*RQ._SL, S.BLOCKS, """a AS (SELECT query_id, lower(text) AS arg FROM qry WHERE length(text)>=6),
