@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from memlens.operators import sequences as Q
@@ -92,3 +93,40 @@ def test_a_session_ends(spark, tmp_path):
     got = run(spark, str(tmp_path), [first, second, third], ttl_ms=4 * hour)
     assert [(p, k, lg) for _, p, k, _, _, lg in got["a"]] == [(0, "none", None), (1, "duplicate", "warned"), (0, "none", None)]
     assert [(p, k, lg) for _, p, k, _, _, lg in got["b"]] == [(0, "none", None), (1, "duplicate", "warned"), (2, "straight", "suppressed")]
+
+
+class Store:
+    """States of one session in memory; every call to the store is counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.maps, self.timers = 0, {}, {}, set()
+
+    def __getattr__(self, name):
+        def state(kind, *_):
+            return type("State", (), {"__getattr__": lambda _, op: lambda *args: self.call(kind, op, args)})()
+        return state if name in ("getValueState", "getMapState") else lambda *args: self.call("timer", name, args)
+
+    def call(self, kind, op, args):
+        self.calls += 1
+        held = self.maps.setdefault(kind, {})
+        return {"get": lambda: self.value.get(kind), "update": lambda v: self.value.update({kind: v}), "containsKey": held.__contains__, "getValue": held.get,
+                "updateValue": held.__setitem__, "removeKey": held.pop, "registerTimer": self.timers.add, "deleteTimer": self.timers.discard, "clear": lambda: (held.clear(), self.value.pop(kind, None))}[op](*args)
+
+
+@pytest.mark.parametrize("keys", [10, 200])
+def test_a_short_session_asks_the_store_little(keys):
+    """Two triggers of one session; what does not fit the session's one value is kept apart and gives the same rows."""
+    rng = random.Random(keys)
+    rows = [(i, "s", i // 2, rng.choice(["read", "run"]), rng.choice([f"k{rng.randrange(keys)}", None])) for i in range(1200)]
+    store, now = Store(), type("Timer", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    loops = LP.LoopState(6, 1000)
+    loops.init(store)
+    got = []
+    for part in (rows[:600], rows[600:]):
+        frame = pd.DataFrame(rng.sample(part, len(part)), columns=[c.split()[0] for c in OBS.split(", ")])
+        for out in loops.handleInputRows(("s",), iter([frame]), now):
+            got += [tuple(None if v is None else v for v in r) for r in out[["event_id", "pos", "kind", "count", "tool", "logged"]].itertuples(index=False)]
+    assert got == walk(rows, 6) and len(store.timers) == 1
+    assert store.calls <= 7 if keys == 10 else store.maps["warned"]
+    list(loops.handleExpiredTimer(("s",), now, None))
+    assert not store.maps["warned"] and not store.value if keys == 200 else not store.value
