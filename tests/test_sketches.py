@@ -44,3 +44,11 @@ def test_a_common_word_sends_no_pair_through_an_exchange(spark):
     words = [f"w{i}" for i in range(400)]
     d = spark.createDataFrame([(str(i), rng.sample(words, 60)) for i in range(300)], "set_id string, tokens array<string>").withColumn("tokens", F.array_sort("tokens"))
     assert SK.allowed_pairs(d, d, 0.6, True).count() < 10
+
+
+def test_sets_that_share_no_rare_word_do_not_meet(spark):
+    """Sets of 20 words that share a few common ones: sketches alone let hundreds of pairs through to the check of whole sets."""
+    rng = random.Random(11)
+    common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(100_000)]
+    d = spark.createDataFrame([(str(i), sorted(rng.sample(common, 8) + rng.sample(rare, 12))) for i in range(800)], "set_id string, tokens array<string>")
+    assert SK.allowed_pairs(d, d, 0.6, True).count() == 0
