@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from memlens.operators import maintenance as M
 from memlens.operators import retrieval as R
 from memlens.operators import sketches as SK
 
@@ -52,3 +53,26 @@ def test_sets_that_share_no_rare_word_do_not_meet(spark):
     common, rare = [f"c{i}" for i in range(60)], [f"r{i}" for i in range(100_000)]
     d = spark.createDataFrame([(str(i), sorted(rng.sample(common, 8) + rng.sample(rare, 12))) for i in range(800)], "set_id string, tokens array<string>")
     assert SK.allowed_pairs(d, d, 0.6, True).count() == 0
+
+
+def test_pairs_of_near_copies_stay_in_their_cluster(spark):
+    """A group of n near copies links with about n rows; as pairs they were n * n / 2 rows of a shuffle, each with both sets."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.sample(words, 60)
+    d = spark.createDataFrame([(str(i), sorted(rng.sample(base, 57) + rng.sample(words, 3))) for i in range(200)], "set_id string, tokens array<string>")
+    assert SK.allowed_pairs(d, d, 0.6, True).count() < 200 * spark.sparkContext.defaultParallelism
+
+
+def test_hits_and_pairs_over_parts_of_clusters(spark, monkeypatch):
+    """Clusters and crowded words in several parts, more clusters than are sent to tasks, copies: counts and pairs as by brute force."""
+    for module, name, value in ((SK, "TILE_ROWS", 20), (SK, "CLUSTER_ROWS", 6), (SK.P, "FEW_ROWS", 3), (SK, "CHUNK", 50)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(7)
+    a = sets(rng, 120, [f"w{i}" for i in range(90)], 40)
+    a += a[:15]
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(a)], "id long, tokens array<string>")
+    near = {(i, j) for i in range(len(a)) for j in range(len(a)) if i != j and jaccard(a[i], a[j]) >= 0.6 - 1e-12}
+    assert {(r.a_id, r.b_id) for r in R.jaccard_within(d, 0.6).collect()} == {(i, j) for i, j in near if i < j}
+    rows = M.near_duplicate_blocks(d.select(F.col("id").alias("block_id"), F.col("tokens").alias("keywords")), 0.6).collect()
+    assert {r.block_id: r.duplicate_hits for r in rows} == {i: sum(x == i for x, _ in near) for i in range(len(a))}
