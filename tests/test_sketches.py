@@ -76,3 +76,11 @@ def test_hits_and_pairs_over_parts_of_clusters(spark, monkeypatch):
     assert {(r.a_id, r.b_id) for r in R.jaccard_within(d, 0.6).collect()} == {(i, j) for i, j in near if i < j}
     rows = M.near_duplicate_blocks(d.select(F.col("id").alias("block_id"), F.col("tokens").alias("keywords")), 0.6).collect()
     assert {r.block_id: r.duplicate_hits for r in rows} == {i: sum(x == i for x, _ in near) for i in range(len(a))}
+
+
+def test_health_sends_no_keywords_through_its_joins(spark):
+    """Only how many keywords a block has is needed behind the joins."""
+    from memlens.plans.catalog import registry
+    plan = registry()["d12_memory_health"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = lambda word: [i for i, line in enumerate(plan) if word in line]
+    assert at("Join")[0] < at("size(")[0]
