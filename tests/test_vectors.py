@@ -88,3 +88,14 @@ def test_queries_of_one_cluster_in_several_portions(spark, monkeypatch):
     rows = [(i, v, "a") for i, v in clustered(60, centres=3, dims=4)]
     rows += [(60 + i, rows[i][1], "a") for i in range(10)] + [(80, [0.0] * 4, "a"), (81, [1.0, 2.0], "a")]
     assert found(spark, rows, rows, 3, 0.3, "label") == brute(rows, rows, 3, 0.3, "label")
+
+
+def test_queries_are_not_sent_to_every_cluster(spark, small_clusters, monkeypatch):
+    """Where bounds save nothing a query travels once per part of its block, not once per cluster, and all is found."""
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(size=16).tolist(), None) for i in range(600)] + [(600, [0.0] * 16, None), (601, [1.0, 2.0], None)]
+    tables = []
+    monkeypatch.setattr(VC, "cut", lambda df, own=VC.cut: tables.append(own(df)) or tables[-1])
+    same(found(spark, vectors, vectors, 5), brute(vectors, vectors, 5, 0.3))
+    asked = [t for t in tables if {"query_id", "cluster"} <= set(t.columns)]
+    assert asked and max(t.count() for t in asked) == len(vectors)
